@@ -85,7 +85,8 @@ def write_assigned(df: DataFrame, path: str, fmt: str = "parquet") -> None:
     """Write the enriched table; CSV comes with a header and quoting that ``read_reviews`` reads."""
     writer = df.write.mode("overwrite")
     if fmt == "csv":
-        writer.csv(path, header=True, quote='"', escape='"')
+        writer.csv(path, header=True, quote='"', escape='"', ignoreLeadingWhiteSpace=False,
+                   ignoreTrailingWhiteSpace=False)
     else:
         writer.format(fmt).save(path)
 

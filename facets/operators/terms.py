@@ -30,18 +30,22 @@ def term_counts(df: DataFrame, text: str = "clean_text", keep=("Id",),
     Each document is counted inside its own row, from run lengths of its sorted terms, so counting
     shuffles nothing.
     """
-    listed = (with_terms(df.select(*keep, text), text, stop_words).drop(text)
-              .where(F.size("terms") > 0)
-              .withColumn("_t", F.sort_array("terms")).drop("terms"))
-    starts = F.filter(
-        F.sequence(F.lit(1), F.size("_t")),
-        lambda i: (i == 1) | (F.get("_t", i - 1) != F.get("_t", F.greatest(i - 2, F.lit(0)))))
-    ends = F.concat(F.slice("_s", 2, F.size("_s")), F.array(F.size("_t") + 1))
-    runs = F.zip_with("_s", ends, lambda a, b: F.struct(
-        F.get("_t", a - 1).alias("term"), (b - a).alias("tf")))
-    return (listed.withColumn("_s", starts)
-            .select(*keep, F.explode(runs).alias("_run"))
-            .select(*keep, "_run.term", "_run.tf"))
+    sorted_terms = (with_terms(df.select(*keep, text), text, stop_words).drop(text)
+                    .where(F.size("terms") > 0)
+                    .withColumn("_t", F.sort_array("terms")).drop("terms"))
+    # A run starts where a term differs from the one before it, and ends where the next one starts.
+    cells = F.arrays_zip(
+        F.col("_t").alias("term"), F.concat(F.array(F.lit("")), F.col("_t")).alias("before"),
+        F.sequence(F.lit(1), F.size("_t")).alias("start"))
+    runs = (sorted_terms
+            .withColumn("_z", cells)
+            .withColumn("_s", F.filter("_z", lambda c: c["term"] != c["before"]))
+            .withColumn("_end", F.concat(F.slice("_s.start", 2, F.size("_t")),
+                                         F.array(F.size("_t") + 1))))
+    rows = F.explode(F.arrays_zip(F.col("_s.term").alias("term"), F.col("_s.start").alias("start"),
+                                  F.col("_end").alias("end")))
+    return (runs.select(*keep, rows.alias("_run"))
+            .select(*keep, "_run.term", (F.col("_run.end") - F.col("_run.start")).alias("tf")))
 
 
 def vocabulary(counts: DataFrame, n_docs: int, min_df: int = TFIDF_MIN_DF,

@@ -19,21 +19,20 @@ def clean(col: Column) -> Column:
     return F.trim(out)
 
 
-def word_count(col: Column) -> Column:
+def with_word_count(df: DataFrame, text: str = "Text", name: str = "word_count") -> DataFrame:
     """Number of blank-separated words. Splitting leaves an empty string at an edge blank."""
-    parts = F.split(col, f"[{BLANKS}]+")
-    last_is_empty = (F.size(parts) > 1) & (F.element_at(parts, -1) == "")
-    return (F.size(parts)
-            - F.when(F.element_at(parts, 1) == "", 1).otherwise(0)
-            - F.when(last_is_empty, 1).otherwise(0))
+    # A column of its own, so that the text is split once and not once per mention.
+    split = df.withColumn("_parts", F.split(text, f"[{BLANKS}]+"))
+    last_is_empty = (F.size("_parts") > 1) & (F.element_at("_parts", -1) == "")
+    words = (F.size("_parts")
+             - F.when(F.element_at("_parts", 1) == "", 1).otherwise(0)
+             - F.when(last_is_empty, 1).otherwise(0))
+    return split.withColumn(name, words).drop("_parts")
 
 
 def with_lengths(df: DataFrame, text: str = "Text", summary: str = "Summary") -> DataFrame:
-    return df.withColumns({
-        "text_length": F.length(text),
-        "word_count": word_count(F.col(text)),
-        "summary_length": F.length(summary),
-    })
+    return with_word_count(df, text).withColumns({
+        "text_length": F.length(text), "summary_length": F.length(summary)})
 
 
 def with_clean_text(df: DataFrame, summary: str = "Summary", text: str = "Text") -> DataFrame:

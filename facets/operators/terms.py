@@ -150,11 +150,13 @@ def word_freq(df: DataFrame, text: str = "Text", top: int = 120, group: str | No
         cols = (sample_exact(cols, sample, seed, key) if group is None
                 else sample_per_group(cols, group, sample, seed, key))
     found = F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}_][\p{L}\p{N}_']*"), F.lit(0))
+    # Count the words as they stand first: the rules below then see each distinct word once.
     words = (cols.select(part, F.explode(found).alias("_w"))
-             .select(part, F.regexp_replace("_w", "'s$", "").alias("term"))
+             .groupBy(part, "_w").agg(F.count("*").alias("_n"))
+             .withColumn("term", F.regexp_replace("_w", "'s$", ""))
              .where((F.col("term") != "") & ~F.col("term").rlike(r"^\p{N}+$")
                     & ~F.col("term").isin(*stop_words)))
-    counts = words.groupBy(part, "term").agg(F.count("*").alias("n"))
+    counts = words.groupBy(part, "term").agg(F.sum("_n").alias("n"))
     if merge_plurals:
         counts = _merge_plurals(counts, part)
     out = _ranked(counts, part, [F.desc("n"), F.col("term")], top)

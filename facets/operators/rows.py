@@ -17,11 +17,15 @@ def dedup_keep_first(df: DataFrame, keys, order_by: str = "Id") -> DataFrame:
     """Keep, for each key, the row with the smallest ``order_by``; null keys equal each other.
 
     An aggregation, not a window: copies collapse before the shuffle, so a key that holds a large
-    part of the table sends one row per input partition.
+    part of the table sends one row per input partition. Key columns travel once, as the key.
     """
-    return (df.groupBy(*keys)
-            .agg(F.min_by(F.struct(*df.columns), F.col(order_by)).alias("_first"))
-            .select("_first.*"))
+    rest = [c for c in df.columns if c not in keys]
+    if not rest:
+        return df.distinct()
+    first = df.groupBy(*keys).agg(
+        F.min_by(F.struct(*rest), F.col(order_by)).alias("_first"))
+    return first.select(*[F.col(c) if c in keys else F.col("_first")[c].alias(c)
+                          for c in df.columns])
 
 
 def drop_missing(df: DataFrame, cols=("Text", "Summary")) -> DataFrame:

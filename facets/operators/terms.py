@@ -147,8 +147,11 @@ def word_freq(df: DataFrame, text: str = "Text", top: int = 120, group: str | No
         df = df.withColumn("_all", F.lit(0))
     cols = df.select(part, key, text)
     if sample is not None:
-        cols = (sample_exact(cols, sample, seed, key) if group is None
-                else sample_per_group(cols, group, sample, seed, key))
+        # Draw keys only, then fetch their texts where they lie: no text is sorted or moved.
+        keys = cols.select(part, key)
+        drawn = (sample_exact(keys, sample, seed, key) if group is None
+                 else sample_per_group(keys, group, sample, seed, key))
+        cols = attach(cols, drawn.select(key), key, "left_semi")
     found = F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}_][\p{L}\p{N}_']*"), F.lit(0))
     # Count the words as they stand first: the rules below then see each distinct word once.
     words = (cols.select(part, F.explode(found).alias("_w"))

@@ -18,7 +18,7 @@ from facets.functions.text import truncate, with_category, with_clean_text, with
 from facets.operators import (cluster, compare, density, features, graph, labels, neighbors,
                               profile, rows, temporal, terms, topics)
 from facets.plans.prepare import clean_reviews
-from facets.session import cut, use_checkpoint_dir
+from facets.session import cut, ship_package, use_checkpoint_dir
 from facets.sources import reviews as sources
 
 CLUSTERS = (0, 1, 2, 3, 4)
@@ -39,6 +39,7 @@ def query(name: str, sql: str | None = None, digits: int = 6):
     def register(build):
         @functools.wraps(build)
         def run(spark: SparkSession, folder: str) -> DataFrame:
+            ship_package(spark)
             return _rounded(build(spark, folder), digits)
         QUERIES[name] = run
         if sql is not None:

@@ -14,7 +14,7 @@ from facets.functions.text import with_category
 from facets.operators import (cluster, compare, density, features, graph, labels, neighbors,
                               profile, temporal, terms, topics)
 from facets.plans.prepare import clean_reviews
-from facets.session import cut
+from facets.session import cut, ship_package
 from facets.sources.reviews import load_report
 
 CATEGORIES = [name for name, _ in CATEGORY_RULES] + [DEFAULT_CATEGORY]
@@ -50,6 +50,7 @@ def segment(raw: DataFrame, *, n_samples: int | None = None, k: int | None = Non
     the label prompts of an earlier run. ``assigned`` in the result is the enriched review table; the
     other entries are the reports.
     """
+    ship_package(raw.sparkSession)
     reviews = cut(clean_reviews(raw, n_samples=n_samples, seed=seed))
     feats, ratios = build_features(reviews, seed=seed, **text_settings)
     out = {"load_report": load_report(raw, reviews),

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import shutil
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,6 +14,19 @@ from pyspark.sql import functions as F
 SMALL_ROWS = 20_000
 
 
+_shipped: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make this package importable in Python workers, once per application."""
+    context = spark.sparkContext
+    if context.applicationId not in _shipped:
+        package = Path(__file__).resolve().parent
+        target = f"{tempfile.mkdtemp(prefix='facets-package-')}/{package.name}"
+        context.addPyFile(shutil.make_archive(target, "zip", package.parent, package.name))
+        _shipped.add(context.applicationId)
+
+
 def use_checkpoint_dir(spark: SparkSession) -> str:
     """Name the shared checkpoint folder, taking it from the session where it is configured."""
     context = spark.sparkContext

@@ -154,11 +154,12 @@ def _local_moves(links: DataFrame, two_m: float, rounds: int, min_gain: float, s
             F.sum(F.col("k_own") + F.col("loop")), F.sum(F.col("degree") * F.col("tot")),
             F.count_if("wants")).first()
         q = inner / two_m - square / two_m ** 2
-        # A round that gains little is followed by one more for the other half of the nodes.
-        stale = 0 if best_q is None or q > best_q + max(min_gain, 1e-3 * abs(best_q)) else stale + 1
-        if best_q is None or q > best_q:
-            best_state, best_q = decided.select("id", "comm"), q
-        if wanting == 0 or stale >= 2:
+        # Only half of the nodes may move in a round, so one without gain does not end the level.
+        if best_q is None or q > best_q + min_gain:
+            best_state, best_q, stale = decided.select("id", "comm"), q, 0
+        else:
+            stale += 1
+        if wanting == 0 or stale >= 3:
             break
         nodes = decided.select("id", "degree", "loop", F.col("next").alias("comm"))
     return best_state.select("id", "comm"), best_q

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.ml.clustering import PowerIterationClustering
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -10,7 +9,7 @@ from pyspark.sql import functions as F
 from facets.constants import GRAPH_NEIGHBORS, SEED
 from facets.operators.neighbors import knn
 from facets.operators.rows import numbered
-from facets.session import SMALL_ROWS, cut
+from facets.session import cut
 
 
 def unit_length(df: DataFrame, vec: str, name: str) -> DataFrame:
@@ -37,63 +36,35 @@ def knn_graph(df: DataFrame, id_col: str, vec_col: str, k: int = GRAPH_NEIGHBORS
             .where(F.col("weight") > 0))
 
 
-def _finish_components(links: DataFrame) -> DataFrame:
-    """Roots of a graph known to be small, in one task: (src, root)."""
-    def walk(batches):
-        edges = pd.concat(list(batches))
-        root: dict = {}
-
-        def find(v):
-            while root.setdefault(v, v) != v:
-                root[v] = root[root[v]]
-                v = root[v]
-            return v
-        for a, b in zip(edges["src"].tolist(), edges["dst"].tolist()):
-            a, b = find(a), find(b)
-            root[max(a, b)] = min(a, b)
-        yield pd.DataFrame({"src": list(root), "root": [find(v) for v in list(root)]})
-
-    key = dict(links.dtypes)["src"]
-    return links.coalesce(1).mapInPandas(walk, f"src {key}, root {key}")
-
-
-def components(edges: DataFrame, nodes: DataFrame, small: int = SMALL_ROWS) -> DataFrame:
+def components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """Connected components: (id, component), named by the smallest id in them.
 
     Every round hooks each remaining root to its smallest neighbour, follows the hooks to their end
-    by doubling, and contracts the graph, so the edge table shrinks. Once it is counted to have at
-    most ``small`` rows, one task finishes it.
+    by doubling, and contracts the graph, so the edge table shrinks until no edge is left.
     """
     labels = nodes.select("id", F.col("id").alias("component"))
     links = edges.select("src", "dst").where(F.col("src") != F.col("dst"))
     links = cut(links.union(links.select("dst", "src")).distinct())
-    while True:
-        size = links.count()
-        if size == 0:
-            return labels
-        if size <= small:
-            hooks = _finish_components(links)
-        else:
-            hooks = cut(links.groupBy("src").agg(F.min("dst").alias("low"))
-                        .select("src", F.least("src", "low").alias("root")))
-            moving = True
-            while moving:
-                above = hooks.select(F.col("src").alias("root"), F.col("root").alias("up"))
-                jumped = cut(hooks.join(above, "root").select(
-                    "src", F.col("up").alias("root"),
-                    (F.col("up") != F.col("root")).alias("moved")))
-                moving = not jumped.where("moved").isEmpty()
-                hooks = jumped.drop("moved")
+    while not links.isEmpty():
+        hooks = cut(links.groupBy("src").agg(F.min("dst").alias("low"))
+                    .select("src", F.least("src", "low").alias("root")))
+        moving = True
+        while moving:
+            above = hooks.select(F.col("src").alias("root"), F.col("root").alias("up"))
+            jumped = cut(hooks.join(above, "root").select(
+                "src", F.col("up").alias("root"),
+                (F.col("up") != F.col("root")).alias("moved")))
+            moving = not jumped.where("moved").isEmpty()
+            hooks = jumped.drop("moved")
         step = hooks.select(F.col("src").alias("component"), "root")
         labels = cut(labels.join(step, "component", "left")
                      .select("id", F.coalesce("root", "component").alias("component")))
-        if size <= small:
-            return labels
         ends = hooks.select(F.col("src").alias("dst"), F.col("root").alias("b"))
         links = cut(links.join(hooks.select("src", F.col("root").alias("a")), "src")
                     .join(ends, "dst")
                     .where(F.col("a") != F.col("b"))
                     .select(F.col("a").alias("src"), F.col("b").alias("dst")).distinct())
+    return labels
 
 
 def modularity(edges: DataFrame, labels: DataFrame, label: str = "community") -> DataFrame:

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from facets.llm import credentials, fmindex, licenses, packing, quality, simhash
+from facets.llm import (credentials, fmindex, language, licenses, neighbors, packing, quality,
+                        simhash, transducer)
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -77,8 +78,12 @@ def span_texts(spans: str):
 def _(spark, folder):
     found = credentials.secret_spans(table(spark, folder, "documents"))
     base = F.filter("spans", lambda s: s["kind"] < credentials.BASE)
-    counts = [F.size(F.filter("spans", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{n}")
-              for k, n in enumerate(credentials.KINDS[:credentials.BASE])]
+
+    def count(k: int):
+        return F.size(F.filter("spans", lambda s: s["kind"] == k)).cast("long")
+
+    counts = [count(k).alias(f"n_{name}")
+              for k, name in enumerate(credentials.KINDS[:credentials.BASE])]
     return found.withColumn("_base", base).select(
         "doc_id", *counts, digest(span_texts("_base")).alias("base_sha256"),
         F.array_join(span_texts("spans"), ",").alias("spans"))
@@ -88,3 +93,24 @@ def _(spark, folder):
 def _(spark, folder):
     return packing.pack_documents(table(spark, folder, "documents"),
                                   tokenizer_path("word_bpe_49k.json"))
+
+
+@query("op3_language_id")
+def _(spark, folder):
+    docs = table(spark, folder, "documents")
+    held_out = quality.crc_part(3) == 1
+    found = language.identify(docs, language.fit(docs, learn_from=~held_out))
+    return found.select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"),
+                        "lang_pred", "score")
+
+
+@query("op6_nearest_neighbours")
+def _(spark, folder):
+    return neighbors.nearest(table(spark, folder, "embeddings"))
+
+
+@query("op9_token_counts")
+def _(spark, folder):
+    found = transducer.token_counts(table(spark, folder, "documents"),
+                                    tokenizer_path("byte_bpe_50k.json"))
+    return found.withColumn("over_limit", F.col("n_tokens") > 1024)

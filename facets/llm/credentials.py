@@ -173,8 +173,9 @@ def redact(docs: DataFrame, reach: int = REACH, mask: str = MASK) -> DataFrame:
     """
     # Written first, so that no filter is pushed into the patterns.
     linked = cut(linked_candidates(cut(parts(docs)), reach))
-    columns = docs.columns
-    keyed = docs.withColumn("_key", text_key())
+    # The row travels as one value, so that its column names cannot clash.
+    keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), "text",
+                        text_key().alias("_key"))
     rows = attach(keyed, linked.select(F.col("key").alias("_key"), F.col("linked").alias(
         "_linked")), "_key", "left") if not linked.isEmpty() else keyed.withColumn(
         "_linked", F.lit(None).cast(_SPAN))
@@ -208,6 +209,6 @@ def redact(docs: DataFrame, reach: int = REACH, mask: str = MASK) -> DataFrame:
                        F.length("_text"))
     masked = F.concat(F.array_join(F.transform(
         between, lambda piece: F.concat(piece, F.lit(mask))), ""), tail)
-    rows = rows.withColumn("text", F.when(F.col("_merged").isNotNull(), masked)
-                           .otherwise(F.col("text")))
-    return rows.select(*[F.col(f"`{c}`") for c in columns])
+    text = F.when(F.col("_merged").isNotNull(), masked).otherwise(F.col("text"))
+    return rows.select(*[text.alias(c) if c == "text" else F.col("_row")[c].alias(c)
+                         for c in docs.columns])

@@ -23,8 +23,8 @@ from facets.session import ship_package
 WINDOW = 96
 HIDDEN = 8
 PER_LANGUAGE = 300
-WINDOWS_PER_DOCUMENT = 3
-EPOCHS = 12
+WINDOWS_PER_DOCUMENT = 6
+STEPS = 360
 BATCH = 128
 UNKNOWN = "und"
 _LANES = 4096
@@ -127,24 +127,23 @@ def new_network(languages: list[str], hidden: int = HIDDEN, seed: int = 11) -> N
 
 
 def train(windows: np.ndarray, lengths: np.ndarray, labels: np.ndarray, languages: list[str],
-          epochs: int = EPOCHS, rate: float = 0.02, seed: int = 11) -> Network:
-    """Adam on seeded mini-batches."""
+          steps: int = STEPS, rate: float = 0.02, seed: int = 11) -> Network:
+    """Adam on seeded mini-batches, as many for a small sample as for a large one."""
     net = new_network(languages, seed=seed)
     first = {k: np.zeros_like(v) for k, v in net.p.items()}
     second = {k: np.zeros_like(v) for k, v in net.p.items()}
-    rng, step = np.random.default_rng(seed), 0
-    for epoch in range(epochs):
-        order = rng.permutation(len(windows))
-        for at in range(0, len(order), BATCH):
-            pick = order[at:at + BATCH]
-            _, grads = net.gradients(windows[pick], lengths[pick], labels[pick])
-            step += 1
-            now = rate * (1 - epoch / epochs)
-            for k, g in grads.items():
-                first[k] += 0.1 * (g - first[k])
-                second[k] += 0.001 * (g * g - second[k])
-                net.p[k] -= now * (first[k] / (1 - 0.9 ** step)) / (
-                    np.sqrt(second[k] / (1 - 0.999 ** step)) + 1e-8)
+    rng, order = np.random.default_rng(seed), np.zeros(0, np.int64)
+    for step in range(1, steps + 1):
+        if not len(order):
+            order = rng.permutation(len(windows))
+        pick, order = order[:BATCH], order[BATCH:]
+        _, grads = net.gradients(windows[pick], lengths[pick], labels[pick])
+        now = rate * (1 - (step - 1) / steps)
+        for k, g in grads.items():
+            first[k] += 0.1 * (g - first[k])
+            second[k] += 0.001 * (g * g - second[k])
+            net.p[k] -= now * (first[k] / (1 - 0.9 ** step)) / (
+                np.sqrt(second[k] / (1 - 0.999 ** step)) + 1e-8)
     return net
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from facets.llm import (credentials, fmindex, language, licenses, neighbors, packing, quality,
-                        simhash, transducer)
+                        simhash, templates, transducer)
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -114,3 +114,9 @@ def _(spark, folder):
     found = transducer.token_counts(table(spark, folder, "documents"),
                                     tokenizer_path("byte_bpe_50k.json"))
     return found.withColumn("over_limit", F.col("n_tokens") > 1024)
+
+
+@query("op8_html_extraction")
+def _(spark, folder):
+    found = templates.extract(table(spark, folder, "pages"))
+    return found.withColumn("n_chars", F.length("text").cast("long"))

@@ -62,18 +62,20 @@ def fingerprint(text: bytes | None, shingle: int = SHINGLE) -> int:
 
 
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """(doc_id, fp): the fingerprint of every row's whole text as a signed long."""
+    """(doc_id, text_hash, fp): fingerprint of every row's whole text as a signed long."""
     ship_package(docs.sparkSession)
 
     def kernel(batches):
         for batch in batches:
             texts = batch.column(1).cast(pa.binary()).to_pylist()
             found = np.array([fingerprint(t, shingle) for t in texts], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found)], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(2), pa.array(found)], ["doc_id", "text_hash", "fp"])
 
-    rows = docs.select("doc_id", F.col("text").cast("string").alias("text"))
+    text = F.col("text").cast("string")
+    rows = docs.select("doc_id", text.alias("text"), F.xxhash64(text).alias("text_hash"))
     return rows.mapInArrow(kernel, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, "
-                                   "fp long")
+                                   "text_hash long, fp long")
 
 
 def _segments(bits: int) -> list[tuple[int, int]]:
@@ -185,9 +187,10 @@ def hex_digits(fp: str) -> Column:
 
 
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, bits: int = MAX_BITS) -> DataFrame:
-    """(doc_id, fp, component_id) of every row: the smallest id reachable through links.
+    """(doc_id, text_hash, fp, component, component_id) of every row.
 
-    Copies share a fingerprint, which stands in the link search once.
+    ``component_id`` is the smallest id reachable through links, ``component`` a fingerprint that
+    all rows of the group name, also where ids are null. Copies share a fingerprint, which stands in the link search once.
     """
     rows = cut(fingerprints(docs, shingle))
     nodes = cut(rows.groupBy("fp").agg(F.min("doc_id").alias("first")))
@@ -197,28 +200,35 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, bits: int = MAX_BIT
     grouped = (nodes.join(groups, "fp", "left")
                .select("fp", "first", F.coalesce("component", "fp").alias("component")))
     names = grouped.groupBy("component").agg(F.min("first").alias("component_id"))
-    named = grouped.join(names, "component").select("fp", "component_id")
-    return rows.join(named, "fp").select("doc_id", "fp", "component_id")
+    named = grouped.join(names, "component").select("fp", "component", "component_id")
+    return rows.join(named, "fp").select("doc_id", "text_hash", "fp", "component", "component_id")
 
 
 def keep_one(docs: DataFrame, shingle: int = SHINGLE, bits: int = MAX_BITS) -> DataFrame:
     """The documents whose id names their group; of rows that share such an id one stays.
 
-    Rows are chosen by id, so texts cross the network once, in the final join.
+    Rows are chosen by id and a hash of the text, so texts cross the network once, in the final
+    join.
     """
     found = near_duplicates(docs, shingle, bits)
+    first = F.min(F.struct("text_hash", "copies")).alias("first")
     keep = cut(found.where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-               .groupBy("doc_id").agg(F.count("*").alias("_copies"))
-               .select(F.col("doc_id").alias("_keep"), (F.col("_copies") > 1).alias("_many")))
-    kept = docs.join(keep.where(~F.col("_many")), F.col("doc_id").eqNullSafe(F.col("_keep")),
-                     "left_semi")
-    if keep.where("_many").isEmpty():
+               .groupBy("component", "doc_id", "text_hash").agg(F.count("*").alias("copies"))
+               .groupBy("component", "doc_id").agg(first)
+               .select(F.col("doc_id").alias("keep"), F.col("first.text_hash").alias("keep_hash"),
+                       (F.col("first.copies") > 1).alias("many")))
+    # The row travels as one value, so that its column names cannot clash.
+    rows = docs.select(F.col("doc_id").alias("id"),
+                       F.xxhash64(F.col("text").cast("string")).alias("hash"),
+                       F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+
+    def chosen(many: bool) -> DataFrame:
+        ids = keep.where(F.col("many") == many)
+        return rows.join(ids, F.col("id").eqNullSafe(F.col("keep"))
+                         & (F.col("hash") == F.col("keep_hash")), "left_semi")
+
+    kept = chosen(False).select("row.*")
+    if keep.where("many").isEmpty():
         return kept
-    many = attach_null_safe(docs, keep.where("_many"))
-    first = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
-    one = many.groupBy("doc_id").agg(F.min_by(first, F.xxhash64("text")).alias("_row"))
-    return kept.union(one.select("_row.*"))
-
-
-def attach_null_safe(docs: DataFrame, keep: DataFrame) -> DataFrame:
-    return docs.join(keep, F.col("doc_id").eqNullSafe(F.col("_keep")), "left_semi")
+    one = chosen(True).groupBy("id", "hash").agg(F.first("row").alias("row"))
+    return kept.union(one.select("row.*"))

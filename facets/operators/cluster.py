@@ -5,15 +5,24 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.ml.clustering import BisectingKMeans, KMeans
+from pyspark.ml.clustering import BisectingKMeans
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from facets.constants import (FINAL_MAX_ITER, FINAL_RESTARTS, K_RANGE, SEED, SWEEP_MAX_ITER,
                               SWEEP_RESTARTS, SWEEP_SAMPLE)
-from facets.operators.neighbors import silhouettes
-from facets.session import cut
+from facets.operators.features import sum_matrices
+from facets.operators.neighbors import assign_nearest, silhouettes
+from facets.operators.rows import sample_exact
+from facets.session import cut, ship_package
+
+_BATCH_ROWS = 4096
+
+
+# Rows from which starting centres are drawn, and the move at which a run has settled.
+START_ROWS = 5_000
+TOLERANCE = 1e-4
 
 
 @dataclass
@@ -22,18 +31,85 @@ class Fit:
 
     centers: np.ndarray
     cost: float
-    model: object
 
 
-def _best_fit(vectors: DataFrame, k: int, restarts: int, max_iter: int, seed: int) -> Fit:
-    best = None
-    for restart in range(restarts):
-        model = KMeans(k=k, seed=seed + restart, maxIter=max_iter, featuresCol="_v",
-                       predictionCol="_label").fit(vectors)
-        cost = model.summary.trainingCost
-        if best is None or cost < best.cost:
-            best = Fit(np.array(model.clusterCenters()), cost, model)
-    return best
+def _start(sample: np.ndarray, k: int, seed: int) -> np.ndarray:
+    """Starting centres, each drawn with a chance that grows with the distance to those before."""
+    rng = np.random.default_rng(seed)
+    centers = [sample[rng.integers(len(sample))]]
+    gap = np.full(len(sample), np.inf)
+    while len(centers) < k:
+        gap = np.minimum(gap, ((sample - centers[-1]) ** 2).sum(axis=1))
+        total = gap.sum()
+        at = rng.choice(len(sample), p=gap / total) if total > 0 else rng.integers(len(sample))
+        centers.append(sample[at])
+    return np.array(centers)
+
+
+def _advance(rows: DataFrame, vec: str, runs: list[np.ndarray]) -> list[np.ndarray]:
+    """One pass over all rows for all runs: per centre the sum, number and cost of its rows."""
+    stacked = np.concatenate(runs)
+    ends = np.cumsum([len(r) for r in runs])
+    shared = rows.sparkSession.sparkContext.broadcast((stacked, ends))
+    shape = (len(stacked), stacked.shape[1] + 2)
+
+    def partial(batches):
+        centers, ends = shared.value
+        total, half = None, (centers ** 2).sum(axis=1) / 2
+        for batch in batches:
+            if total is None:
+                total = np.zeros(shape)
+            for at in range(0, len(batch), _BATCH_ROWS):
+                x = np.stack(batch[vec].iloc[at:at + _BATCH_ROWS])
+                score, low = half - x @ centers.T, 0
+                for high in ends:
+                    near = score[:, low:high].argmin(axis=1)
+                    gap = ((x - centers[low + near]) ** 2).sum(axis=1)
+                    mine = np.zeros((len(x), high - low))
+                    mine[np.arange(len(x)), near] = 1
+                    total[low:high, :-2] += mine.T @ x
+                    total[low:high, -2] += mine.sum(axis=0)
+                    total[low:high, -1] += mine.T @ gap
+                    low = high
+        return total
+
+    sums = sum_matrices(rows.select(vec), partial, shape)
+    shared.destroy()
+    return np.split(sums, ends[:-1])
+
+
+def fit_many(df: DataFrame, vec: str, runs: list[tuple[int, int]], max_iter: int,
+             id_col: str) -> list[Fit]:
+    """K-Means for many (k, seed) at once: each iteration is one pass over the rows for all runs.
+
+    A run retires when no centre moves by more than ``TOLERANCE``; ``max_iter`` is the setting of
+    the same name that any K-Means has. Starting centres come from a fixed sample of rows.
+    """
+    ship_package(df.sparkSession)
+    rows = cut(df.select(id_col, F.col(vec).cast("array<double>").alias(vec)))
+    sample = sample_exact(rows, START_ROWS, key=id_col).collect()
+    if not sample:
+        raise ValueError("K-Means needs at least one row")
+    spots = np.array([r[vec] for r in sorted(sample, key=lambda r: r[id_col])])
+    centers = [_start(spots, k, seed) for k, seed in runs]
+    active = list(range(len(runs)))
+    for _ in range(max_iter):
+        if not active:
+            break
+        moving = []
+        for i, sums in zip(active, _advance(rows, vec, [centers[i] for i in active])):
+            held = sums[:, -2:-1] > 0
+            moved = np.where(held, sums[:, :-2] / np.maximum(sums[:, -2:-1], 1), centers[i])
+            if np.sqrt(((moved - centers[i]) ** 2).sum(axis=1)).max() > TOLERANCE:
+                moving.append(i)
+            centers[i] = moved
+        active = moving
+    costs = [float(sums[:, -1].sum()) for sums in _advance(rows, vec, centers)]
+    return [Fit(c, cost) for c, cost in zip(centers, costs)]
+
+
+def _best(fits: list[Fit]) -> Fit:
+    return min(fits, key=lambda f: f.cost)
 
 
 def _relabel(df: DataFrame, raw: str, id_col: str, name: str) -> DataFrame:
@@ -49,11 +125,10 @@ def kmeans(df: DataFrame, vec: str, k: int, restarts: int = FINAL_RESTARTS,
            max_iter: int = FINAL_MAX_ITER, seed: int = SEED, id_col: str = "Id",
            name: str = "cluster"):
     """Best of several K-Means fits: the table with ``name`` added, and the fit."""
-    rows = df.withColumn("_v", array_to_vector(vec))
-    vectors = rows.select("_v").persist()
-    fit = _best_fit(vectors, k, restarts, max_iter, seed)
-    vectors.unpersist()
-    return _relabel(fit.model.transform(rows).drop("_v"), "_label", id_col, name), fit
+    fit = _best(fit_many(df, vec, [(k, seed + r) for r in range(restarts)], max_iter, id_col))
+    rows = df.select("*", F.col(vec).cast("array<double>").alias("_v"))
+    marked = assign_nearest(rows, fit.centers, "_v", "_label").drop("_v", "_label_dist")
+    return _relabel(cut(marked), "_label", id_col, name), fit
 
 
 def sweep_k(df: DataFrame, vec: str, ks=K_RANGE, restarts: int = SWEEP_RESTARTS,
@@ -61,19 +136,20 @@ def sweep_k(df: DataFrame, vec: str, ks=K_RANGE, restarts: int = SWEEP_RESTARTS,
             id_col: str = "Id") -> DataFrame:
     """Inertia and silhouette per k: (k, inertia, silhouette).
 
-    One pass over the pairs of sampled rows scores the groupings of all k.
+    All restarts of all k advance together, and one pass over the pairs of sampled rows scores the
+    groupings of all k.
     """
     ks = list(ks)
-    rows = df.select(id_col, vec, array_to_vector(vec).alias("_v")).persist()
-    labelled, costs, names = rows, [], []
-    for k in ks:
-        fit = _best_fit(rows, k, restarts, max_iter, seed)
+    runs = [(k, seed + r) for k in ks for r in range(restarts)]
+    fits = fit_many(df, vec, runs, max_iter, id_col)
+    labelled, costs, names = df.select(id_col, F.col(vec).cast("array<double>").alias(vec)), [], []
+    for i, k in enumerate(ks):
+        fit = _best(fits[i * restarts:(i + 1) * restarts])
         costs.append(fit.cost)
         names.append(f"_k{k}")
-        labelled = fit.model.copy().setPredictionCol(names[-1]).transform(labelled)
+        labelled = assign_nearest(labelled, fit.centers, vec, names[-1]).drop(f"{names[-1]}_dist")
     scores = {r["grouping"]: r["silhouette"]
-              for r in silhouettes(labelled, id_col, vec, names, sample, seed).collect()}
-    rows.unpersist()
+              for r in silhouettes(cut(labelled), id_col, vec, names, sample, seed).collect()}
     return df.sparkSession.createDataFrame(
         [(k, float(costs[i]), float(scores[i])) for i, k in enumerate(ks)],
         "k int, inertia double, silhouette double")
@@ -108,15 +184,17 @@ def ward(df: DataFrame, vec: str, k: int, micro: int = 200, method: str = "ward"
     """Hierarchical groups: rows go to at most ``micro`` small groups, which Ward's rule merges.
 
     Ward's criterion needs only the size and sum of a group, so merging works on a table of at most
-    ``micro`` rows; with no more than ``micro`` distinct vectors the result is exact.
-    ``method='bisecting'`` splits top-down with Spark's bisecting K-Means instead.
+    ``micro`` rows. ``method='exact'`` merges the distinct vectors themselves and refuses more than
+    ``micro`` of them. ``method='bisecting'`` splits top-down with Spark's bisecting K-Means instead.
     """
     if method == "bisecting":
         rows = df.withColumn("_v", array_to_vector(vec))
         model = BisectingKMeans(k=k, seed=seed, featuresCol="_v", predictionCol="_raw").fit(rows)
         return _relabel(model.transform(rows).drop("_v"), "_raw", id_col, name)
-    few = df.select(vec).distinct().limit(micro + 1).collect()
-    if len(few) <= micro:
+    if method == "exact":
+        few = df.select(vec).distinct().limit(micro + 1).collect()
+        if len(few) > micro:
+            raise ValueError(f"more than {micro} distinct vectors")
         spots = sorted(tuple(r[0]) for r in few)
         table = df.sparkSession.createDataFrame(
             [(list(s), i) for i, s in enumerate(spots)], f"{vec} array<double>, _micro int")

@@ -20,9 +20,11 @@ from facets.operators.neighbors import distance_curve, k_distance, suggest_eps
 from facets.operators.rows import numbered
 from facets.session import cut, small_rows
 
-# Rows of a cell per join key, and point pairs of two cells that are compared directly.
+# Rows of a cell per join key.
 SALT_ROWS = 50_000
-PAIR_ROWS = 1_000_000
+# Pairs of distinct points that one task compares at once; larger pairs of parts are split first.
+# Both ways end in the same comparison, so the answer does not depend on it.
+PAIR_POINTS = 10_000
 
 
 def _distance(a: str, b: str) -> Column:
@@ -114,9 +116,18 @@ def core_points(df: DataFrame, id_col: str, coords, eps: float,
     return _core_flags(df, id_col, coords, eps, min_samples)[0].select("id", "is_core")
 
 
-def _boxes(points: DataFrame, dims: int, side: float) -> DataFrame:
-    """Bounding box and size of the points of each cell part of the given side."""
-    return points.select("cell", "at", _part(side).alias("part")).groupBy("cell", "part").agg(
+def _parts(side: float, level: int) -> Column:
+    """Part of a cell cut ``level`` times into quarters, counted from the cell's corner.
+
+    Quarters scale by a power of two, which is exact, so a part's own part is its number over 4.
+    """
+    return F.expr(f"zip_with(at, cell, (v, c) -> "
+                  f"floor((v - c * {side!r}D) / {side!r}D * {4.0 ** level!r}D))")
+
+
+def _boxes(parted: DataFrame, dims: int) -> DataFrame:
+    """Bounding box and number of distinct points of each (cell, part)."""
+    return parted.groupBy("cell", "part").agg(
         F.expr(f"array({', '.join(f'min(at[{d}])' for d in range(dims))})").alias("lo"),
         F.expr(f"array({', '.join(f'max(at[{d}])' for d in range(dims))})").alias("hi"),
         F.count("*").alias("n"))
@@ -132,45 +143,46 @@ def _gap(near: bool, dims: int) -> Column:
 def _linked_cells(core: DataFrame, dims: int, side: float, eps: float) -> DataFrame:
     """Pairs of cells (a, b) with core points within ``eps`` of each other.
 
-    Boxes settle most pairs. Where they do not, a pair with few points is compared point by point
-    and any other is cut into quarter-size parts, until every pair is settled.
+    Copies of a point count once. Boxes settle most pairs. Where they do not, a pair of parts with
+    few points is compared point by point and any other is cut into quarters, until all are settled;
+    parts end as single points, so every pair is.
     """
     steps = [s for s in _offsets(dims, side, eps) if s > [0] * dims]
-    boxes = _boxes(core, dims, side)
+    spots = cut(core.select("cell", "at").distinct())
 
     def side_of(boxes, name):
         return boxes.select(F.col("cell").alias(name), F.col("part").alias(f"{name}_part"),
                             F.col("lo").alias(f"{name}_lo"), F.col("hi").alias(f"{name}_hi"),
                             F.col("n").alias(f"{name}_n"))
 
-    first = side_of(boxes, "a")
-    pairs = first.select("*", _around("a", steps).alias("b")).join(side_of(boxes, "b"), "b")
-    linked, part_side, slack = None, side, eps * 1e-12
+    def ends(parted, name, at):
+        return parted.select(F.col("cell").alias(name), F.col("part").alias(f"{name}_part"),
+                             F.col("at").alias(at))
+
+    level, slack, linked = 0, eps * 1e-12, None
+    parted = spots.withColumn("part", _parts(side, 0))
+    boxes = _boxes(parted, dims)
+    pairs = side_of(boxes, "a").select("*", _around("a", steps).alias("b")).join(
+        side_of(boxes, "b"), "b")
     while True:
         judged = cut(pairs.where(_gap(True, dims) <= eps + slack).select(
             "a", "b", "a_part", "b_part", (_gap(False, dims) <= eps - slack).alias("sure"),
-            (F.col("a_n") * F.col("b_n") <= PAIR_ROWS).alias("small")))
+            (F.col("a_n") * F.col("b_n") <= PAIR_POINTS).alias("few")))
         sure = judged.where("sure").select("a", "b").distinct()
         unsettled = judged.where(~F.col("sure")).join(sure, ["a", "b"], "left_anti")
-        parted = core.select("cell", "at", _part(part_side).alias("part"))
-        left = parted.select(F.col("cell").alias("a"), F.col("part").alias("a_part"),
-                             F.col("at").alias("p"))
-        right = parted.select(F.col("cell").alias("b"), F.col("part").alias("b_part"),
-                              F.col("at").alias("q"))
-        met = (unsettled.where("small").select("a", "b", "a_part", "b_part")
-               .join(left, ["a", "a_part"]).join(right, ["b", "b_part"])
+        met = (unsettled.where("few").select("a", "b", "a_part", "b_part")
+               .join(ends(parted, "a", "p"), ["a", "a_part"])
+               .join(ends(parted, "b", "q"), ["b", "b_part"])
                .where(_distance("p", "q") <= eps).select("a", "b").distinct())
         found = sure.union(met)
-        linked = found if linked is None else linked.union(found)
-        if judged.where(~F.col("sure") & ~F.col("small")).isEmpty():
+        linked = cut(found if linked is None else linked.union(found))
+        owners = cut(unsettled.where(~F.col("few")).join(linked, ["a", "b"], "left_anti").select(
+            "a", "b", F.col("a_part").alias("a_up"), F.col("b_part").alias("b_up")))
+        if owners.isEmpty():
             return linked.distinct()
-        linked = cut(linked)
-        large = unsettled.where(~F.col("small")).join(linked, ["a", "b"], "left_anti")
-        owners = cut(large.select("a", "b", F.col("a_part").alias("a_up"),
-                                  F.col("b_part").alias("b_up")))
-        part_side = part_side / 4
-        finer = _boxes(core, dims, part_side).withColumn(
-            "up", F.transform("part", lambda v: F.floor(v / 4)))
+        level += 1
+        parted = spots.withColumn("part", _parts(side, level))
+        finer = _boxes(parted, dims)
         a = side_of(finer, "a").withColumn("a_up", F.transform("a_part", lambda v: F.floor(v / 4)))
         b = side_of(finer, "b").withColumn("b_up", F.transform("b_part", lambda v: F.floor(v / 4)))
         pairs = owners.join(a, ["a", "a_up"]).join(b, ["b", "b_up"])

@@ -86,11 +86,13 @@ def modularity(edges: DataFrame, labels: DataFrame, label: str = "community") ->
             .toDF("part").agg(F.sum("part").alias("q")))
 
 
-def _local_moves(links: DataFrame, two_m: float, rounds: int, min_gain: float, seed: int):
+def _local_moves(links: DataFrame, two_m: float, min_gain: float, seed: int):
     """Move nodes to neighbouring communities while modularity grows; (id, comm) and modularity.
 
     ``links`` has both directions of every edge and inner weights as loops. In a round only a
-    hashed half of the nodes moves, so that two neighbours do not keep swapping places.
+    hashed half of the nodes moves, so that two neighbours do not keep swapping places. Rounds end
+    when no node wants to move, or when several in a row brought no gain; each state is scored in
+    the round that follows it, the last one too.
     """
     loops = F.col("src") == F.col("dst")
     nodes = cut(links.groupBy(F.col("src").alias("id")).agg(
@@ -98,8 +100,8 @@ def _local_moves(links: DataFrame, two_m: float, rounds: int, min_gain: float, s
         F.coalesce(F.sum(F.when(loops, F.col("weight"))), F.lit(0.0)).alias("loop"))
         .withColumn("comm", F.col("id")))
     between = links.where(~loops)
-    best_state, best_q, stale = nodes, None, 0
-    for step in range(rounds):
+    best_state, best_q, stale, step = nodes, None, 0, 0
+    while True:
         at = nodes.select(F.col("id").alias("dst"), F.col("comm").alias("to"))
         into = between.join(at, "dst").groupBy(F.col("src").alias("id"), "to").agg(
             F.sum("weight").alias("k_in"))
@@ -116,6 +118,7 @@ def _local_moves(links: DataFrame, two_m: float, rounds: int, min_gain: float, s
             .alias("best"))
         stay = F.col("k_own") - F.col("degree") * (F.col("tot") - F.col("degree")) / two_m
         turn = F.pmod(F.xxhash64(F.lit(seed + step), "id"), F.lit(2)) == 0
+        step += 1
         moves = turn & F.col("best").isNotNull() & (F.col("best.gain") > stay + 1e-12)
         decided = cut(chosen.select(
             "id", "degree", "loop", "comm", "k_own", "tot", F.coalesce(
@@ -136,17 +139,17 @@ def _local_moves(links: DataFrame, two_m: float, rounds: int, min_gain: float, s
     return best_state.select("id", "comm"), best_q
 
 
-def louvain(edges: DataFrame, nodes: DataFrame, max_levels: int = 10, rounds: int = 10,
-            min_gain: float = 1e-7, seed: int = SEED, name: str = "community",
-            method: str = "louvain") -> DataFrame:
+def louvain(edges: DataFrame, nodes: DataFrame, min_gain: float = 1e-7, seed: int = SEED,
+            name: str = "community", method: str = "louvain", groups: int = 10) -> DataFrame:
     """Communities of a weighted undirected graph: (id, community), every node labelled.
 
-    Levels of local moves and contraction, all as joins and groupings. Communities are numbered
+    Levels of local moves and contraction, all as joins and groupings, until one brings no gain.
+    Communities are numbered
     from 0 by falling size, then smallest id; a node without edges is its own community.
-    ``method='pic'`` is Spark's power iteration clustering into ``max_levels`` groups.
+    ``method='pic'`` is Spark's power iteration clustering into ``groups`` groups.
     """
     if method == "pic":
-        model = PowerIterationClustering(k=max_levels, weightCol="weight")
+        model = PowerIterationClustering(k=groups, weightCol="weight")
         found = model.assignClusters(edges.select("src", "dst", "weight"))
         labels = nodes.join(found.select("id", F.col("cluster").alias("comm")), "id", "left")
         labels = labels.select("id", F.coalesce(
@@ -157,9 +160,10 @@ def louvain(edges: DataFrame, nodes: DataFrame, max_levels: int = 10, rounds: in
                 .groupBy("src", "dst").agg(F.sum("weight").alias("weight")))
     labels = nodes.select("id", F.col("id").alias("comm"))
     two_m = links.agg(F.sum("weight")).first()[0]
-    last = None
-    for level in range(max_levels if two_m else 0):
-        moved, q = _local_moves(links, two_m, rounds, min_gain, seed + 1000 * level)
+    last, level = None, 0
+    while two_m:
+        moved, q = _local_moves(links, two_m, min_gain, seed + 1000 * level)
+        level += 1
         if last is not None and q - last < min_gain:
             break
         last = q

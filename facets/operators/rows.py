@@ -16,16 +16,16 @@ _LAST_BUCKET = "ffff"
 def dedup_keep_first(df: DataFrame, keys, order_by: str = "Id") -> DataFrame:
     """Keep, for each key, the row with the smallest ``order_by``; null keys equal each other.
 
-    An aggregation, not a window: copies collapse before the shuffle, so a key that holds a large
-    part of the table sends one row per input partition. Key columns travel once, as the key.
+    ``order_by`` is unique. An aggregation, not a window: copies collapse before the shuffle, so a
+    key that holds a large part of the table sends one row per input partition. Texts take part as
+    fixed-width hashes and stay out of the aggregation; the chosen rows are then picked by id.
     """
-    rest = [c for c in df.columns if c not in keys]
-    if not rest:
-        return df.distinct()
-    first = df.groupBy(*keys).agg(
-        F.min_by(F.struct(*rest), F.col(order_by)).alias("_first"))
-    return first.select(*[F.col(c) if c in keys else F.col("_first")[c].alias(c)
-                          for c in df.columns])
+    kinds = dict(df.dtypes)
+    hashed = [(F.sha2(c, 256) if kinds[c] == "string" else F.col(c)).alias(f"_k{i}")
+              for i, c in enumerate(keys)]
+    first = (df.select(*hashed, F.col(order_by).alias("_first"))
+             .groupBy(*[f"_k{i}" for i in range(len(keys))]).agg(F.min("_first").alias("_first")))
+    return df.join(first.select("_first"), F.col(order_by) == F.col("_first"), "left_semi")
 
 
 def drop_missing(df: DataFrame, cols=("Text", "Summary")) -> DataFrame:
@@ -114,4 +114,4 @@ def numbered(df: DataFrame, *order: Column, name: str = "idx") -> DataFrame:
     if rows is None:
         return with_index(df, *order, name=name)
     fixed = df.sparkSession.createDataFrame(rows, df.schema)
-    return fixed.withColumn(name, F.row_number().over(Window.orderBy(*order)) - 1)
+    return fixed.withColumn(name, (F.row_number().over(Window.orderBy(*order)) - 1).cast("long"))

@@ -15,7 +15,9 @@ from facets.constants import (LDA_MAX_DF, LDA_MAX_FEATURES, LDA_MIN_DF, LDA_MIN_
 from facets.operators.terms import _ranked, term_counts, with_terms
 from facets.session import cut
 
-MAX_STEPS = 200
+# Mini-batches of a pass, where a group has rows for so many of at least LEAST_BATCH.
+BATCHES = 16
+LEAST_BATCH = 128
 
 
 def topic_count(rows: int, n_topics: int = LDA_TOPICS) -> int:
@@ -41,8 +43,8 @@ def topics_per_group(df: DataFrame, group: str = "cluster", text: str = "clean_t
     """Online LDA inside every group of at least 20 rows.
 
     Returns the topics (group, sub_topic, top_words) and ``df`` with a nullable ``sub_topic``, the
-    likeliest topic of the row. Groups without a vocabulary are skipped too. The number of mini-batch
-    steps stands for ``passes`` over the group in batches of 128.
+    likeliest topic of the row. Groups without a vocabulary are skipped too. The mini-batch steps
+    draw as many rows as ``passes`` over the whole group; batches grow with the group.
     """
     rows = cut(df.select(id_col, group, text))
     sizes = {r[group]: r["count"] for r in rows.groupBy(group).count().collect()}
@@ -59,10 +61,10 @@ def topics_per_group(df: DataFrame, group: str = "cluster", text: str = "clean_t
         counted = CountVectorizerModel.from_vocabulary(words, "terms", "features")
         counts = counted.transform(terms.where(F.col(group) == g)).select(id_col, "features")
         counts = counts.persist()
-        fraction = min(1.0, 128 / sizes[g])
+        fraction = min(1.0, max(LEAST_BATCH / sizes[g], 1 / BATCHES))
         model = LDA(k=topic_count(sizes[g], n_topics), optimizer="online", seed=seed,
                     subsamplingRate=fraction, learningDecay=0.7, learningOffset=10.0,
-                    maxIter=min(MAX_STEPS, math.ceil(passes / fraction))).fit(counts)
+                    maxIter=math.ceil(passes / fraction)).fit(counts)
         for t in model.describeTopics(top).collect():
             topics.append((g, int(t["topic"]), [words[i] for i in t["termIndices"]]))
         share = vector_to_array("topicDistribution")

@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 
 from facets.constants import (BLANKS, CATEGORY_RULES, DEFAULT_CATEGORY, MISSING_MARKS,
                               NUMERIC_FEATURES, PROMPT_HEAD, PROMPT_TAIL, STOP_WORDS)
-from facets.functions.numeric import clip, with_calendar, with_helpfulness, with_holiday_flag
-from facets.functions.text import truncate, with_category, with_clean_text, with_lengths
+from facets.functions.numeric import clip, with_holiday_flag
+from facets.functions.text import truncate, with_category
 from facets.operators import (cluster, compare, density, features, graph, labels, neighbors,
                               profile, rows, temporal, terms, topics)
 from facets.plans.prepare import clean_reviews
@@ -72,9 +72,11 @@ def vectors(spark, folder):
 
 
 def plane(spark, folder):
-    """First two dimensions of the vectors."""
-    return vectors(spark, folder).select(
-        "vec_id", F.get("vec", F.lit(0)).alias("x"), F.get("vec", F.lit(1)).alias("y"))
+    """Two fixed linear combinations of all dimensions: the scaled sums of the even and the odd."""
+    def total(odd: int):
+        return F.aggregate(F.filter("vec", lambda v, i: i % 2 == odd), F.lit(0.0),
+                           lambda s, v: s + v) / F.sqrt(F.lit(32.0))
+    return vectors(spark, folder).select("vec_id", total(0).alias("x"), total(1).alias("y"))
 
 
 # ---------------------------------------------------------------- SQL building blocks
@@ -246,24 +248,24 @@ def _(spark, folder):
 
 @query("calendar", _sql('select Id, Date, "Year", "Month", "Quarter" from reviews'))
 def _(spark, folder):
-    return with_calendar(raw(spark, folder)).select("Id", "Date", "Year", "Month", "Quarter")
+    return clean(spark, folder).select("Id", "Date", "Year", "Month", "Quarter")
 
 
 @query("lengths", _sql("select Id, text_length, word_count, summary_length from reviews"))
 def _(spark, folder):
-    return with_lengths(raw(spark, folder)).select(
+    return clean(spark, folder).select(
         "Id", "text_length", "word_count", "summary_length")
 
 
 @query("helpfulness", _sql("select Id, round(helpfulness_ratio, 6) as helpfulness_ratio "
                            "from reviews"))
 def _(spark, folder):
-    return with_helpfulness(raw(spark, folder)).select("Id", "helpfulness_ratio")
+    return clean(spark, folder).select("Id", "helpfulness_ratio")
 
 
 @query("clean_text", _sql("select Id, clean_text from reviews"))
 def _(spark, folder):
-    return with_clean_text(raw(spark, folder)).select("Id", "clean_text")
+    return clean(spark, folder).select("Id", "clean_text")
 
 
 @query("numeric_features", _sql(
@@ -276,22 +278,22 @@ def _(spark, folder):
 @query("clipped_words", _sql("select Id, least(greatest(word_count, 0), 500) as words "
                              "from reviews"))
 def _(spark, folder):
-    return with_lengths(raw(spark, folder)).select("Id", clip("word_count", 0, 500).alias("words"))
+    return clean(spark, folder).select("Id", clip("word_count", 0, 500).alias("words"))
 
 
 @query("truncated_text", _sql("select Id, substr(Text, 1, 220) as start from reviews"))
 def _(spark, folder):
-    return raw(spark, folder).select("Id", truncate("Text", 220).alias("start"))
+    return clean(spark, folder).select("Id", truncate("Text", 220).alias("start"))
 
 
 @query("category", _sql("select Id, category from categorized", CATEGORIZED))
 def _(spark, folder):
-    return with_category(raw(spark, folder)).select("Id", "category")
+    return with_category(clean(spark, folder)).select("Id", "category")
 
 
 @query("holiday_flag", _sql('select Id, "Month" in (11, 12, 1) as is_holiday from reviews'))
 def _(spark, folder):
-    return with_holiday_flag(with_calendar(raw(spark, folder))).select("Id", "is_holiday")
+    return with_holiday_flag(clean(spark, folder)).select("Id", "is_holiday")
 
 
 # ---------------------------------------------------------------- reports
@@ -615,13 +617,13 @@ def _(spark, folder):
 def _(spark, folder):
     docs = staged(spark, folder).select("Id", "clean_text")
     weights, vocab = terms.tfidf_vectors(docs)
-    out, _, _ = features.lsa(docs.select("Id"), cut(weights), vocab.count(), 20)
+    out, _, _ = features.lsa(docs.select("Id"), cut(weights), vocab.count())
     return out.select("Id", F.posexplode("text_vec").alias("dim", "value"))
 
 
 @query("pca", digits=4)
 def _(spark, folder):
-    out, _, _ = features.pca(vectors(spark, folder), "vec", 10)
+    out, _, _ = features.pca(vectors(spark, folder), "vec")
     return out.select("vec_id", F.posexplode("pca").alias("pc", "value"))
 
 
@@ -648,7 +650,9 @@ PAIRS = """
 e as (select vec_id as id, label, embedding::double[] as v from embeddings),
 p as (select a.id, b.id as nbr, list_distance(a.v, b.v) as dist from e a join e b on a.id <> b.id)"""
 PLANE = """
-e as (select vec_id as id, embedding[1]::double as x, embedding[2]::double as y from embeddings),
+v as (select vec_id as id, embedding::double[] as v from embeddings),
+e as (select id, list_sum(list_filter(v, (x, i) -> i % 2 = 1)) / sqrt(32.0::double) as x,
+  list_sum(list_filter(v, (x, i) -> i % 2 = 0)) / sqrt(32.0::double) as y from v),
 p as (select a.id, b.id as nbr, sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) as dist
   from e a cross join e b)"""
 
@@ -793,18 +797,17 @@ def _(spark, folder):
     min(case when other <> label then total / n end) as b from s group by 1, 2)
   select round(avg(coalesce((b - a) / greatest(a, b), 0)), 6) as silhouette from ab""")
 def _(spark, folder):
-    return neighbors.silhouette(vectors(spark, folder), "vec_id", "vec", "label")
+    return neighbors.silhouette(vectors(spark, folder), "vec_id", "vec", "label", None)
 
 
 @query("sweep_k", digits=4)
 def _(spark, folder):
-    return cluster.sweep_k(vectors(spark, folder), "vec", (2, 3, 4, 5), restarts=2, max_iter=50,
-                           id_col="vec_id")
+    return cluster.sweep_k(vectors(spark, folder), "vec", id_col="vec_id")
 
 
 @query("kmeans")
 def _(spark, folder):
-    out, _ = cluster.kmeans(vectors(spark, folder), "vec", 5, 3, 100, id_col="vec_id")
+    out, _ = cluster.kmeans(vectors(spark, folder), "vec", 5, id_col="vec_id")
     return out.select("vec_id", "cluster")
 
 
@@ -859,7 +862,7 @@ def _(spark, folder):
 
 @query("topics")
 def _(spark, folder):
-    found, _ = topics.topics_per_group(staged(spark, folder), passes=5)
+    found, _ = topics.topics_per_group(staged(spark, folder))
     return found.withColumn("top_words", F.array_join("top_words", " "))
 
 

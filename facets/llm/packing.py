@@ -14,7 +14,9 @@ token; equal lengths are dealt by id, then checksum; rows with the same id are p
 
 from __future__ import annotations
 
+import os
 import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -27,38 +29,44 @@ from facets.session import cut, ship_package
 CAPACITY = 4096
 END = 1
 # Chunks remembered by a Python worker; the memory starts anew when it is full.
-_CACHE_CHUNKS = 300_000
+_CACHE_CHUNKS = 600_000
 _LONG_CHUNK = 64
 
 
 class ChunkTokens:
-    """Token ids of texts, a blank-separated chunk at a time.
+    """Token ids of texts, a blank-separated chunk at a time, as bytes of unsigned 32-bit numbers.
 
     For a tokenizer that drops white space and lets no token cross it, the ids of a text are those
     of its chunks in order. Chunks repeat, so their ids are remembered.
     """
 
     def __init__(self, path: str):
+        # Spark runs a worker per core already.
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[bytes, np.ndarray] = {}
+        self.known: dict[bytes, bytes] = {}
 
-    def _learn(self, chunks: list[bytes]) -> dict[bytes, np.ndarray]:
-        coded = self.tokenizer.encode_batch([c.decode() for c in chunks], add_special_tokens=False)
-        return {c: np.array(e.ids, "<u4") for c, e in zip(chunks, coded)}
+    def _learn(self, chunks: list[bytes]) -> dict[bytes, bytes]:
+        coded = self.tokenizer.encode_batch_fast([c.decode() for c in chunks],
+                                                 add_special_tokens=False)
+        return {c: array("I", e.ids).tobytes() for c, e in zip(chunks, coded)}
 
-    def ids(self, text: bytes | None) -> np.ndarray:
+    def ids(self, text: bytes | None) -> bytes:
         chunks = text.split() if text else []
-        if not chunks:
-            return np.zeros(0, "<u4")
         if len(self.known) > _CACHE_CHUNKS:
             self.known.clear()
-        fresh = [c for c in {*chunks}.difference(self.known)]
-        long = self._learn([c for c in fresh if len(c) > _LONG_CHUNK])
+        fresh = {*chunks}.difference(self.known)
+        if not fresh:
+            return b"".join(map(self.known.__getitem__, chunks))
         self.known.update(self._learn([c for c in fresh if len(c) <= _LONG_CHUNK]))
+        long = self._learn([c for c in fresh if len(c) > _LONG_CHUNK])
         if long:
-            return np.concatenate([self.known[c] if c in self.known else long[c] for c in chunks])
-        return np.concatenate(list(map(self.known.__getitem__, chunks)))
+            return b"".join(self.known[c] if c in self.known else long[c] for c in chunks)
+        return b"".join(map(self.known.__getitem__, chunks))
+
+
+_coders: dict[str, ChunkTokens] = {}
 
 
 def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY,
@@ -67,14 +75,17 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY,
     ship_package(docs.sparkSession)
 
     def kernel(batches):
-        coder = ChunkTokens(tokenizer_path)
+        coder = _coders.get(tokenizer_path)
+        if coder is None:
+            coder = _coders[tokenizer_path] = ChunkTokens(tokenizer_path)
+        last = array("I", [end]).tobytes()
         for batch in batches:
             row, piece, start, length, crc = [], [], [], [], []
             for k, text in enumerate(batch.column(1).cast(pa.binary()).to_pylist()):
-                ids = np.append(coder.ids(text), np.array([end], "<u4")).astype("<u4")
-                raw = ids.tobytes()
-                for n, at in enumerate(range(0, len(ids), capacity)):
-                    size = min(capacity, len(ids) - at)
+                raw = coder.ids(text) + last
+                count = len(raw) // 4
+                for n, at in enumerate(range(0, count, capacity)):
+                    size = min(capacity, count - at)
                     row.append(k)
                     piece.append(n)
                     start.append(at)
@@ -165,7 +176,8 @@ def best_fit_runs(histogram: dict[int, int], capacity: int = CAPACITY) -> list[t
 def pack(cut_pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """Pieces with sequence_id and offset; the packing is that of best-fit decreasing."""
     ship_package(cut_pieces.sparkSession)
-    placed = with_index(cut_pieces, F.desc("length"), F.col("doc_id"), F.col("ids_crc32"),
+    # Written first: the range sort reads its input twice, once for the ranges.
+    placed = with_index(cut(cut_pieces), F.desc("length"), F.col("doc_id"), F.col("ids_crc32"),
                         F.col("piece"), name="_idx")
     placed = cut(placed)
     histogram = {r[0]: r[1] for r in placed.groupBy("length").agg(

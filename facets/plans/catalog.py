@@ -651,8 +651,8 @@ e as (select vec_id as id, label, embedding::double[] as v from embeddings),
 p as (select a.id, b.id as nbr, list_distance(a.v, b.v) as dist from e a join e b on a.id <> b.id)"""
 PLANE = """
 v as (select vec_id as id, embedding::double[] as v from embeddings),
-e as (select id, list_sum(list_filter(v, (x, i) -> i % 2 = 1)) / sqrt(32.0::double) as x,
-  list_sum(list_filter(v, (x, i) -> i % 2 = 0)) / sqrt(32.0::double) as y from v),
+e as (select id, list_sum(list_filter(v, lambda x, i: i % 2 = 1)) / sqrt(32.0::double) as x,
+  list_sum(list_filter(v, lambda x, i: i % 2 = 0)) / sqrt(32.0::double) as y from v),
 p as (select a.id, b.id as nbr, sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) as dist
   from e a cross join e b)"""
 

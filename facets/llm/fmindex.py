@@ -19,10 +19,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from facets.llm.batches import texts, tidy
 from facets.session import cut, ship_package
 
 WINDOW = 10
-SHARD_WORDS = 2_000_000
+SHARD_WORDS = 1_000_000
 # Benchmark text searched in one pass; a larger benchmark takes more passes over the documents.
 BLOCK_BYTES = 32 << 20
 SAMPLE = 8
@@ -253,7 +254,7 @@ def search_batches(batches, windows: Windows, shard_words: int, column: int):
 
     for batch in batches:
         held.append(batch)
-        for text in batch.column(column).cast(pa.binary()).to_pylist():
+        for text in texts(batch.column(column)):
             words = words_of(text)
             sizes.append(len(words))
             symbols.append(np.fromiter((number(w, 0) for w in words), np.int64, len(words)))
@@ -263,6 +264,7 @@ def search_batches(batches, windows: Windows, shard_words: int, column: int):
             held, sizes, symbols, total = [], [], [], 0
     if held:
         yield flush()
+    tidy()
 
 
 def item_blocks(benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> Iterator[list]:

@@ -23,13 +23,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from facets.llm.batches import texts, tidy
 from facets.operators.rows import with_index
 from facets.session import cut, ship_package
 
 CAPACITY = 4096
 END = 1
 # Chunks remembered by a Python worker; the memory starts anew when it is full.
-_CACHE_CHUNKS = 600_000
+_CACHE_CHUNKS = 400_000
 _LONG_CHUNK = 64
 
 
@@ -81,7 +82,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY,
         last = array("I", [end]).tobytes()
         for batch in batches:
             row, piece, start, length, crc = [], [], [], [], []
-            for k, text in enumerate(batch.column(1).cast(pa.binary()).to_pylist()):
+            for k, text in enumerate(texts(batch.column(1))):
                 raw = coder.ids(text) + last
                 count = len(raw) // 4
                 for n, at in enumerate(range(0, count, capacity)):
@@ -96,6 +97,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY,
                  pa.array(start, pa.int64()), pa.array(length, pa.int64()),
                  pa.array(crc, pa.int64())],
                 ["doc_id", "piece", "start", "length", "ids_crc32"])
+        tidy()
 
     rows = docs.select("doc_id", F.col("text").cast("string").alias("text"))
     return rows.mapInArrow(kernel, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, "

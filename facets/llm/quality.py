@@ -19,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from facets.llm.batches import texts, tidy
 from facets.session import ship_package
 
 BITS = 18
@@ -27,7 +28,7 @@ EPOCHS = 4
 THRESHOLD = 0.7
 _REPEAT = 0x5BD1E995
 _PAIR = np.uint32(0x9E3779B1)
-_CACHE_WORDS = 400_000
+_CACHE_WORDS = 200_000
 _hashes: dict[bytes, int] = {}
 
 
@@ -38,6 +39,12 @@ def _word_hash(word: bytes) -> int:
     return zlib.crc32(core.lower()) << 32 | (zlib.crc32(shape) if shape else 0)
 
 
+def forget() -> None:
+    """A task's word hashes are soon made again; the worker should not keep them."""
+    _hashes.clear()
+    tidy()
+
+
 def features(text: bytes | None, bits: int = BITS) -> tuple[np.ndarray, np.ndarray]:
     """Distinct n-gram buckets of a whole text, and their values (unit length)."""
     words = text.split() if text else []
@@ -118,12 +125,13 @@ def fit(docs: DataFrame, labels: DataFrame, learn_from: Column | None = None,
 
     def kernel(batches):
         for batch in batches:
-            got = [features(t, bits) for t in batch.column(1).cast(pa.binary()).to_pylist()]
+            got = [features(t, bits) for t in texts(batch.column(1))]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(2),
                  pa.array([a.astype(np.int32).tobytes() for a, _ in got], pa.binary()),
                  pa.array([v.astype(np.float32).tobytes() for _, v in got], pa.binary())],
                 ["doc_id", "quality", "at", "value"])
+        forget()
 
     id_type = docs.schema["doc_id"].dataType.simpleString()
     made = rows.select("doc_id", "text", "quality").mapInArrow(
@@ -140,9 +148,10 @@ def scores(docs: DataFrame, model: Model) -> DataFrame:
 
     def kernel(batches):
         for batch in batches:
-            got = [shared.value.score(t) for t in batch.column(1).cast(pa.binary()).to_pylist()]
+            got = [shared.value.score(t) for t in texts(batch.column(1))]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(got, pa.float64())],
                                              ["doc_id", "score"])
+        forget()
 
     rows = docs.select("doc_id", F.col("text").cast("string").alias("text"))
     return rows.mapInArrow(
@@ -157,8 +166,8 @@ def keep_good(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> Da
 
     def kernel(batches):
         for batch in batches:
-            keep = [shared.value.score(t) >= threshold
-                    for t in batch.column(text_at).cast(pa.binary()).to_pylist()]
+            keep = [shared.value.score(t) >= threshold for t in texts(batch.column(text_at))]
             yield batch.filter(pa.array(keep, pa.bool_()))
+        forget()
 
     return docs.mapInArrow(kernel, docs.schema)

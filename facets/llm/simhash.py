@@ -22,6 +22,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from facets.llm.batches import texts, tidy
 from facets.operators.graph import components
 from facets.session import attach, cut, ship_package
 
@@ -67,10 +68,11 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
 
     def kernel(batches):
         for batch in batches:
-            texts = batch.column(1).cast(pa.binary()).to_pylist()
-            found = np.array([fingerprint(t, shingle) for t in texts], np.uint64).view(np.int64)
+            found = np.array([fingerprint(t, shingle) for t in texts(batch.column(1))],
+                             np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(2), pa.array(found)], ["doc_id", "text_hash", "fp"])
+        tidy()
 
     text = F.col("text").cast("string")
     rows = docs.select("doc_id", text.alias("text"), F.xxhash64(text).alias("text_hash"))

@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from facets.constants import LSA_DIMS, NUMERIC_WEIGHT, PCA_DIMS, SEED, TEXT_WEIGHT
+from facets.session import ship_package
 
 _FAN_IN = 32
 _CHUNK_CELLS = 65_536
@@ -61,6 +62,7 @@ def sum_matrices(df: DataFrame, partial, shape) -> np.ndarray:
             yield pd.DataFrame({"m": [total.tobytes()]})
 
     left = df.rdd.getNumPartitions()
+    ship_package(df.sparkSession)
     sums = df.mapInPandas(first, "m binary")
     while left > _FAN_IN:
         left = math.ceil(left / _FAN_IN)
@@ -163,6 +165,7 @@ def project(vectors: DataFrame, loadings: np.ndarray, key: str = "Id",
                 yield pd.DataFrame({key: batch[key].to_numpy()[at], name: list(out)})
 
     key_type = dict(vectors.dtypes)[key]
+    ship_package(vectors.sparkSession)
     return vectors.mapInPandas(times, f"{key} {key_type}, {name} array<double>")
 
 

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from facets.constants import DBSCAN_MIN_SAMPLES, FINAL_SAMPLE, GRAPH_NEIGHBORS, SEED
 from facets.operators.rows import draw, sample_exact, with_index
-from facets.session import attach, cut
+from facets.session import attach, cut, ship_package
 
 BLOCK_ROWS = 2000
 MAX_PIVOTS = 1024
@@ -71,6 +71,7 @@ def assign_nearest(df: DataFrame, centers: np.ndarray, vec: str = "vec",
                 yield batch.assign(**{name: best,
                                       f"{name}_dist": _exact(points, shared.value[best])})
 
+    ship_package(df.sparkSession)
     return df.mapInPandas(label, _schema(df, f"{name} int", f"{name}_dist double"))
 
 
@@ -79,6 +80,7 @@ def _pairs(left: DataFrame, right: DataFrame, kernel, schema: str) -> DataFrame:
     keys = ["cell", "lb", "rb"]
     # Both sides may stem from one table; fresh names keep their columns apart.
     left = left.select(*[F.col(c).alias(c) for c in left.columns])
+    ship_package(left.sparkSession)
     return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(kernel, schema)
 
 
@@ -161,6 +163,7 @@ def _route(cells: DataFrame, pivots, radius, nearest, k: int) -> DataFrame:
                                     "cell": cell.astype("i4")})
 
     key = dict(cells.dtypes)["rep"]
+    ship_package(cells.sparkSession)
     return cells.select("rep", "vec").mapInPandas(
         send, f"rep {key}, vec array<double>, cell int")
 

@@ -31,11 +31,13 @@ def drift_stack(df: DataFrame, cluster_col: str = "cluster", values=None,
     shares = drift_share(df, cluster_col, values, min_count)
     names = [c for c in shares.columns if c != "Year"]
     rows = shares.unpivot("Year", names, "_name", "pct")
-    order = Window.partitionBy("Year").orderBy(cluster_col).rowsBetween(
-        Window.unboundedPreceding, Window.currentRow)
+    order = Window.partitionBy("Year").orderBy(cluster_col)
+    below = order.rowsBetween(Window.unboundedPreceding, -1)
+    through = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     return (rows.withColumn(cluster_col, F.substring("_name", 2, 20).cast("int")).drop("_name")
-            .withColumn("top", F.sum("pct").over(order))
-            .select("Year", cluster_col, "pct", (F.col("top") - F.col("pct")).alias("base"), "top"))
+            .select("Year", cluster_col, "pct",
+                    F.coalesce(F.sum("pct").over(below), F.lit(0.0)).alias("base"),
+                    F.sum("pct").over(through).alias("top")))
 
 
 def complaint_cluster(df: DataFrame, cluster_col: str = "cluster") -> DataFrame:

@@ -481,11 +481,12 @@ def _(spark, folder):
     from y cross join range(5) c
     left join reviews r on r."Year" = y."Year" and r.cluster = c.range group by 1, 2)
   select "Year", cast(cluster as int) as cluster, round(pct, 6) as pct,
-    round(sum(pct) over w - pct, 6) as base, round(sum(pct) over w, 6) as top from s
+    round(coalesce(sum(pct) over (partition by "Year" order by cluster
+      rows between unbounded preceding and 1 preceding), 0), 6) as base,
+    round(sum(pct) over w, 6) as top from s
   window w as (partition by "Year" order by cluster rows unbounded preceding)"""))
 def _(spark, folder):
-    out = temporal.drift_stack(staged(spark, folder), values=list(CLUSTERS))
-    return out.withColumn("base", F.abs("base"))
+    return temporal.drift_stack(staged(spark, folder), values=list(CLUSTERS))
 
 
 @query("complaint_cluster", _sql("""select cluster, round(avg(Score), 6) as avg_score,

@@ -62,7 +62,13 @@ def segment(raw: DataFrame, *, n_samples: int | None = None, k: int | None = Non
     by_kmeans = cut(by_kmeans.select("Id", "cluster"))
     by_ward = cluster.ward(feats.select("Id", "ward_pca"), "ward_pca", k, seed=seed)
     by_ward = cut(by_ward.select("Id", "agg_cluster"))
-    by_density = density.dbscan(feats, "Id", ["map_x", "map_y"], eps, min_samples)
+    plane = ["map_x", "map_y"]
+    out["distance_curve"] = cut(neighbors.distance_curve(
+        neighbors.k_distance(feats, "Id", plane, min_samples)))
+    out["suggested_eps"] = neighbors.suggest_eps(out["distance_curve"])
+    if eps is None:
+        eps = out["suggested_eps"].first()["eps"]
+    by_density = density.dbscan(feats, "Id", plane, eps, min_samples)
     edges = cut(graph.knn_graph(feats, "Id", "pca", neighbors_k))
     communities = cut(graph.louvain(edges, feats.select(F.col("Id").alias("id")), seed=seed))
     marked = cut(

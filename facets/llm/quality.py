@@ -107,8 +107,8 @@ def fit(docs: DataFrame, labels: DataFrame, learn_from: Column | None = None,
         sample: int = SAMPLE, bits: int = BITS) -> Model:
     """Train on about ``sample`` labelled documents (at most twice as many), chosen by a hash.
 
-    The bound keeps what the driver holds, a few hundred numbers per document, independent of the
-    table. Features are computed on the executors from whole texts.
+    The bound keeps what the training task holds, a few hundred numbers per document, independent
+    of the table. Features are computed on the executors from whole texts.
     """
     ship_package(docs.sparkSession)
     usable = labels.where(F.col("quality").isin(0, 1))
@@ -133,12 +133,27 @@ def fit(docs: DataFrame, labels: DataFrame, learn_from: Column | None = None,
                 ["doc_id", "quality", "at", "value"])
         forget()
 
+    def learn(batches):
+        got = []
+        for batch in batches:
+            got.extend(zip(*(c.to_pylist() for c in batch.columns)))
+        got.sort(key=lambda r: (str(r[0]), *r[1:]))
+        model = train([(np.frombuffer(a, np.int32), np.frombuffer(v, np.float32), y)
+                       for _, y, a, v in got], bits)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([model.weights.tobytes()], pa.binary()),
+             pa.array([model.intercept], pa.float64())], ["weights", "intercept"])
+        del got, model
+        tidy()
+
     id_type = docs.schema["doc_id"].dataType.simpleString()
     made = rows.select("doc_id", "text", "quality").mapInArrow(
         kernel, f"doc_id {id_type}, quality int, at binary, value binary").limit(4 * sample)
-    got = sorted((str(r[0]), r[1], bytes(r[2]), bytes(r[3])) for r in made.toLocalIterator())
-    return train([(np.frombuffer(a, np.int32).astype(np.int64),
-                   np.frombuffer(v, np.float32).astype(float), y) for _, y, a, v in got], bits)
+    # One task trains: the sample is bounded, and only the weights reach the driver.
+    learned = made.repartition(1).mapInArrow(learn, "weights binary, intercept double").first()
+    if learned is None:
+        return train([], bits)
+    return Model(np.frombuffer(bytes(learned["weights"]), np.float32), learned["intercept"], bits)
 
 
 def scores(docs: DataFrame, model: Model) -> DataFrame:

@@ -251,6 +251,18 @@ def test_secrets(docs, texts, none):
     assert credentials.secret_spans(none).count() == 0
 
 
+def test_secret_behind_equals_sign(spark):
+    """NAME=value lines: the secret counts next to an access identifier, and not alone."""
+    value = "Zz9" + "aB3" * 9
+    both = "AWS_ACCESS_KEY_ID=AKIA" + "A" * 16 + "\nAWS_SECRET_ACCESS_KEY=" + value
+    alone = "AWS_SECRET_ACCESS_KEY=" + value
+    rows = credentials.secret_spans(spark.createDataFrame(
+        [(1, both), (2, alone)], "doc_id long, text string")).collect()
+    found = {r["doc_id"]: [(s["start"], s["end"]) for s in r["spans"] if s["kind"] == 4]
+             for r in rows}
+    assert found == {1: [(both.index(value), len(both))], 2: []}
+
+
 def test_redaction(docs, texts, none):
     clean = credentials.redact(docs)
     assert clean.columns == docs.columns

@@ -63,7 +63,8 @@ LDA_MIN_DF = 2
 LDA_MAX_DF = 0.90
 LDA_MIN_ROWS = 20
 
-# Label prompts. {c}, {n}, {rating}, {terms} and {reviews} are filled per cluster.
+# Label prompts, fixed wording. {subject} is filled once; the places of the middle part take the
+# cluster, its size, mean rating, terms and sampled reviews.
 LABEL_TERMS = 12
 LABEL_REVIEWS = 3
 PROMPT_HEAD = (
@@ -72,6 +73,10 @@ PROMPT_HEAD = (
     "2. A one-sentence description (max 25 words)\n"
     "3. Dominant sentiment: Positive / Negative / Mixed / Neutral\n\n"
 )
+PROMPT_BODY = (
+    "Cluster %s info:\n- Reviews: %s  |  Avg rating: %.2f/5.0\n- Top terms: %s\n"
+    "- Sample reviews:\n%s"
+)
 PROMPT_TAIL = (
     "\n\nRespond ONLY with valid JSON, no other text:\n"
     '{"label": "...", "description": "...", "sentiment": "..."}'
@@ -97,3 +102,6 @@ weren't haven't hasn't hadn't don't doesn't didn't won't wouldn't shan't shouldn
 couldn't cannot could here's how's let's ought that's there's what's when's where's who's why's
 would
 """.split())
+
+# Clean-up patterns, fixed values, applied in order; each match becomes one blank.
+CLEAN_STEPS = (r"<[^>]+>", rf"http[^{BLANKS}]+", r"[^a-z]+")

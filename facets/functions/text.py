@@ -5,16 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from facets.constants import BLANKS, CATEGORY_RULES, DEFAULT_CATEGORY
-
-# Applied in order; each match becomes one blank.
-_CLEAN_STEPS = (r"<[^>]+>", rf"http[^{BLANKS}]+", r"[^a-z]+")
+from facets.constants import BLANKS, CATEGORY_RULES, CLEAN_STEPS, DEFAULT_CATEGORY
 
 
 def clean(col: Column) -> Column:
     """Lower case; tags, links and everything but a-z become single blanks; trimmed."""
     out = F.lower(col)
-    for pattern in _CLEAN_STEPS:
+    for pattern in CLEAN_STEPS:
         out = F.regexp_replace(out, pattern, " ")
     return F.trim(out)
 

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from facets.constants import LABEL_REVIEWS, LABEL_TERMS, PROMPT_HEAD, PROMPT_TAIL, SEED
+from facets.constants import (LABEL_REVIEWS, LABEL_TERMS, PROMPT_BODY, PROMPT_HEAD, PROMPT_TAIL,
+                              SEED)
 from facets.operators.profile import group_cards
 from facets.operators.rows import draw, sample_per_group
 from facets.operators.terms import label_terms
@@ -32,8 +33,7 @@ def label_prompts(df: DataFrame, group: str = "cluster", text: str = "clean_text
         lambda q: q["line"]), "\n").alias("_quotes"))
     terms = label_terms(df, group, text, n_terms)
     body = F.format_string(
-        "Cluster %s info:\n- Reviews: %s  |  Avg rating: %.2f/5.0\n- Top terms: %s\n"
-        "- Sample reviews:\n%s",
+        PROMPT_BODY,
         F.col(group).cast("string"), F.format_number("n_reviews", 0), F.col("avg_rating"),
         F.array_join(F.slice("terms", 1, n_terms), ", "), "_quotes")
     return (group_cards(df, group).join(terms, group).join(quotes, group)

@@ -11,6 +11,8 @@ import math
 
 import numpy as np
 import pandas as pd
+from pyspark.ml.evaluation import ClusteringEvaluator
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -335,6 +337,20 @@ def silhouettes(df: DataFrame, id_col: str, vec_col: str, labels,
 
 
 def silhouette(df: DataFrame, id_col: str, vec_col: str, label: str,
-               sample: int | None = FINAL_SAMPLE, seed: int = SEED) -> DataFrame:
-    """Mean silhouette over the sample: one row."""
-    return silhouettes(df, id_col, vec_col, [label], sample, seed).select("silhouette")
+               sample: int | None = FINAL_SAMPLE, seed: int = SEED,
+               method: str = "euclidean") -> DataFrame:
+    """Mean silhouette: one row; null with fewer than two clusters under ``squared``.
+
+    ``euclidean`` compares the rows of the sample with each other. ``squared`` takes squared
+    distances, whose means follow from one sum of vectors per cluster, so all rows count.
+    """
+    if method == "euclidean":
+        return silhouettes(df, id_col, vec_col, [label], sample, seed).select("silhouette")
+    if method != "squared":
+        raise ValueError(f"unknown method: {method}")
+    rows = df.select(array_to_vector(F.col(vec_col).cast("array<double>")).alias("features"),
+                     F.col(label).cast("double").alias("prediction"))
+    found = None
+    if rows.select("prediction").distinct().limit(2).count() == 2:
+        found = float(ClusteringEvaluator(distanceMeasure="squaredEuclidean").evaluate(rows))
+    return df.sparkSession.createDataFrame([(found,)], "silhouette double")

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from facets.constants import SEED
 from facets.functions.numeric import clip
 from facets.operators.rows import sample_exact
+from facets.session import cut
 
 
 def _share(condition: Column) -> Column:
@@ -71,9 +72,9 @@ def box_stats(df: DataFrame, value: str = "word_count", group: str = "Score",
 
     Everything follows from the count of each (group, value), so the large table is read once.
     """
-    counts = (df.select(F.col(group), clip(value, lo, hi).alias("_v"))
-              .where(F.col("_v").isNotNull())
-              .groupBy(group, "_v").agg(F.count("*").alias("_n")))
+    counts = cut(df.select(F.col(group), clip(value, lo, hi).alias("_v"))
+                 .where(F.col("_v").isNotNull())
+                 .groupBy(group, "_v").agg(F.count("*").alias("_n")))
     box = counts.groupBy(group).agg(
         F.sum("_n").alias("n"),
         F.percentile("_v", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), F.col("_n")).alias("_q"))
@@ -82,7 +83,7 @@ def box_stats(df: DataFrame, value: str = "word_count", group: str = "Score",
     reach = 1.5 * (F.col("q3") - F.col("q1"))
     inside = F.col("_v").between(F.col("q1") - reach, F.col("q3") + reach)
     notch = 1.57 * (F.col("q3") - F.col("q1")) / F.sqrt("n")
-    # Both sides are a few hundred counts per group, from one shared shuffle.
+    # Both sides are counts of distinct values, written once above.
     spread = counts.join(box, group).groupBy(group, "n", "q1", "median", "q3").agg(
         F.min(F.when(inside, F.col("_v"))).alias("_low"),
         F.max(F.when(inside, F.col("_v"))).alias("_high"),
@@ -113,9 +114,9 @@ def correlation(df: DataFrame, cols) -> DataFrame:
 
 
 def group_sizes(df: DataFrame, col: str) -> DataFrame:
-    total = df.agg(F.count("*")).scalar()
-    return (df.groupBy(col).agg(F.count("*").alias("n"))
-            .select(col, "n", (F.col("n") * 100.0 / total).alias("pct")))
+    sizes = cut(df.groupBy(col).agg(F.count("*").alias("n")))  # the large table is read once
+    total = sizes.agg(F.sum("n")).scalar()
+    return sizes.select(col, "n", (F.col("n") * 100.0 / total).alias("pct"))
 
 
 def profile(df: DataFrame, by: str = "cluster", share: bool = False) -> DataFrame:
@@ -130,9 +131,9 @@ def profile(df: DataFrame, by: str = "cluster", share: bool = False) -> DataFram
     ]
     if not share:
         return df.groupBy(by).agg(*wanted, F.avg("HelpfulnessDenominator").alias("avg_votes"))
-    total = df.agg(F.count("*")).scalar()
-    return df.groupBy(by).agg(*wanted).withColumn(
-        "pct_reviews", F.col("n_reviews") * 100.0 / total)
+    groups = cut(df.groupBy(by).agg(*wanted))
+    total = groups.agg(F.sum("n_reviews")).scalar()
+    return groups.withColumn("pct_reviews", F.col("n_reviews") * 100.0 / total)
 
 
 def group_cards(df: DataFrame, by: str = "cluster") -> DataFrame:

@@ -56,9 +56,9 @@ def clean(spark, folder):
     return clean_reviews(raw(spark, folder))
 
 
-def staged(spark, folder):
-    """The cleaned reviews, written once for a query that reads them several times."""
-    return cut(clean(spark, folder))
+def staged(spark, folder, *columns):
+    """Columns of the cleaned reviews, written once for a query that reads them several times."""
+    return cut(clean(spark, folder).select(*columns))
 
 
 def table(spark, folder, name):
@@ -233,7 +233,7 @@ def _(spark, folder):
 @query("keep_frequent", _sql("""select Id, "Year" from reviews where "Year" in (
   select "Year" from reviews group by "Year" having count(*) >= 150)"""))
 def _(spark, folder):
-    return rows.keep_frequent(staged(spark, folder), "Year", 150).select("Id", "Year")
+    return rows.keep_frequent(staged(spark, folder, "Id", "Year"), "Year", 150)
 
 
 @query("row_index", """select cast(row_number() over (
@@ -326,13 +326,14 @@ def _histogram_sql(value: str, where: str, bins: int) -> str:
 
 @query("histogram_words", _histogram_sql("least(greatest(word_count, 0), 600)", "true", 70))
 def _(spark, folder):
-    return profile.histogram(staged(spark, folder), "word_count", 70, 0, 600)
+    return profile.histogram(staged(spark, folder, "word_count"), "word_count", 70, 0, 600)
 
 
 @query("histogram_helpfulness", _histogram_sql("helpfulness_ratio", "HelpfulnessDenominator > 0",
                                                50))
 def _(spark, folder):
-    voted = staged(spark, folder).where(F.col("HelpfulnessDenominator") > 0)
+    voted = cut(clean(spark, folder).where(F.col("HelpfulnessDenominator") > 0)
+                .select("helpfulness_ratio"))
     return profile.histogram(voted, "helpfulness_ratio", 50)
 
 
@@ -395,26 +396,27 @@ def _freq_sql(text: str, part: str, sample: int, top: int) -> str:
 
 @query("word_freq", _freq_sql("Text", "everything", 5000, 120))
 def _(spark, folder):
-    return terms.word_freq(staged(spark, folder), "Text", 120, sample=5000)
+    return terms.word_freq(staged(spark, folder, "Id", "Text"), "Text", 120, sample=5000)
 
 
 @query("word_freq_by_cluster", _freq_sql("clean_text", "cluster", 3000, 80))
 def _(spark, folder):
-    return terms.word_freq(staged(spark, folder), "clean_text", 80, "cluster", 3000)
+    docs = staged(spark, folder, "Id", "cluster", "clean_text")
+    return terms.word_freq(docs, "clean_text", 80, "cluster", 3000)
 
 
 @query("cluster_sizes", _sql("""select cluster, count(*) as n,
   round(100.0::double * count(*) / (select count(*) from reviews), 6) as pct
   from reviews group by 1"""))
 def _(spark, folder):
-    return profile.group_sizes(staged(spark, folder), "cluster")
+    return profile.group_sizes(clean(spark, folder), "cluster")
 
 
 @query("category_sizes", _sql("""select category, count(*) as n,
   round(100.0::double * count(*) / (select count(*) from reviews), 6) as pct
   from categorized group by 1""", CATEGORIZED))
 def _(spark, folder):
-    return profile.group_sizes(with_category(staged(spark, folder)), "category")
+    return profile.group_sizes(with_category(clean(spark, folder)), "category")
 
 
 @query("cluster_profile", _sql(f"""select cluster, {_PROFILE},
@@ -427,7 +429,7 @@ def _(spark, folder):
   round(100.0::double * count(*) / (select count(*) from reviews), 6) as pct_reviews
   from reviews group by 1"""))
 def _(spark, folder):
-    return profile.profile(staged(spark, folder), "cluster", share=True)
+    return profile.profile(clean(spark, folder), "cluster", share=True)
 
 
 _SCALED = ("avg_rating", "pct_5star", "pct_1star", "avg_words", "avg_helpfulness", "avg_votes")
@@ -441,7 +443,7 @@ _SCALED = ("avg_rating", "pct_5star", "pct_1star", "avg_words", "avg_helpfulness
     f"round(({c} - min({c}) over ()) / nullif(max({c}) over () - min({c}) over (), 0), 6) as {c}"
     for c in _SCALED) + " from p"))
 def _(spark, folder):
-    scaled = profile.minmax_scale(profile.profile(staged(spark, folder)), _SCALED)
+    scaled = profile.minmax_scale(cut(profile.profile(clean(spark, folder))), _SCALED)
     return scaled.drop("n_reviews")
 
 
@@ -466,13 +468,14 @@ _LIVELY = """ from reviews where "Year" in (
 @query("drift_share", _sql(_pivot('"Year"', "cluster", CLUSTERS, lambda c: f"c{c}", "count(*)") +
                            _LIVELY))
 def _(spark, folder):
-    return temporal.drift_share(staged(spark, folder), values=list(CLUSTERS))
+    return temporal.drift_share(staged(spark, folder, "Year", "cluster"), values=list(CLUSTERS))
 
 
 @query("drift_rating", _sql('select "Year", ' + ", ".join(
     f"round(avg(case when cluster = {c} then Score end), 6) as c{c}" for c in CLUSTERS) + _LIVELY))
 def _(spark, folder):
-    return temporal.drift_rating(staged(spark, folder), values=list(CLUSTERS))
+    scores = staged(spark, folder, "Year", "cluster", "Score")
+    return temporal.drift_rating(scores, values=list(CLUSTERS))
 
 
 @query("drift_stack", _sql("""
@@ -486,7 +489,7 @@ def _(spark, folder):
     round(sum(pct) over w, 6) as top from s
   window w as (partition by "Year" order by cluster rows unbounded preceding)"""))
 def _(spark, folder):
-    return temporal.drift_stack(staged(spark, folder), values=list(CLUSTERS))
+    return temporal.drift_stack(staged(spark, folder, "Year", "cluster"), values=list(CLUSTERS))
 
 
 @query("complaint_cluster", _sql("""select cluster, round(avg(Score), 6) as avg_score,
@@ -501,7 +504,7 @@ def _(spark, folder):
   from range(1, 13) m left join (select * from reviews where cluster in (from worst)) r
     on r."Month" = m.range group by m.range"""))
 def _(spark, folder):
-    return temporal.monthly_volume(staged(spark, folder))
+    return temporal.monthly_volume(staged(spark, folder, "cluster", "Score", "Month"))
 
 
 @query("group_cards", _sql("""select cluster, count(*) as n_reviews,
@@ -529,7 +532,7 @@ def _(spark, folder):
   from c"""))
 def _(spark, folder):
     # Shares of the star values stand for component ratios, which SQL could not compute.
-    stars = staged(spark, folder)
+    stars = staged(spark, folder, "Score")
     total = stars.agg(F.count("*")).scalar()
     return profile.explained_variance(stars.groupBy(F.col("Score").alias("pc")).agg(
         F.count("*").alias("_n")).select("pc", (F.col("_n") / total).alias("ratio")))
@@ -539,7 +542,8 @@ def _(spark, folder):
   round(helpfulness_ratio, 6) as helpfulness_ratio, Score from reviews
   where HelpfulnessDenominator > 2 order by {_drawn('Id')} limit 3000"""))
 def _(spark, folder):
-    return profile.helpfulness_scatter(staged(spark, folder))
+    return profile.helpfulness_scatter(staged(
+        spark, folder, "Id", "word_count", "helpfulness_ratio", "HelpfulnessDenominator", "Score"))
 
 
 # ---------------------------------------------------------------- terms and features
@@ -553,7 +557,7 @@ def _(spark, folder):
   select Id, term, round(w / sqrt(sum(w * w) over (partition by Id)), 6) as weight from w""",
     COUNTED))
 def _(spark, folder):
-    return terms.tfidf(staged(spark, folder))
+    return terms.tfidf(staged(spark, folder, "Id", "clean_text"))
 
 
 @query("vocabulary", _sql("""
@@ -564,7 +568,7 @@ def _(spark, folder):
     round(ln((1.0::double + (select count(*) from reviews)) / (1 + df)) + 1, 6) as idf from v""",
     COUNTED))
 def _(spark, folder):
-    docs = staged(spark, folder)
+    docs = staged(spark, folder, "Id", "cluster", "clean_text")
     return terms.vocabulary(terms.term_counts(docs), docs.count())
 
 
@@ -594,14 +598,16 @@ _LABEL_TERMS = _terms_sql(2000, 2, 12) + """,
 @query("label_terms", _sql(_LABEL_TERMS + """ select cluster, array_to_string(terms, ', ') as terms
   from label_terms""", COUNTED))
 def _(spark, folder):
-    return terms.label_terms(staged(spark, folder)).withColumn("terms", F.array_join("terms", ", "))
+    found = terms.label_terms(staged(spark, folder, "Id", "cluster", "clean_text"))
+    return found.withColumn("terms", F.array_join("terms", ", "))
 
 
 @query("standardize", _sql("select Id, " + ", ".join(
     f"round(({c} - avg({c}) over ()) / stddev_pop({c}) over (), 6) as {c}_std"
     for c in NUMERIC_FEATURES) + " from reviews"))
 def _(spark, folder):
-    scaled = features.standardize(staged(spark, folder), NUMERIC_FEATURES)
+    scaled = features.standardize(
+        staged(spark, folder, "Id", *NUMERIC_FEATURES), NUMERIC_FEATURES)
     return scaled.select("Id", *[f"{c}_std" for c in NUMERIC_FEATURES])
 
 
@@ -616,7 +622,7 @@ def _(spark, folder):
 
 @query("lsa", digits=3)
 def _(spark, folder):
-    docs = staged(spark, folder).select("Id", "clean_text")
+    docs = staged(spark, folder, "Id", "clean_text")
     weights, vocab = terms.tfidf_vectors(docs)
     out, _, _ = features.lsa(docs.select("Id"), cut(weights), vocab.count())
     return out.select("Id", F.posexplode("text_vec").alias("dim", "value"))
@@ -801,6 +807,16 @@ def _(spark, folder):
     return neighbors.silhouette(vectors(spark, folder), "vec_id", "vec", "label", None)
 
 
+@query("silhouette_squared", f"""with {PAIRS},
+  s as (select p.id, a.label, b.label as other, sum(dist * dist) as total, count(*) as n from p
+    join e a on a.id = p.id join e b on b.id = p.nbr group by all),
+  ab as (select id, label, max(case when other = label then total / n end) as a,
+    min(case when other <> label then total / n end) as b from s group by 1, 2)
+  select round(avg(coalesce((b - a) / greatest(a, b), 0)), 6) as silhouette from ab""")
+def _(spark, folder):
+    return neighbors.silhouette(vectors(spark, folder), "vec_id", "vec", "label", method="squared")
+
+
 @query("sweep_k", digits=4)
 def _(spark, folder):
     return cluster.sweep_k(vectors(spark, folder), "vec", id_col="vec_id")
@@ -858,12 +874,12 @@ def _(spark, folder):
     as rank from t join s on s.cluster = t.cluster where df >= 2 and df <= 0.9::double * n)
   select cluster, rank, term, cf, df from r where rank <= 2000""", COUNTED))
 def _(spark, folder):
-    return topics.group_vocabularies(staged(spark, folder))
+    return topics.group_vocabularies(staged(spark, folder, "Id", "cluster", "clean_text"))
 
 
 @query("topics")
 def _(spark, folder):
-    found, _ = topics.topics_per_group(staged(spark, folder))
+    found, _ = topics.topics_per_group(staged(spark, folder, "Id", "cluster", "clean_text"))
     return found.withColumn("top_words", F.array_join("top_words", " "))
 
 
@@ -898,7 +914,8 @@ def _text_sql(text: str) -> str:
     {_text_sql(PROMPT_TAIL)}) as prompt
   from cards join label_terms using (cluster) join quotes using (cluster)""", COUNTED))
 def _(spark, folder):
-    return labels.label_prompts(staged(spark, folder))
+    return labels.label_prompts(staged(
+        spark, folder, "Id", "cluster", "Score", "Summary", "Text", "clean_text", "word_count"))
 
 
 @query("parse_labels", """select doc_id as cluster,

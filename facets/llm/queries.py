@@ -1,12 +1,12 @@
-"""The ten operators as queries over the given tables, with production parameters."""
+"""The operators as queries over the given tables, with production parameters."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from facets.llm import (credentials, fmindex, language, licenses, neighbors, packing, quality,
-                        simhash, templates, transducer)
+from facets.llm import (bytebpe, credentials, fmindex, language, licenses, neighbors, packing,
+                        quality, simhash, spelling, templates, transducer, whitening)
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -120,3 +120,26 @@ def _(spark, folder):
 def _(spark, folder):
     found = templates.extract(table(spark, folder, "pages"))
     return found.withColumn("n_chars", F.length("text").cast("long"))
+
+
+@query("op11_embedding_whitening")
+def _(spark, folder):
+    found = whitening.whiten_table(table(spark, folder, "embeddings"))
+    return found.withColumn("deviation", F.col("deviation").try_cast("long"))
+
+
+@query("op12_spelling_variants")
+def _(spark, folder):
+    return spelling.variants(spelling.word_counts(table(spark, folder, "documents"),
+                                                  drop_every=31))
+
+
+@query("op13_byte_bpe")
+def _(spark, folder):
+    import public_tokenizers
+    ranks = tokenizer_path("byte_bpe_multi_50k.tiktoken")
+    coded = bytebpe.encode(table(spark, folder, "documents"), ranks, public_tokenizers.PATTERN,
+                           packed=True)
+    found = bytebpe.decode(coded, ranks, text=False, keep=("n_tokens", "ids"))
+    return found.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"),
+                        F.sha2("bytes", 256).alias("decoded_sha256"))

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
-
 import numpy as np
 from pyspark.ml.clustering import BisectingKMeans
 from pyspark.ml.functions import array_to_vector
@@ -12,100 +10,9 @@ from pyspark.sql import functions as F
 
 from facets.constants import (FINAL_MAX_ITER, FINAL_RESTARTS, K_RANGE, SEED, SWEEP_MAX_ITER,
                               SWEEP_RESTARTS, SWEEP_SAMPLE)
-from facets.operators.features import sum_matrices
-from facets.operators.neighbors import assign_nearest, silhouettes
-from facets.operators.rows import sample_exact
-from facets.session import cut, ship_package
-
-_BATCH_ROWS = 4096
-
-
-# Rows from which starting centres are drawn, and the move at which a run has settled.
-START_ROWS = 5_000
-TOLERANCE = 1e-4
-
-
-@dataclass
-class Fit:
-    """Centres and total squared distance of a K-Means fit."""
-
-    centers: np.ndarray
-    cost: float
-
-
-def _start(sample: np.ndarray, k: int, seed: int) -> np.ndarray:
-    """Starting centres, each drawn with a chance that grows with the distance to those before."""
-    rng = np.random.default_rng(seed)
-    centers = [sample[rng.integers(len(sample))]]
-    gap = np.full(len(sample), np.inf)
-    while len(centers) < k:
-        gap = np.minimum(gap, ((sample - centers[-1]) ** 2).sum(axis=1))
-        total = gap.sum()
-        at = rng.choice(len(sample), p=gap / total) if total > 0 else rng.integers(len(sample))
-        centers.append(sample[at])
-    return np.array(centers)
-
-
-def _advance(rows: DataFrame, vec: str, runs: list[np.ndarray]) -> list[np.ndarray]:
-    """One pass over all rows for all runs: per centre the sum, number and cost of its rows."""
-    stacked = np.concatenate(runs)
-    ends = np.cumsum([len(r) for r in runs])
-    shared = rows.sparkSession.sparkContext.broadcast((stacked, ends))
-    shape = (len(stacked), stacked.shape[1] + 2)
-
-    def partial(batches):
-        centers, ends = shared.value
-        total, half = None, (centers ** 2).sum(axis=1) / 2
-        for batch in batches:
-            if total is None:
-                total = np.zeros(shape)
-            for at in range(0, len(batch), _BATCH_ROWS):
-                x = np.stack(batch[vec].iloc[at:at + _BATCH_ROWS])
-                score, low = half - x @ centers.T, 0
-                for high in ends:
-                    near = score[:, low:high].argmin(axis=1)
-                    gap = ((x - centers[low + near]) ** 2).sum(axis=1)
-                    mine = np.zeros((len(x), high - low))
-                    mine[np.arange(len(x)), near] = 1
-                    total[low:high, :-2] += mine.T @ x
-                    total[low:high, -2] += mine.sum(axis=0)
-                    total[low:high, -1] += mine.T @ gap
-                    low = high
-        return total
-
-    sums = sum_matrices(rows.select(vec), partial, shape)
-    shared.destroy()
-    return np.split(sums, ends[:-1])
-
-
-def fit_many(df: DataFrame, vec: str, runs: list[tuple[int, int]], max_iter: int,
-             id_col: str) -> list[Fit]:
-    """K-Means for many (k, seed) at once: each iteration is one pass over the rows for all runs.
-
-    A run retires when no centre moves by more than ``TOLERANCE``; ``max_iter`` is the setting of
-    the same name that any K-Means has. Starting centres come from a fixed sample of rows.
-    """
-    ship_package(df.sparkSession)
-    rows = cut(df.select(id_col, F.col(vec).cast("array<double>").alias(vec)))
-    sample = sample_exact(rows, START_ROWS, key=id_col).collect()
-    if not sample:
-        raise ValueError("K-Means needs at least one row")
-    spots = np.array([r[vec] for r in sorted(sample, key=lambda r: r[id_col])])
-    centers = [_start(spots, k, seed) for k, seed in runs]
-    active = list(range(len(runs)))
-    for _ in range(max_iter):
-        if not active:
-            break
-        moving = []
-        for i, sums in zip(active, _advance(rows, vec, [centers[i] for i in active])):
-            held = sums[:, -2:-1] > 0
-            moved = np.where(held, sums[:, :-2] / np.maximum(sums[:, -2:-1], 1), centers[i])
-            if np.sqrt(((moved - centers[i]) ** 2).sum(axis=1)).max() > TOLERANCE:
-                moving.append(i)
-            centers[i] = moved
-        active = moving
-    costs = [float(sums[:, -1].sum()) for sums in _advance(rows, vec, centers)]
-    return [Fit(c, cost) for c, cost in zip(centers, costs)]
+from facets.operators.centers import Fit, assign_nearest, fit_many
+from facets.operators.neighbors import silhouettes
+from facets.session import cut
 
 
 def _best(fits: list[Fit]) -> Fit:

@@ -21,14 +21,15 @@ def unit_length(df: DataFrame, vec: str, name: str) -> DataFrame:
             .drop("_len"))
 
 
-def knn_graph(df: DataFrame, id_col: str, vec_col: str, k: int = GRAPH_NEIGHBORS) -> DataFrame:
+def knn_graph(df: DataFrame, id_col: str, vec_col: str, k: int = GRAPH_NEIGHBORS,
+              **search) -> DataFrame:
     """Undirected similarity edges (src < dst, weight) between nearest neighbours.
 
     On unit vectors the weight is 1 - d^2 / 2 cut to [0, 1]; of the two directions the larger one
-    counts, and edges of weight zero vanish.
+    counts, and edges of weight zero vanish. ``search`` goes to ``knn``.
     """
     vectors = df.select(F.col(id_col).alias("id"), F.col(vec_col).cast("array<double>").alias("v"))
-    near = knn(unit_length(vectors, "v", "u"), "id", "u", k)
+    near = knn(unit_length(vectors, "v", "u"), "id", "u", k, **search)
     weight = F.least(F.greatest(1 - F.col("dist") * F.col("dist") / 2, F.lit(0.0)), F.lit(1.0))
     return (near.select(F.least("id", "nbr").alias("src"), F.greatest("id", "nbr").alias("dst"),
                         weight.alias("weight"))

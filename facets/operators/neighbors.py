@@ -1,4 +1,4 @@
-"""Nearest neighbours, distance curves and silhouettes.
+"""Nearest neighbours (exact, or through trained cells), distance curves and silhouettes.
 
 Vectors meet in pairs of blocks of about ``BLOCK_ROWS`` rows. A block pair is one task-sized unit of
 work whose distances stay inside a numpy call; only each row's best candidates, or one sum per row
@@ -17,66 +17,30 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from facets.constants import DBSCAN_MIN_SAMPLES, FINAL_SAMPLE, GRAPH_NEIGHBORS, SEED
+from facets.operators.centers import assign_nearest, exact, fit_many, share, squares, stack
 from facets.operators.rows import draw, sample_exact, with_index
 from facets.session import attach, cut, ship_package
 
 BLOCK_ROWS = 2000
 MAX_PIVOTS = 1024
-
-
-def _stack(column: pd.Series) -> np.ndarray:
-    return np.stack(column.to_numpy()).astype("f8")
-
-
-def _squares(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Squared distances through the expanded square: fast, with a small rounding error."""
-    return np.maximum((a * a).sum(1)[:, None] + (b * b).sum(1)[None] - 2 * a @ b.T, 0)
-
-
-def _exact(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return np.sqrt(((a - b) ** 2).sum(axis=1))
+# Trained cells: lists looked through for a point, rows a cell learns from, passes over them.
+PROBES = 16
+TRAIN_ROWS = 256
+TRAIN_PASSES = 10
 
 
 def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Distances, recomputed from differences where the expanded square would lose digits."""
-    squares = _squares(a, b)
+    gaps = squares(a, b)
     row, col = np.nonzero(
-        squares < 1e-4 * ((a * a).sum(1)[:, None] + (b * b).sum(1)[None]))
-    out = np.sqrt(squares)
+        gaps < 1e-4 * ((a * a).sum(1)[:, None] + (b * b).sum(1)[None]))
+    out = np.sqrt(gaps)
     for lo in range(0, len(row), 65_536):
         r, c = row[lo:lo + 65_536], col[lo:lo + 65_536]
-        out[r, c] = _exact(a[r], b[c])
+        out[r, c] = exact(a[r], b[c])
     return out
 
 
-def _schema(df: DataFrame, *more: str) -> str:
-    return ", ".join([f"`{c}` {t}" for c, t in df.dtypes] + list(more))
-
-
-def _share(df: DataFrame, value):
-    return df.sparkSession.sparkContext.broadcast(value)
-
-
-def assign_nearest(df: DataFrame, centers: np.ndarray, vec: str = "vec",
-                   name: str = "cell") -> DataFrame:
-    """Add the position of the nearest centre (the first on a tie) and the distance to it."""
-    shared = _share(df, np.asarray(centers, "f8"))
-
-    def label(batches):
-        for batch in batches:
-            if len(batch):
-                points = _stack(batch[vec])
-                best = np.empty(len(points), "i4")
-                for lo in range(0, len(points), BLOCK_ROWS):
-                    best[lo:lo + BLOCK_ROWS] = _squares(
-                        points[lo:lo + BLOCK_ROWS], shared.value).argmin(axis=1)
-                yield batch.assign(**{name: best,
-                                      f"{name}_dist": _exact(points, shared.value[best])})
-
-    ship_package(df.sparkSession)
-    return df.mapInPandas(label, _schema(df, f"{name} int", f"{name}_dist double"))
-
-
 def _pairs(left: DataFrame, right: DataFrame, kernel, schema: str) -> DataFrame:
     """Run ``kernel`` on every left and right block that agree in (cell, lb, rb)."""
     keys = ["cell", "lb", "rb"]
@@ -97,20 +61,28 @@ def _distinct_points(points: DataFrame, k: int) -> DataFrame:
                                 F.sort_array(F.collect_list("id")).alias("ids")))
 
 
-def _candidate_kernel(k: int):
-    """Of a member block, keep what may be among the ``k`` nearest of each query."""
+def _candidate_kernel(k: int, centers=None):
+    """Of a member block, keep what may be among the ``k`` nearest of each query.
+
+    With ``centers`` (shared with the executors) both sides are compared by their residuals from the
+    centre of their cell, whose short vectors lose fewer digits; what is kept is measured exactly.
+    """
     def kernel(queries: pd.DataFrame, members: pd.DataFrame) -> pd.DataFrame:
         empty = pd.DataFrame({"rep": [], "ids": [], "dist": []})
         if not len(queries) or not len(members):
             return empty
-        a, b = _stack(queries["vec"]), _stack(members["vec"])
-        approx = _squares(a, b)
+        a, b = stack(queries["vec"]), stack(members["vec"])
+        x, y = a, b
+        if centers is not None:
+            middle = centers.value[queries["cell"].iloc[0]]
+            x, y = a - middle, b - middle
+        approx = squares(x, y)
         kept = min(k, len(b))
         bound = np.partition(approx, kept - 1, axis=1)[:, kept - 1]
         # Rounding can only mislead by a sliver of the squared lengths involved.
-        slack = 1e-9 * ((a * a).sum(1) + (b * b).sum(1).max())
+        slack = 1e-9 * ((x * x).sum(1) + (y * y).sum(1).max())
         row, col = np.nonzero(approx <= (bound + slack)[:, None])
-        dist = _exact(a[row], b[col])
+        dist = exact(a[row], b[col])
         order = np.lexsort((members["rep"].to_numpy()[col], dist, row))
         row, col, dist = row[order], col[order], dist[order]
         place = np.arange(len(row)) - np.searchsorted(row, row)
@@ -147,14 +119,14 @@ def _route(cells: DataFrame, pivots, radius, nearest, k: int) -> DataFrame:
     k-th smallest such sum over all cells bounds the k-th neighbour. A cell farther than that, minus
     its radius, cannot contribute.
     """
-    shared = _share(cells, (pivots, radius, nearest))
+    shared = share(cells, (pivots, radius, nearest))
 
     def send(batches):
         pivots, radius, nearest = shared.value
         for batch in batches:
             for lo in range(0, len(batch), 256):
                 part = batch.iloc[lo:lo + 256]
-                to_pivot = np.sqrt(_squares(_stack(part["vec"]), pivots))
+                to_pivot = np.sqrt(squares(stack(part["vec"]), pivots))
                 sums = (to_pivot[:, :, None] + nearest[None]).reshape(len(part), -1)
                 reach = np.partition(sums, k - 1, axis=1)[:, k - 1] if sums.shape[1] >= k \
                     else np.full(len(part), np.inf)
@@ -170,6 +142,42 @@ def _route(cells: DataFrame, pivots, radius, nearest, k: int) -> DataFrame:
         send, f"rep {key}, vec array<double>, cell int")
 
 
+def _train_cells(reps: DataFrame, n_cells: int, seed: int) -> np.ndarray:
+    """Centres of ``n_cells`` cells, fitted on ``TRAIN_ROWS`` rows a cell at most."""
+    rows = sample_exact(reps.select("rep", "vec"), TRAIN_ROWS * n_cells, seed, "rep")
+    return fit_many(rows, "vec", [(n_cells, seed)], TRAIN_PASSES, "rep")[0].centers
+
+
+def _probe(cells: DataFrame, centers: np.ndarray, held: np.ndarray, need: int,
+           probes: int) -> DataFrame:
+    """Send every point to its ``probes`` nearest lists, and on until they hold ``need`` rows."""
+    shared = share(cells, (centers, held))
+
+    def send(batches):
+        centers, held = shared.value
+        few = min(probes, len(centers))
+        for batch in batches:
+            for lo in range(0, len(batch), 256):
+                part = batch.iloc[lo:lo + 256]
+                gaps = squares(stack(part["vec"]), centers)
+                chosen = np.zeros(gaps.shape, bool)
+                near = np.argpartition(gaps, few - 1, axis=1)[:, :few]
+                np.put_along_axis(chosen, near, True, axis=1)
+                for short in np.flatnonzero(held[near].sum(axis=1) < need):
+                    order = np.argsort(gaps[short], kind="stable")
+                    reach = np.searchsorted(np.cumsum(held[order]), need) + 1
+                    chosen[short, order[:reach]] = True
+                row, cell = np.nonzero(chosen)
+                yield pd.DataFrame({"rep": part["rep"].to_numpy()[row],
+                                    "vec": part["vec"].to_numpy()[row],
+                                    "cell": cell.astype("i4")})
+
+    key = dict(cells.dtypes)["rep"]
+    ship_package(cells.sparkSession)
+    return cells.select("rep", "vec").mapInPandas(
+        send, f"rep {key}, vec array<double>, cell int")
+
+
 def _split(df: DataFrame, mine: str, other: str, salt: int) -> DataFrame:
     """Spread each cell's rows over its own blocks and copy them to every block of the other side.
 
@@ -182,14 +190,24 @@ def _split(df: DataFrame, mine: str, other: str, salt: int) -> DataFrame:
 
 
 def knn(df: DataFrame, id_col: str, vec_col: str, k: int = GRAPH_NEIGHBORS,
-        include_self: bool = False) -> DataFrame:
-    """Exact ``k`` nearest neighbours by Euclidean distance: (id, rank, nbr, dist).
+        include_self: bool = False, method: str = "exact", n_cells: int | None = None,
+        probes: int = PROBES, seed: int = SEED) -> DataFrame:
+    """``k`` nearest neighbours by Euclidean distance: (id, rank, nbr, dist).
+
+    Ties go to the smaller id. Copies of a vector are searched once, and large cells are split into
+    blocks on both sides, so no task holds a whole cell.
 
-    Ties go to the smaller id. Copies of a vector are searched once; pivot cells and the triangle
-    inequality decide which blocks a point has to meet, and large cells are split into blocks on
-    both sides, so no task holds a whole cell. Every point is compared with all blocks that could
-    matter: nothing is approximated.
+    ``method="exact"``: pivot cells and the triangle inequality decide which blocks a point has to
+    meet. Every point is compared with all blocks that could matter: nothing is approximated.
+
+    ``method="cells"``: inverted lists over ``n_cells`` trained cells (None: the square root of the
+    number of distinct vectors). Every point looks through its ``probes`` nearest lists, and through
+    further ones until they hold enough rows for ``k`` neighbours. Work is the rows of the probed
+    lists; recall grows with ``probes``, and all lists give the exact result. The method is the
+    caller's choice and never changes with the size of the table.
     """
+    if method not in ("exact", "cells"):
+        raise ValueError(f"unknown method: {method}")
     spark = df.sparkSession
     need = k if include_self else k + 1
     points = df.select(F.col(id_col).alias("id"), F.col(vec_col).cast("array<double>").alias("vec"))
@@ -198,24 +216,36 @@ def knn(df: DataFrame, id_col: str, vec_col: str, k: int = GRAPH_NEIGHBORS,
     if n == 0:
         return points.select("id", F.lit(0).alias("rank"), F.col("id").alias("nbr"),
                              F.lit(0.0).alias("dist"))
-    pivots = _pivots(reps, n)
-    cells = assign_nearest(reps, pivots)
-    if len(pivots) > 1:
-        cells = cut(cells)
-        size, radius, nearest = _cell_bounds(cells, len(pivots), need)
-        routed = cut(_route(cells, pivots, radius, nearest, need))
+    residuals = None
+    if method == "cells":
+        centers = _train_cells(reps, min(n, n_cells or math.ceil(math.sqrt(n))), seed)
+        residuals = share(reps, centers)
+        cells = cut(assign_nearest(reps, centers))
+        size, held = np.zeros(len(centers), "i8"), np.zeros(len(centers), "i8")
+        for r in cells.groupBy("cell").agg(F.count("*").alias("n"), F.sum(F.size("ids")).alias(
+                "held")).collect():  # one row per cell
+            size[r["cell"]], held[r["cell"]] = r["n"], r["held"]
+        routed = cut(_probe(cells, centers, held, need, probes))
         asked = {r["cell"]: r["count"] for r in routed.groupBy("cell").count().collect()}
     else:
-        routed, size, asked = cells.select("rep", "vec", "cell"), [n], {0: n}
+        centers = _pivots(reps, n)
+        cells = assign_nearest(reps, centers)
+        if len(centers) > 1:
+            cells = cut(cells)
+            size, radius, nearest = _cell_bounds(cells, len(centers), need)
+            routed = cut(_route(cells, centers, radius, nearest, need))
+            asked = {r["cell"]: r["count"] for r in routed.groupBy("cell").count().collect()}
+        else:
+            routed, size, asked = cells.select("rep", "vec", "cell"), [n], {0: n}
     blocks = spark.createDataFrame(
         [(c, math.ceil(asked[c] / BLOCK_ROWS), math.ceil(int(size[c]) / BLOCK_ROWS))
-         for c in range(len(pivots)) if size[c] and c in asked],
-        "cell int, n_lb int, n_rb int")  # one row per pivot
+         for c in range(len(centers)) if size[c] and c in asked],
+        "cell int, n_lb int, n_rb int")  # one row per cell
     queries = _split(routed.join(F.broadcast(blocks), "cell"), "lb", "rb", 1)
     members = _split(cells.select("rep", "vec", "ids", "cell").join(F.broadcast(blocks), "cell"),
                      "rb", "lb", 2)
     key = dict(reps.dtypes)["rep"]
-    found = _pairs(queries, members, _candidate_kernel(need),
+    found = _pairs(queries, members, _candidate_kernel(need, residuals),
                    f"rep {key}, ids array<{key}>, dist double")
     offers = found.select("rep", "dist", F.explode("ids").alias("nbr"))
     rank = F.row_number().over(Window.partitionBy("rep").orderBy("dist", "nbr"))
@@ -234,11 +264,16 @@ def knn(df: DataFrame, id_col: str, vec_col: str, k: int = GRAPH_NEIGHBORS,
                     F.col("_p.dist").alias("dist")))
 
 
-def k_distance(df: DataFrame, id_col: str, coords, k: int = DBSCAN_MIN_SAMPLES) -> DataFrame:
-    """Distance of every point to its k-th neighbour, itself being the first: (id, dist)."""
+def k_distance(df: DataFrame, id_col: str, coords, k: int = DBSCAN_MIN_SAMPLES,
+               **search) -> DataFrame:
+    """Distance of every point to its k-th neighbour, itself being the first: (id, dist).
+
+    ``search`` goes to ``knn``: its method, cells and probes.
+    """
     vec = df.select(F.col(id_col).alias("id"),
                     F.array(*[F.col(c).cast("double") for c in coords]).alias("vec"))
-    return knn(vec, "id", "vec", k, include_self=True).where(F.col("rank") == k).select("id", "dist")
+    near = knn(vec, "id", "vec", k, include_self=True, **search)
+    return near.where(F.col("rank") == k).select("id", "dist")
 
 
 def distance_curve(distances: DataFrame, block: int = 100_000) -> DataFrame:
@@ -284,7 +319,7 @@ def _spread_kernel(rows: pd.DataFrame, others: pd.DataFrame) -> pd.DataFrame:
     """
     out = []
     if len(rows) and len(others):
-        a, b = _stack(rows["vec"]), _stack(others["vec"])
+        a, b = stack(rows["vec"]), stack(others["vec"])
         mine, theirs = np.stack(rows["labels"].to_numpy()), np.stack(others["labels"].to_numpy())
         found = [np.unique(theirs[:, g], return_inverse=True) for g in range(theirs.shape[1])]
         for lo in range(0, len(a), 256):

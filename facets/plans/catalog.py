@@ -17,6 +17,7 @@ from facets.functions.numeric import clip, with_holiday_flag
 from facets.functions.text import truncate, with_category
 from facets.operators import (cluster, compare, density, features, graph, labels, neighbors,
                               profile, rows, temporal, terms, topics)
+from facets.operators.centers import TOLERANCE, fit_many
 from facets.plans.prepare import clean_reviews
 from facets.session import cut, ship_package, use_checkpoint_dir
 from facets.sources import reviews as sources
@@ -671,6 +672,25 @@ def _(spark, folder):
     return neighbors.knn(vectors(spark, folder), "vec_id", "vec", 10)
 
 
+@query("knn_cells", f"""with {PAIRS} select id, rank, nbr, round(dist, 6) as dist from (
+  select *, cast(row_number() over (partition by id order by dist, nbr) as int) as rank from p)
+  where rank <= 10""")
+def _(spark, folder):
+    # Looking through all lists, trained cells give the exact neighbours.
+    return neighbors.knn(vectors(spark, folder), "vec_id", "vec", 10, method="cells", n_cells=12,
+                         probes=12)
+
+
+@query("knn_cells_recall", "select count(*) as n_points, true as reached from embeddings")
+def _(spark, folder):
+    points = cut(vectors(spark, folder))
+    near = neighbors.knn(points, "vec_id", "vec", 10).withColumn("exact", F.lit(1))
+    cells = neighbors.knn(points, "vec_id", "vec", 10, method="cells", n_cells=20, probes=16)
+    both = near.join(cells.select("id", "nbr", F.lit(1).alias("found")), ["id", "nbr"], "left")
+    return both.agg(F.count_distinct("id").alias("n_points"),
+                    (F.sum("found") >= 0.95 * F.sum("exact")).alias("reached"))
+
+
 @query("nearest_center", """with x as (select vec_id, label, i.range as d,
     embedding[i.range + 1]::double as v from embeddings cross join range(64) i),
   c as (select label, d, avg(v) as m from x group by 1, 2),
@@ -707,6 +727,13 @@ def _(spark, folder):
     return neighbors.k_distance(plane(spark, folder), "vec_id", ["x", "y"])
 
 
+@query("k_distance_cells", _KDIST + " select id, round(dist, 6) as dist from k")
+def _(spark, folder):
+    # In the plane a point's 20 nearest lie in the lists around it: a third of them is enough.
+    return neighbors.k_distance(plane(spark, folder), "vec_id", ["x", "y"], method="cells",
+                                n_cells=24, probes=8)
+
+
 @query("distance_curve", _CURVE + """ select cast(idx as bigint) as idx, round(dist, 3) as dist,
   round(d2, 3) as d2 from curve""", digits=3)
 def _(spark, folder):
@@ -822,12 +849,45 @@ def _(spark, folder):
     return cluster.sweep_k(vectors(spark, folder), "vec", id_col="vec_id")
 
 
+@query("sweep_k_inertia", "select cast(range as int) as k, true as falls from range(2, 11)")
+def _(spark, folder):
+    # Every further centre lowers the cost of the best of ten runs, and none exceeds the total.
+    points = cut(vectors(spark, folder))
+    costs = cluster.sweep_k(points, "vec", id_col="vec_id").collect()
+    total = fit_many(points, "vec", [(1, 0)], 2, "vec_id")[0].cost
+    before = [total] + [r["inertia"] for r in costs[:-1]]
+    return spark.createDataFrame([(r["k"], r["inertia"] < b) for r, b in zip(costs, before)],
+                                 "k int, falls boolean")
+
+
 @query("kmeans")
 def _(spark, folder):
     out, _ = cluster.kmeans(vectors(spark, folder), "vec", 5, id_col="vec_id")
     return out.select("vec_id", "cluster")
 
 
+@query("kmeans_fixed_point", """select count(*) as n_rows, 5 as n_clusters, true as settled,
+  true as nearest, true as cost_agrees from embeddings""")
+def _(spark, folder):
+    # One more step from the returned grouping: no mean moves, no row changes, the cost is the same.
+    out, fit = cluster.kmeans(cut(vectors(spark, folder)), "vec", 5, id_col="vec_id")
+    out = cut(out)
+    cells = out.select("cluster", F.posexplode("vec").alias("d", "v"))
+    means = cells.groupBy("cluster", "d").agg(F.avg("v").alias("m"), F.var_pop("v").alias("s"),
+                                              F.count("*").alias("n")).collect()
+    found = np.zeros_like(fit.centers)
+    for r in means:  # one row per centre and dimension
+        found[r["cluster"], r["d"]] = r["m"]
+    gap = np.sqrt(((found[:, None] - fit.centers[None]) ** 2).sum(axis=2)).min(axis=1).max()
+    cost = sum(r["s"] * r["n"] for r in means)
+    placed = neighbors.assign_nearest(out, found)
+    return placed.agg(
+        F.count("*").alias("n_rows"), F.count_distinct("cluster").cast("int").alias("n_clusters"),
+        F.lit(bool(gap <= TOLERANCE)).alias("settled"),
+        (F.count_if(F.col("cell") != F.col("cluster")) == 0).alias("nearest"),
+        F.lit(bool(abs(cost - fit.cost) <= 1e-6 * cost)).alias("cost_agrees"))
+
+
 @query("ward")
 def _(spark, folder):
     return cluster.ward(vectors(spark, folder), "vec", 5, id_col="vec_id").select(

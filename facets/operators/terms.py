@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import math
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from facets.constants import (LABEL_TERMS, SEED, STOP_WORDS, TFIDF_MAX_DF, TFIDF_MAX_FEATURES,
                               TFIDF_MIN_DF)
+from facets.operators.counting import common_terms, ranked, weighted_vectors
 from facets.operators.rows import sample_exact, sample_per_group
 from facets.session import attach
 
@@ -70,21 +73,17 @@ def tfidf_vectors(df: DataFrame, text: str = "clean_text", key: str = "Id",
     """Unit-length TF-IDF rows as (key, indices, values), and the vocabulary.
 
     Weights are (1 + ln tf) * idf with the smoothed idf. Documents without a vocabulary term have
-    no row. The vocabulary is collected (its size is bounded by ``max_features``) and broadcast.
+    no row. The vocabulary is collected (its size is bounded by ``max_features``) and broadcast, and
+    each vector is built where its text lies.
     """
-    counts = term_counts(df, text, (key,), stop_words)
-    chosen = vocabulary(counts, df.count(), min_df, max_df, max_features)
-    vocab = df.sparkSession.createDataFrame(chosen.collect(), chosen.schema)
-    weight = (1 + F.ln("tf")) * F.col("idf")
-    rows = (counts.join(F.broadcast(vocab.select("term", "idx", "idf")), "term")
-            .select(key, "idx", weight.alias("w"))
-            .groupBy(key)
-            .agg(F.sort_array(F.collect_list(F.struct("idx", "w"))).alias("_cells"),
-                 F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("_norm")))
-    vectors = rows.select(
-        key, F.col("_cells.idx").alias("indices"),
-        F.transform("_cells.w", lambda w: w / F.col("_norm")).alias("values"))
-    return vectors, vocab
+    common, sizes = common_terms(df, text, None, max_features, min_df, max_df, stop_words)
+    n_docs = sizes.agg(F.coalesce(F.sum("n_docs"), F.lit(0))).first()[0]
+    vocab = df.sparkSession.createDataFrame(
+        [(r["term"], r["cf"], r["df"], i, math.log((1 + n_docs) / (1 + r["df"])) + 1)
+         for i, r in enumerate(sorted(common.collect(), key=lambda r: r["term"].encode()))],
+        "term string, cf long, df long, idx int, idf double")
+    known = [(r["term"], r["idf"]) for r in vocab.orderBy("idx").collect()]
+    return weighted_vectors(df, text, key, known, stop_words), vocab
 
 
 def tfidf(df: DataFrame, text: str = "clean_text", key: str = "Id", **settings) -> DataFrame:
@@ -96,28 +95,15 @@ def tfidf(df: DataFrame, text: str = "clean_text", key: str = "Id", **settings)
             .select(key, "term", "weight"))
 
 
-def _ranked(df: DataFrame, group: str, order: list[Column], n: int) -> DataFrame:
-    """First ``n`` rows per group; hash-split groups are cut first, so that no task sorts one."""
-    split = F.pmod(F.xxhash64("term"), F.lit(64))
-    part = Window.partitionBy(group, split).orderBy(*order)
-    whole = Window.partitionBy(group).orderBy(*order)
-    return (df.withColumn("_r", F.row_number().over(part)).where(F.col("_r") <= n)
-            .withColumn("rank", F.row_number().over(whole)).where(F.col("rank") <= n).drop("_r"))
-
-
 def top_terms(df: DataFrame, group: str = "cluster", text: str = "clean_text", n: int = 15,
               max_features: int = 3000, min_df: int = 1, stop_words=STOP_WORDS) -> DataFrame:
     """The terms found in most documents of each group, from its commonest ``max_features`` terms.
 
-    One aggregation serves all groups: columns group, rank, term, df.
+    One count serves all groups: columns group, rank, term, df.
     """
-    counts = term_counts(df, text, (group,), stop_words)
-    table = (counts.groupBy(group, "term")
-             .agg(F.sum("tf").alias("cf"), F.count("*").alias("df"))
-             .where(F.col("df") >= min_df))
-    common = _ranked(table, group, [F.desc("cf"), F.col("term")], max_features).drop("rank")
-    return (_ranked(common, group, [F.desc("df"), F.col("term")], n)
-            .select(group, "rank", "term", "df"))
+    common, _ = common_terms(df, text, group, max_features, min_df, 1.0, stop_words)
+    return (ranked(common.drop("rank"), "g", [F.desc("df"), F.col("term")], n)
+            .select(F.col("g").alias(group), "rank", "term", "df"))
 
 
 def label_terms(df: DataFrame, group: str = "cluster", text: str = "clean_text",
@@ -162,7 +148,7 @@ def word_freq(df: DataFrame, text: str = "Text", top: int = 120, group: str | No
     counts = words.groupBy(part, "term").agg(F.sum("_n").alias("n"))
     if merge_plurals:
         counts = _merge_plurals(counts, part)
-    out = _ranked(counts, part, [F.desc("n"), F.col("term")], top)
+    out = ranked(counts, part, [F.desc("n"), F.col("term")], top)
     return out.select(*([group] if group else []), "rank", F.col("term").alias("word"), "n")
 
 

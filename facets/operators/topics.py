@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 
 from facets.constants import (LDA_MAX_DF, LDA_MAX_FEATURES, LDA_MIN_DF, LDA_MIN_ROWS, LDA_PASSES,
                               LDA_TOPICS, SEED, STOP_WORDS)
-from facets.operators.terms import _ranked, term_counts, with_terms
+from facets.operators.counting import common_terms
+from facets.operators.terms import with_terms
 from facets.session import cut
 
 # Mini-batches of a pass, where a group has rows for so many of at least LEAST_BATCH.
@@ -29,12 +30,8 @@ def group_vocabularies(df: DataFrame, group: str = "cluster", text: str = "clean
                        max_df: float = LDA_MAX_DF, stop_words=STOP_WORDS) -> DataFrame:
     """The commonest terms of every group within the document-frequency bounds, in one job:
     (group, rank, term, cf, df)."""
-    sizes = df.groupBy(group).agg(F.count("*").alias("_rows"))
-    table = term_counts(df, text, (group,), stop_words).groupBy(group, "term").agg(
-        F.sum("tf").alias("cf"), F.count("*").alias("df"))
-    kept = (table.where(F.col("df") >= min_df).join(sizes, group)
-            .where(F.col("df") <= max_df * F.col("_rows")).drop("_rows"))
-    return _ranked(kept, group, [F.desc("cf"), F.col("term")], max_features)
+    common, _ = common_terms(df, text, group, max_features, min_df, max_df, stop_words)
+    return common.select(F.col("g").alias(group), "rank", "term", "cf", "df")
 
 
 def topics_per_group(df: DataFrame, group: str = "cluster", text: str = "clean_text",

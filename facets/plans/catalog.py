@@ -585,7 +585,7 @@ def _terms_sql(max_features: int, min_df: int, n: int) -> str:
 
 @query("top_terms", _sql(_terms_sql(3000, 1, 15) + " select * from best", COUNTED))
 def _(spark, folder):
-    return terms.top_terms(clean(spark, folder))
+    return terms.top_terms(staged(spark, folder, "cluster", "clean_text"))
 
 
 _LABEL_TERMS = _terms_sql(2000, 2, 12) + """,

@@ -1,6 +1,6 @@
 import math
 
-from facets.operators import features, labels, terms, topics
+from facets.operators import counting, features, labels, terms, topics
 
 
 def docs(spark, texts):
@@ -110,3 +110,65 @@ def test_label_responses(spark):
     tea = ("Tea fans", "Like tea.", "Positive")
     assert got == {0: tea, 1: tea, 2: ("Unknown", "unparseable response", "Unknown"),
                    3: ("C3", "", "Mixed"), 4: ("C4", "", "")}
+
+
+def plain_common(rows, n, min_df, max_df):
+    from collections import Counter, defaultdict
+    occurs, docs_with, sizes = defaultdict(Counter), defaultdict(Counter), Counter()
+    for g, text in rows:
+        found = [w for w in (text or "").split(" ") if len(w) > 1 and w != "the"]
+        found += [f"{a} {b}" for a, b in zip(found, found[1:])]
+        sizes[g] += 1
+        occurs[g].update(found)
+        docs_with[g].update(set(found))
+    out = set()
+    for g, counts in occurs.items():
+        kept = [(-c, t) for t, c in counts.items()
+                if min_df <= docs_with[g][t] <= max_df * sizes[g]]
+        out |= {(g, r + 1, t, -c, docs_with[g][t]) for r, (c, t) in enumerate(sorted(kept)[:n])}
+    return out
+
+
+def test_common_terms_are_exact_with_tables_of_any_size(spark):
+    """Heavy terms beside a long tail: thinned tables, a second count, and the way without one."""
+    import random
+    from collections import Counter
+    draw = random.Random(4)
+    words = [f"w{int(draw.paretovariate(0.5)) % 4000}" for _ in range(30_000)]
+    rows = [(i % 3 if i % 11 else None, " ".join(["the", *words[20 * i:20 * i + 20]]))
+            for i in range(1500)] + [(1, None), (2, ""), (2, "the x")]
+    df = spark.createDataFrame(rows, "cluster int, clean_text string").repartition(5)
+    for room, dictionary, n, min_df, max_df in ((1 << 18, 10 ** 6, 50, 1, 1.0),
+                                                (400, 10 ** 6, 40, 2, 0.4),
+                                                (400, 30, 40, 2, 0.4), (300, 10 ** 6, 3000, 1, 0.9)):
+        found, sizes = counting.common_terms(df, "clean_text", "cluster", n, min_df, max_df,
+                                             ["the"], room, dictionary)
+        assert {tuple(r) for r in found.collect()} == plain_common(rows, n, min_df, max_df)
+        assert dict(sizes.collect()) == Counter(g for g, _ in rows)
+
+
+def test_candidates_are_counted_once_more(spark, monkeypatch):
+    """A small table names the heavy terms; the second pass proves them without a full count."""
+    rows = [(0, "aa bb aa cc " + f"x{i} y{i} z{i}") for i in range(400)]
+    df = spark.createDataFrame(rows, "cluster int, clean_text string").repartition(2)
+    passes = []
+    count = counting._first_counts
+    monkeypatch.setattr(counting, "_first_counts",
+                        lambda *a, **k: passes.append(k["thin"]) or count(*a, **k))
+    found, _ = counting.common_terms(df, "clean_text", None, 3, 5, 1.0, [], room=60)
+    assert [(r["term"], r["cf"], r["df"]) for r in found.orderBy("rank").collect()] == [
+        ("aa", 800, 400), ("aa bb", 400, 400), ("aa cc", 400, 400)]
+    assert passes == [True]
+
+
+def test_vectors_shuffle_nothing(spark, reviews):
+    vectors, _ = terms.tfidf_vectors(reviews.select("Id", "clean_text"))
+    assert "Exchange" not in vectors._jdf.queryExecution().executedPlan().toString()
+
+
+def test_terms_of_empty_tables(spark):
+    none = docs(spark, [])
+    vectors, vocab = terms.tfidf_vectors(none)
+    assert vectors.count() == vocab.count() == terms.top_terms(none).count() == 0
+    blank = docs(spark, ["", None, "the"])
+    assert terms.tfidf(blank, min_df=1).count() == 0

@@ -14,7 +14,9 @@ token; equal lengths are dealt by id, then checksum; rows with the same id are p
 
 from __future__ import annotations
 
+import json
 import os
+import re
 import zlib
 from array import array
 
@@ -24,21 +26,32 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from facets.llm.batches import texts, tidy
+from facets.llm.bytebpe import byte_characters
 from facets.operators.rows import with_index
 from facets.session import cut, ship_package
 
 CAPACITY = 4096
 END = 1
-# Chunks remembered by a Python worker; the memory starts anew when it is full.
-_CACHE_CHUNKS = 400_000
-_LONG_CHUNK = 64
+# Parts a Python worker remembers (two generations of this many), and the longest one worth it.
+_GENERATION = 250_000
+_LONG_PART = 64
+# How tokenizer files of this family normalise and cut texts.
+_NORMALIZERS = ["NFC", "Replace", "Lowercase"]
+_CUT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+# White space, printable ASCII and the letters U+00C0 to U+00FF: NFC leaves such a text as it is,
+# lower-casing goes letter by letter, and the cut is this one.
+_PLAIN = re.compile("[ \t-\r!-~À-ÖØ-öø-ÿ]*")
+_PLAIN_CUT = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^ \t-\ra-zß-öø-ÿ0-9]+")
 
 
 class ChunkTokens:
-    """Token ids of texts, a blank-separated chunk at a time, as bytes of unsigned 32-bit numbers.
+    """Token ids of texts, part by part, as bytes of unsigned 32-bit numbers.
 
     For a tokenizer that drops white space and lets no token cross it, the ids of a text are those
-    of its chunks in order. Chunks repeat, so their ids are remembered.
+    of its blank-separated chunks in order. Where the file cuts chunks the known way, plain text is
+    cut here into the file's own pieces, so that ``Word``, ``word,`` and ``(word`` share what the
+    library says about ``word``; any other chunk goes to the library whole. Parts repeat, so their
+    ids are remembered.
     """
 
     def __init__(self, path: str):
@@ -46,25 +59,54 @@ class ChunkTokens:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[bytes, bytes] = {}
-
-    def _learn(self, chunks: list[bytes]) -> dict[bytes, bytes]:
-        coded = self.tokenizer.encode_batch_fast([c.decode() for c in chunks],
-                                                 add_special_tokens=False)
-        return {c: array("I", e.ids).tobytes() for c, e in zip(chunks, coded)}
+        settings = json.loads(self.tokenizer.to_str())
+        steps = [n["type"] for n in (settings["normalizer"] or {}).get("normalizers", [])]
+        cuts = [p.get("pattern", {}).get("Regex")
+                for p in (settings["pre_tokenizer"] or {}).get("pretokenizers", [])]
+        self.known_cut = steps == _NORMALIZERS and cuts == [_CUT, None]
+        # A piece needs neither normalising nor cutting, only its bytes spelled as the model does.
+        self.model, shown = self.tokenizer.model, byte_characters()
+        self.spelling = str.maketrans({c: "".join(shown[b] for b in chr(c).encode())
+                                       for c in range(0x80, 0x100)})
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    def _parts(self, text: str) -> list[str]:
+        if self.known_cut and _PLAIN.fullmatch(text):
+            return _PLAIN_CUT.findall(text.lower())
+        parts = []
+        for chunk in text.encode().split():
+            chunk = chunk.decode()
+            if self.known_cut and _PLAIN.fullmatch(chunk):
+                parts += _PLAIN_CUT.findall(chunk.lower())
+            else:
+                parts.append(chunk)
+        return parts
+
+    def _learn(self, parts: list[str]) -> dict[str, bytes]:
+        pieces = [p for p in parts if self.known_cut and _PLAIN.fullmatch(p)]
+        spelled, tokens = self.spelling, self.model.tokenize
+        out = {p: array("I", [t.id for t in tokens(p.translate(spelled))]).tobytes()
+               for p in pieces}
+        others = [p for p in parts if p not in out]
+        coded = self.tokenizer.encode_batch_fast(others, add_special_tokens=False)
+        out.update((p, array("I", e.ids).tobytes()) for p, e in zip(others, coded))
+        return out
 
     def ids(self, text: bytes | None) -> bytes:
-        chunks = text.split() if text else []
-        if len(self.known) > _CACHE_CHUNKS:
-            self.known.clear()
-        fresh = {*chunks}.difference(self.known)
+        parts = self._parts(text.decode()) if text else []
+        if len(self.young) > _GENERATION:
+            self.young, self.old = {}, self.young
+        fresh = {*parts}.difference(self.young)
         if not fresh:
-            return b"".join(map(self.known.__getitem__, chunks))
-        self.known.update(self._learn([c for c in fresh if len(c) <= _LONG_CHUNK]))
-        long = self._learn([c for c in fresh if len(c) > _LONG_CHUNK])
-        if long:
-            return b"".join(self.known[c] if c in self.known else long[c] for c in chunks)
-        return b"".join(map(self.known.__getitem__, chunks))
+            return b"".join(map(self.young.__getitem__, parts))
+        known = {p: self.old[p] for p in fresh if p in self.old}
+        learned = self._learn(list(fresh.difference(known)))
+        self.young.update(known)
+        self.young.update((p, i) for p, i in learned.items() if len(p) <= _LONG_PART)
+        if any(len(p) > _LONG_PART for p in learned):
+            return b"".join(learned[p] if p in learned else self.young[p] for p in parts)
+        return b"".join(map(self.young.__getitem__, parts))
 
 
 _coders: dict[str, ChunkTokens] = {}

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from facets.constants import MISSING_MARKS
+from facets.sources.csv import read_csv
 
 REVIEW_SCHEMA = T.StructType([
     T.StructField("Id", T.LongType()),
@@ -33,11 +34,10 @@ def null_missing(df: DataFrame) -> DataFrame:
 def read_reviews(spark: SparkSession, path: str) -> DataFrame:
     """Read a review CSV: quoted fields may hold line breaks and doubled quotes.
 
-    Only the header is read up front. Known columns get their declared type, a value that does not
-    parse becomes null, and further columns pass through as text. A multi-line CSV file cannot be
-    split between tasks, so large inputs should be many files, or be converted to Parquet once.
+    Known columns get their declared type, a value that does not parse becomes null, and further
+    columns pass through as text. A large file is read by many tasks (``sources.csv``).
     """
-    raw = spark.read.csv(path, header=True, multiLine=True, quote='"', escape='"')
+    raw = read_csv(spark, path)
     types = {f.name: f.dataType for f in REVIEW_SCHEMA}
     typed = null_missing(raw)
     return typed.select([

@@ -123,3 +123,48 @@ def test_histogram_of_one_value(spark):
     df = spark.createDataFrame([(3.0,)] * 4, "v double")
     got = profile.histogram(df, "v", 4).orderBy("bin").collect()
     assert [r["n"] for r in got] == [0, 0, 4, 0]
+
+
+def test_lines_that_end_inside_quotes():
+    from facets.sources.csv import line_ends_inside
+    outside = {"": False, "a,b": False, '"a': True, '"a"': False, 'a"b': False, 'a,"b""': True,
+               'a,"b"",c': True, '"a"x",b': False, ',"': True, '"a","b': True, ' "a': False}
+    inside = {"": True, "a,b": True, 'a"': False, 'a"",b': True, 'a","b': True, 'a"b,"c"': False,
+              '"",""': True, '"': False}
+    assert {t: line_ends_inside(t, False) for t in outside} == outside
+    assert {t: line_ends_inside(t, True) for t in inside} == inside
+
+
+@pytest.mark.parametrize("size", [1 << 20, 37, 11])
+def test_csv_files_cut_into_ranges(spark, tmp_path, size):
+    """Whatever the ranges are, the records are those of the reader that takes files whole."""
+    import random
+
+    from facets.sources.csv import read_csv
+    draw = random.Random(5)
+
+    def field():
+        body = "".join(draw.choice("ab é,x\"\n") for _ in range(draw.randint(0, 6)))
+        if draw.random() < 0.55:
+            return '"' + body.replace('"', '""') + '"'
+        return body.replace(",", "").replace('"', "").replace("\n", "") + draw.choice(["", 'z"'])
+
+    for f, end in enumerate(("\n", "\r\n")):
+        lines = ['Id,"the ""Text""",c'] + [f"{f}{i},{field()},{field()}" for i in range(12)]
+        (tmp_path / f"{f}.csv").write_text(end.join(lines) + end, newline="")
+    path = str(tmp_path)
+    whole = spark.read.csv(path, header=True, multiLine=True, quote='"', escape='"')
+    want = sorted(map(repr, whole.collect()))
+    settings = {"spark.sql.files.maxPartitionBytes": str(size),
+                "spark.sql.files.openCostInBytes": "0", "spark.sql.files.minPartitionNum": "1"}
+    before = {k: spark.conf.get(k, None) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    try:
+        found = read_csv(spark, path)
+        assert found.columns == whole.columns
+        got = sorted(map(repr, found.collect()))
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    assert got == want and len(want) == 24

@@ -11,8 +11,10 @@ from pyspark.sql import functions as F
 from facets.constants import (FINAL_MAX_ITER, FINAL_RESTARTS, K_RANGE, SEED, SWEEP_MAX_ITER,
                               SWEEP_RESTARTS, SWEEP_SAMPLE)
 from facets.operators.centers import Fit, assign_nearest, fit_many
+from facets.operators.hierarchy import cut_tree, ward_tree
 from facets.operators.neighbors import silhouettes
-from facets.session import cut
+from facets.operators.rows import numbered
+from facets.session import attach, cut
 
 
 def _best(fits: list[Fit]) -> Fit:
@@ -92,8 +94,17 @@ def ward(df: DataFrame, vec: str, k: int, micro: int = 200, method: str = "ward"
 
     Ward's criterion needs only the size and sum of a group, so merging works on a table of at most
     ``micro`` rows. ``method='exact'`` merges the distinct vectors themselves and refuses more than
-    ``micro`` of them. ``method='bisecting'`` splits top-down with Spark's bisecting K-Means instead.
+    ``micro`` of them; ``method='rows'`` merges any number of them in rounds, and leaves rows without
+    a finite vector out. ``method='bisecting'`` splits top-down with Spark's bisecting K-Means instead.
     """
+    if method == "rows":
+        roots = cut_tree(*ward_tree(df, vec, seed), k)
+        key = F.transform(F.col(vec).cast("array<double>"), lambda x: x + F.lit(0.0))
+        raw = (df.withColumn("_key", key).join(roots.toDF("_key", "_root"), "_key").drop("_key"))
+        order = raw.groupBy("_root").agg(F.count("*").alias("n"), F.min(id_col).alias("first"))
+        places = numbered(order, F.desc("n"), F.col("first"), name=name)
+        return attach(raw, places.select("_root", F.col(name).cast("int").alias(name)),
+                      "_root").drop("_root")
     if method == "bisecting":
         rows = df.withColumn("_v", array_to_vector(vec))
         model = BisectingKMeans(k=k, seed=seed, featuresCol="_v", predictionCol="_raw").fit(rows)

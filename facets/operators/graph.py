@@ -140,13 +140,26 @@ def _local_moves(links: DataFrame, two_m: float, min_gain: float, seed: int):
     return best_state.select("id", "comm"), best_q
 
 
+def _connected(links: DataFrame, moved: DataFrame) -> DataFrame:
+    """Split communities that moves have torn apart into their connected parts.
+
+    Two parts without an edge between them only lower modularity together, so no split lowers it.
+    """
+    a = moved.select(F.col("id").alias("src"), F.col("comm").alias("a"))
+    b = moved.select(F.col("id").alias("dst"), F.col("comm").alias("b"))
+    inner = (links.where(F.col("src") < F.col("dst")).join(a, "src").join(b, "dst")
+             .where(F.col("a") == F.col("b")).select("src", "dst"))
+    return components(cut(inner), moved.select("id")).select(
+        "id", F.col("component").alias("comm"))
+
+
 def louvain(edges: DataFrame, nodes: DataFrame, min_gain: float = 1e-7, seed: int = SEED,
             name: str = "community", method: str = "louvain", groups: int = 10) -> DataFrame:
     """Communities of a weighted undirected graph: (id, community), every node labelled.
 
-    Levels of local moves and contraction, all as joins and groupings, until one brings no gain.
-    Communities are numbered
-    from 0 by falling size, then smallest id; a node without edges is its own community.
+    Levels of local moves, refinement and contraction, all as joins and groupings, until one brings
+    no gain. Every community is connected. Communities are numbered from 0 by falling size, then
+    smallest id; a node without edges is its own community.
     ``method='pic'`` is Spark's power iteration clustering into ``groups`` groups.
     """
     if method == "pic":
@@ -168,6 +181,7 @@ def louvain(edges: DataFrame, nodes: DataFrame, min_gain: float = 1e-7, seed: in
         if last is not None and q - last < min_gain:
             break
         last = q
+        moved = _connected(links, moved)
         step = moved.select(F.col("id").alias("comm"), F.col("comm").alias("up"))
         labels = cut(labels.join(step, "comm", "left")
                      .select("id", F.coalesce("up", "comm").alias("comm")))

@@ -1,5 +1,8 @@
 import math
 
+import numpy as np
+import pytest
+
 from facets.operators import counting, features, labels, terms, topics
 
 
@@ -36,7 +39,6 @@ def test_label_term_markers(spark):
 
 
 def test_lsa_spans_the_leading_subspace(spark, reviews):
-    import numpy as np
     vectors, vocab = terms.tfidf_vectors(reviews.select("Id", "clean_text"))
     width = vocab.count()
     loadings, energy = features.fit_lsa(vectors.repartition(3), width, 10)
@@ -57,7 +59,6 @@ def test_lsa_spans_the_leading_subspace(spark, reviews):
 
 
 def test_matrices_add_up_over_many_partitions(spark, monkeypatch):
-    import numpy as np
     monkeypatch.setattr(features, "_FAN_IN", 3)
     df = spark.range(100, numPartitions=20)
     total = features.sum_matrices(
@@ -66,7 +67,6 @@ def test_matrices_add_up_over_many_partitions(spark, monkeypatch):
 
 
 def test_pca_components(spark):
-    import numpy as np
     rng = np.random.default_rng(0)
     data = rng.normal(size=(60, 5)) * [3, 2, 1, 0.5, 0.1] + 7
     df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(data)],
@@ -79,6 +79,66 @@ def test_pca_components(spark):
     assert np.allclose([r["ratio"] for r in ratios.orderBy("pc").collect()], cov[:3] / cov.sum())
 
 
+def test_digamma():
+    # Known values: minus Euler's constant at 1, and psi(x + 1) = psi(x) + 1 / x.
+    x = np.array([0.01, 0.3, 1.0, 2.5, 70.0])
+    assert topics.digamma(np.array([1.0]))[0] == pytest.approx(-0.5772156649015329, abs=1e-11)
+    assert np.allclose(topics.digamma(x + 1), topics.digamma(x) + 1 / x, atol=1e-11)
+    assert topics.digamma(np.zeros(1))[0] == -np.inf
+
+
+def test_document_topics_do_not_depend_on_their_neighbours():
+    rng = np.random.default_rng(5)
+    beta = rng.dirichlet(np.ones(12), 3)
+    docs = [np.unique(rng.integers(0, 12, 5)) for _ in range(9)] + [np.array([], int)]
+    group, topic_counts = np.zeros(10, int), np.array([3])
+
+    def run(chosen):
+        rows = np.repeat(np.arange(len(chosen)), [len(docs[d]) for d in chosen])
+        terms = np.concatenate([docs[d] for d in chosen]).astype(int)
+        return topics.document_topics(group[chosen], rows, terms, np.ones(len(terms)), beta,
+                                      topic_counts)[0]
+    together = run(list(range(10)))
+    assert np.allclose(together, np.vstack([run([d]) for d in range(10)]), atol=1e-12)
+    # A settled document satisfies its own equation, and its weights add up to its words.
+    assert np.allclose(together.sum(1), [1 + len(d) for d in docs])
+
+
+def test_topics_find_planted_words_in_every_group(spark):
+    """Two vocabularies per group, never mixed in a row; every step serves both groups."""
+    rng = np.random.default_rng(2)
+    rows, planted = [], {}
+    for i in range(400):
+        g, side = i % 2, int(rng.integers(0, 2))
+        words = [f"w{'ab'[side]}{x}" for x in "cdefgh"]
+        planted[i] = side
+        rows.append((i, g, " ".join(rng.choice(words, 8))))
+    rows += [(1000, None, "lost row"), (1001, 0, None), (1002, 7, "too small a group")]
+    df = spark.createDataFrame(rows, "Id long, cluster int, clean_text string")
+    table, labelled = topics.topics_per_group(df, n_topics=2, top=6, passes=6)
+    for r in table.collect():
+        assert len({w[1] for t in r["top_words"] for w in t.split()}) == 1
+    got = {r["Id"]: (r["cluster"], r["sub_topic"]) for r in labelled.collect()}
+    assert got[1000][1] is None and got[1002][1] is None and got[1001][1] is not None
+    for g in (0, 1):
+        assert len({(planted[i], got[i][1]) for i in range(g, 400, 2)}) == 2
+    again, _ = topics.topics_per_group(df.repartition(7), n_topics=2, top=6, passes=6)
+    assert sorted(map(str, again.collect())) == sorted(map(str, table.collect()))
+
+
+def test_topics_steps_do_not_grow_with_groups(spark, monkeypatch):
+    steps = []
+    real = topics._statistics
+    monkeypatch.setattr(topics, "_statistics", lambda *a: steps.append(1) or real(*a))
+    for n_groups in (1, 5):
+        df = spark.range(30 * n_groups).selectExpr(
+            "id as Id", f"cast(id % {n_groups} as int) as cluster",
+            "if(id div 5 % 2 = 0, 'red green', 'salt sugar') as clean_text")
+        steps.clear()
+        table, _ = topics.topics_per_group(df, passes=2, batches=2)
+        assert len(steps) == 4 and table.select("cluster").distinct().count() == n_groups
+
+
 def test_topics_follow_group_size(spark):
     words = ["tea cup leaf", "dog bone leash", "corn chip salt", "cake icing jam"]
     rows, i = [], 0

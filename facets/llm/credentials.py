@@ -36,7 +36,7 @@ IDENTIFIER = (r"""(?i:user(?:_?name)?|login|client_?id|account(?:_?id)?|access_?
               r"""\x20*[:=]\x20*["']?[A-Za-z0-9@._-]{3,}""")
 # A value may stand right behind an equals sign, as in NAME=value lines.
 SECRET = (r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z0-9+/_-]*[0-9])(?=[A-Za-z0-9+/_-]*[A-Z])"
-          r"(?=[A-Za-z0-9+/_-]*[a-z])[A-Za-z0-9+/_-]{20,64}={0,2}(?![A-Za-z0-9+/_=-])")
+          r"(?=[A-Za-z0-9+/_-]*[a-z])[A-Za-z0-9+/_-]{20,}+={0,2}+(?![A-Za-z0-9+/_=-])")
 ENDPOINT = r"""[a-z][a-z0-9+.-]{1,15}://[^\s"'<>]+"""
 _BREAK = r"\n[\x20\t\r]*\n"
 _BREAK_KIND = len(KINDS)

@@ -251,6 +251,14 @@ def test_secrets(docs, texts, none):
     assert credentials.secret_spans(none).count() == 0
 
 
+def test_linked_secret_of_any_length(spark):
+    long = "aB3" * 30 + "xyZ9" * 500
+    rows = [(1, "user = bob " + long[:90]), (2, "user = bob " + long), (3, long)]
+    got = credentials.secret_spans(spark.createDataFrame(rows, "doc_id long, text string"))
+    ends = {r["doc_id"]: [s["end"] for s in r["spans"] if s["kind"] == 4] for r in got.collect()}
+    assert ends == {1: [101], 2: [11 + len(long)], 3: []}
+
+
 def test_secret_behind_equals_sign(spark):
     """NAME=value lines: the secret counts next to an access identifier, and not alone."""
     value = "Zz9" + "aB3" * 9

@@ -3,6 +3,7 @@
 import html
 import random
 import re
+import time
 
 import numpy as np
 import pytest
@@ -212,6 +213,42 @@ def test_page_slots(spark):
     assert {r["host"] for r in classes.collect()} >= {"h0.example", "h1.example", "*"}
 
 
+def plain_site(n):
+    """Pages of plain divisions: only comparing pages tells the text from the rest."""
+    return [f"<div class=top>Acme News<p>Home<p>World</div><div class=body><p>story {i}"
+            f"<p>told {i * i}</div><div class=bottom>All rights reserved</div>" for i in range(n)]
+
+
+def test_template_words_are_left_out(spark):
+    rows = [(i, "http://plain.example/", p) for i, p in enumerate(plain_site(6))]
+    # Copies of a page are no template; words inside an article stay, however often they occur.
+    rows += [(100 + i, "http://copies.example/", "<div>same</div><div>words</div>")
+             for i in range(9)]
+    rows += [(200 + i, "http://art.example/", f"<div>x</div><article><p>always<p>{i}</article>")
+             for i in range(5)]
+    # A name counts only if all of it says so.
+    rows += [(300, "http://solo.example/", '<div class="comment-policy-post">real</div>'
+              '<div id="share-prices">text</div><div class="site-footer">no</div>'
+              '<div id="cookie-banner2">no</div>')]
+    table = spark.createDataFrame(rows, "page_id long, url string, html string")
+    text = {r["page_id"]: r["text"] for r in templates.extract(table).collect()}
+    assert [text[i] for i in range(6)] == [f"story {i}\ntold {i * i}" for i in range(6)]
+    assert {text[100 + i] for i in range(9)} == {"same\nwords"}
+    assert [text[200 + i] for i in range(5)] == [f"always\n{i}" for i in range(5)]
+    assert text[300] == "real\ntext"
+    # Without its template a page keeps the words around the story.
+    assert templates.main_text(plain_site(1)[0], set()).startswith("Acme News\nHome")
+
+
+@pytest.mark.parametrize("piece", ["<div ", "<div>", "<div></x>", "<li><b>", "<!x", "<a b='",
+                                   '<p "', "<tr><td><div>", "<script>", "<ul><li><dt>"])
+def test_long_broken_pages_take_linear_time(piece):
+    page = piece * (1_000_000 // len(piece))
+    start = time.perf_counter()
+    templates.main_text(page, set())
+    assert time.perf_counter() - start < 20
+
+
 def test_template_is_nested(spark):
     table = spark.createDataFrame(
         [(i, "http://h.example/", "<main>" + "<section><i>x</i><h2>h</h2></section>" * (i + 1)

@@ -15,8 +15,8 @@ from facets.constants import (BLANKS, CATEGORY_RULES, DEFAULT_CATEGORY, MISSING_
                               NUMERIC_FEATURES, PROMPT_HEAD, PROMPT_TAIL, STOP_WORDS)
 from facets.functions.numeric import clip, with_holiday_flag
 from facets.functions.text import truncate, with_category
-from facets.operators import (cluster, compare, density, features, graph, labels, neighbors,
-                              profile, rows, temporal, terms, topics)
+from facets.operators import (cluster, compare, density, features, graph, hierarchy, labels,
+                              neighbors, profile, rows, temporal, terms, topics)
 from facets.operators.centers import TOLERANCE, fit_many
 from facets.plans.prepare import clean_reviews
 from facets.session import cut, ship_package, use_checkpoint_dir
@@ -894,6 +894,29 @@ def _(spark, folder):
         "vec_id", "agg_cluster")
 
 
+@query("ward_rows")
+def _(spark, folder):
+    return cluster.ward(vectors(spark, folder), "vec", 5, id_col="vec_id", method="rows").select(
+        "vec_id", "agg_cluster")
+
+
+# Ward's heights add up to the whole variance, whatever the tree; copies merge at height zero.
+@query("ward_tree", """
+  select (select count(distinct embedding) from embeddings) as n_leaves,
+    (select count(distinct embedding) - 1 from embeddings) as n_merges, true as rising,
+    round(sum(q - s * s / n), 4) as total
+  from (select i, sum(x * x) as q, sum(x) as s, count(*) as n
+    from (select unnest(embedding)::double as x, generate_subscripts(embedding, 1) as i
+      from embeddings) group by i)""", digits=4)
+def _(spark, folder):
+    leaves, merges = hierarchy.ward_tree(vectors(spark, folder), "vec")
+    up = merges.select(F.explode(F.array("a", "b")).alias("parent"), F.col("height").alias("above"))
+    falls = merges.join(up, "parent").where(F.col("height") > F.col("above"))
+    return merges.agg(
+        F.lit(leaves.count()).alias("n_leaves"), F.count("*").alias("n_merges"),
+        F.lit(falls.isEmpty()).alias("rising"), F.sum("height").alias("total"))
+
+
 def _ari_sql(source: str, a: str, b: str) -> str:
     return f"""(with t as (select {a} as a, {b} as b, count(*)::double as n from {source} group by all),
       s as (select (select sum(n * (n - 1) / 2) from t) as ab,

@@ -7,7 +7,8 @@ are searched backwards, all of them in step, over ranks of a wavelet matrix; occ
 located through sampled suffix positions; overlapping ones merge into removal spans.
 
 Defined cases: a null text has no words; a benchmark item without id or without words takes no
-part; items that share an id count once; rows with the same document id each keep their row.
+part; items that share an id count once; whole-number item ids come back as long, all others as
+string; rows with the same document id each keep their row.
 """
 
 from __future__ import annotations
@@ -18,6 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from facets.llm.batches import texts, tidy
 from facets.session import cut, ship_package
@@ -27,6 +29,8 @@ SHARD_WORDS = 1_000_000
 # Benchmark text searched in one pass; a larger benchmark takes more passes over the documents.
 BLOCK_BYTES = 32 << 20
 SAMPLE = 8
+# Windows searched in step.
+SLICE = 1 << 17
 
 # Every ASCII byte that is neither digit nor letter separates words.
 _BLANKED = bytes(b if b >= 0x80 or chr(b).isalnum() else 0x20 for b in range(256))
@@ -167,28 +171,79 @@ class FmIndex:
         return found
 
 
+def run_names(words: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """A number for each run of words, the same exactly where the runs are the same.
+
+    Runs of doubled length are named by the names of their halves; any other run by the two runs of
+    the next smaller power of two that cover it.
+    """
+    names = np.zeros(len(starts), np.int64)
+    level, span, taken = words.astype(np.int64), 1, 0
+    width = len(words) + 1
+    for n in np.unique(lengths).tolist():
+        while 2 * span <= n:
+            halves = level * width
+            halves[:-span] += level[span:]
+            level = np.unique(halves, return_inverse=True)[1]
+            span *= 2
+        at = np.flatnonzero(lengths == n)
+        found, number = np.unique(level[starts[at]] * width + level[starts[at] + n - span],
+                                  return_inverse=True)
+        names[at] = number + taken
+        taken += len(found)
+    return names
+
+
 class Windows:
-    """The windows of a block of benchmark items, as strings of word numbers."""
-
-    def __init__(self, items: list[tuple[int, bytes]], size: int = WINDOW):
-        listed = [(item, words_of(text)) for item, text in items]
-        vocabulary: dict[bytes, int] = {}
-        owners: dict[tuple, set] = {}
-        for item, words in listed:
-            ids = tuple(vocabulary.setdefault(w, len(vocabulary) + 1) for w in words)
-            for i in range(max(1, len(ids) - size + 1) if ids else 0):
-                owners.setdefault(ids[i:i + size], set()).add(item)
-        self.vocabulary, self.top = vocabulary, len(vocabulary)
-        strings = list(owners)
-        self.lengths = np.array([len(s) for s in strings], np.int64)
-        self.shortest = int(self.lengths.min()) if strings else 0
-        self.patterns = np.zeros((len(strings), self.lengths.max() if strings else 1), np.int64)
-        for k, s in enumerate(strings):
-            self.patterns[k, :len(s)] = s
-        self.items = sorted({i for o in owners.values() for i in o})
-        number = {item: k for k, item in enumerate(self.items)}
-        self.owner_start = np.cumsum([0] + [len(owners[s]) for s in strings])
-        self.owner = np.array([number[i] for s in strings for i in sorted(owners[s])], np.int64)
+    """The distinct windows of a block of benchmark items, as slices of the items' word numbers.
+
+    It is built once on the driver and broadcast: beside the vocabulary, four bytes for each word
+    of the items and about twenty for each distinct window.
+    """
+
+    def __init__(self, items: list[tuple], size: int = WINDOW):
+        self.vocabulary: dict[bytes, int] = {}
+        number = self.vocabulary.setdefault
+        owners, parts = [], []
+        for item, text in items:
+            part = np.fromiter((number(w, len(self.vocabulary) + 1) for w in words_of(text)),
+                               np.int32)
+            if len(part):
+                owners.append(item)
+                parts.append(part)
+        self.top = len(self.vocabulary)
+        self.items = sorted(set(owners))
+        self.words = np.concatenate(parts) if parts else np.zeros(0, np.int32)
+        sizes = np.array([len(p) for p in parts], np.int64)
+        counts = np.maximum(1, sizes - size + 1)
+        shift = np.cumsum(sizes) - sizes - np.cumsum(counts) + counts
+        starts = np.arange(counts.sum()) + np.repeat(shift, counts)
+        lengths = np.repeat(np.minimum(sizes, size), counts)
+        names = run_names(self.words, starts, lengths)
+        _, first = np.unique(names, return_index=True)
+        self.starts, self.lengths = starts[first].astype(np.int32), lengths[first].astype(np.int32)
+        self.shortest = int(lengths.min()) if len(lengths) else 0
+        place = {item: k for k, item in enumerate(self.items)}
+        owner = np.repeat(np.array([place[o] for o in owners], np.int64), counts)
+        owned = np.unique(names * max(1, len(self.items)) + owner)
+        self.owner = (owned % max(1, len(self.items))).astype(np.int32)
+        self.owner_start = np.searchsorted(owned // max(1, len(self.items)),
+                                           np.arange(len(first) + 1))
+
+    def held_by(self, symbols: np.ndarray) -> np.ndarray:
+        """Windows all of whose words are among the symbols; no other can occur in them."""
+        present = np.zeros(self.top + 1, bool)
+        present[symbols] = True
+        known = np.concatenate(([0], np.cumsum(present[self.words], dtype=np.int32)))
+        return np.flatnonzero(known[self.starts + self.lengths] - known[self.starts]
+                              == self.lengths)
+
+    def patterns(self, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Rows of word numbers, padded at the right, and their lengths."""
+        lengths = self.lengths[which].astype(np.int64)
+        column = np.arange(lengths.max())
+        at = np.minimum(self.starts[which][:, None] + column, len(self.words) - 1)
+        return np.where(column < lengths[:, None], self.words[at], 0).astype(np.int64), lengths
 
 
 def search_shard(sizes: np.ndarray, symbols: np.ndarray, windows: Windows):
@@ -216,16 +271,27 @@ def search_shard(sizes: np.ndarray, symbols: np.ndarray, windows: Windows):
     text[at] = symbols[place]
     word_at = np.full(len(text), -1)
     word_at[at] = place
+    held = windows.held_by(text)
+    if not len(held):
+        return hits, items, spans
     index = FmIndex(text, windows.top)
-    low, high = index.search(windows.patterns, windows.lengths)
-    counts = np.maximum(high - low, 0)
-    if not counts.any():
+    change = np.zeros(len(text) + 1, np.int64)
+    pairs = []
+    for lo in range(0, len(held), SLICE):
+        names = held[lo:lo + SLICE]
+        patterns, lengths = windows.patterns(names)
+        low, high = index.search(patterns, lengths)
+        counts = np.maximum(high - low, 0)
+        if not counts.any():
+            continue
+        which = np.repeat(np.arange(len(counts)), counts)
+        ahead = np.concatenate(([0], np.cumsum(counts)[:-1]))
+        where = index.locate(low[which] + np.arange(len(which)) - ahead[which])
+        change += np.bincount(where, minlength=len(change))
+        change -= np.bincount(where + lengths[which], minlength=len(change))
+        pairs.append(np.unique(np.stack((doc[word_at[where]], names[which])), axis=1))
+    if not pairs:
         return hits, items, spans
-    which = np.repeat(np.arange(len(counts)), counts)
-    ahead = np.concatenate(([0], np.cumsum(counts)[:-1]))
-    where = index.locate(low[which] + np.arange(len(which)) - ahead[which])
-    change = np.bincount(where, minlength=len(text) + 1)
-    change -= np.bincount(where + windows.lengths[which], minlength=len(text) + 1)
     covered = np.cumsum(change)[:-1] > 0
     hit_words = word_at[covered]
     hits += np.bincount(doc[hit_words], minlength=n_docs)
@@ -235,11 +301,14 @@ def search_shard(sizes: np.ndarray, symbols: np.ndarray, windows: Windows):
                     hit_words[np.concatenate((breaks, [len(hit_words) - 1]))].tolist()):
         d = int(doc[a])
         spans[d].append((a - int(offset[d]), b + 1 - int(offset[d])))
+    pairs = np.concatenate(pairs, axis=1)
+    pairs = pairs[:, np.argsort(pairs[0], kind="stable")]
+    hit_docs, begin = np.unique(pairs[0], return_index=True)
     owned = windows.owner_start
-    pairs = np.unique(np.stack((doc[word_at[where]], which)), axis=1)
-    for d, w in pairs.T.tolist():
-        items[d] += windows.owner[owned[w]:owned[w + 1]].tolist()
-    return hits, [[windows.items[i] for i in sorted(set(x))] for x in items], spans
+    for d, names in zip(hit_docs.tolist(), np.split(pairs[1], begin[1:])):
+        found = np.unique(np.concatenate([windows.owner[owned[w]:owned[w + 1]] for w in names]))
+        items[d] = [windows.items[i] for i in found.tolist()]
+    return hits, items, spans
 
 
 def search_batches(batches, windows: Windows, shard_words: int, column: int):
@@ -267,11 +336,17 @@ def search_batches(batches, windows: Windows, shard_words: int, column: int):
     tidy()
 
 
+def item_type(benchmark: DataFrame) -> str:
+    """Whole-number item ids come back as long, all others as string."""
+    return "long" if isinstance(benchmark.schema["item_id"].dataType, IntegralType) else "string"
+
+
 def item_blocks(benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> Iterator[list]:
     """Benchmark items in blocks of bounded size; the driver holds one block at a time."""
     block, size = [], 0
     rows = benchmark.where(F.col("item_id").isNotNull() & F.col("text").isNotNull()).select(
-        "item_id", F.col("text").cast("string").alias("text"))
+        F.col("item_id").cast(item_type(benchmark)).alias("item_id"),
+        F.col("text").cast("string").alias("text"))
     for item, text in rows.toLocalIterator():
         raw = text.encode()
         if block and size + len(raw) > block_bytes:
@@ -282,7 +357,6 @@ def item_blocks(benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> Iterato
     yield block
 
 
-_FOUND = "n_words long, n_hit long, items array<long>, spans array<struct<start:long,end:long>>"
 _SPANS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
 
@@ -300,33 +374,37 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW,
                   shard_words: int = SHARD_WORDS, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """(doc_id, n_words, n_hit, items, spans) of every row; spans are word places [start, end).
 
-    A document is searched where it lies: no shuffle. A benchmark beyond ``block_bytes`` is
-    searched in several passes, each adding its spans to those found before.
+    A document is searched where it lies: no shuffle. The windows of a block are broadcast. A
+    benchmark beyond ``block_bytes`` is searched in several passes, each adding its spans to those
+    found before.
     """
     ship_package(docs.sparkSession)
+    share = docs.sparkSession.sparkContext.broadcast
+    items = f"array<{item_type(benchmark)}>"
     id_type = docs.schema["doc_id"].dataType.simpleString()
     rows = docs.select("doc_id", F.col("text").cast("string").alias("text")).withColumns({
-        "items": F.lit(None).cast("array<long>"),
+        "items": F.lit(None).cast(items),
         "spans": F.lit(None).cast("array<struct<start:long,end:long>>")})
-    schema = f"doc_id {id_type}, text string, {_FOUND}"
+    schema = (f"doc_id {id_type}, text string, n_words long, n_hit long, items {items}, "
+              "spans array<struct<start:long,end:long>>")
     blocks, ahead = item_blocks(benchmark, block_bytes), []
     ahead = next(blocks)
     while ahead is not None:
         block, ahead = ahead, next(blocks, None)
         rows = rows.select("doc_id", "text", "items", "spans").mapInArrow(
-            _searcher(block, window, shard_words, ahead is None), schema)
+            _searcher(share(Windows(block, window)), shard_words, ahead is None), schema)
         if ahead is not None:
             rows = cut(rows)
     return rows.select("doc_id", "n_words", "n_hit", "items", "spans")
 
 
-def _searcher(block, window, shard_words, last):
+def _searcher(windows, shard_words, last):
     def kernel(batches):
-        windows = Windows(block, window)
-        for held, sizes, _, items, spans in search_batches(batches, windows, shard_words, 1):
+        for held, sizes, _, items, spans in search_batches(batches, windows.value, shard_words, 1):
             at = 0
             for batch in held:
                 n = batch.num_rows
+                ids = batch.column(2).type
                 old_items = [x or [] for x in batch.column(2).to_pylist()]
                 old = [[(s["start"], s["end"]) for s in x or []]
                        for x in batch.column(3).to_pylist()]
@@ -337,7 +415,7 @@ def _searcher(block, window, shard_words, last):
                     pa.array(sizes[at:at + n], pa.int64()),
                     pa.array([sum(b - a for a, b in x) for x in now], pa.int64()),
                     pa.array([sorted({*a, *b}) for a, b in zip(old_items, items[at:at + n])],
-                             pa.list_(pa.int64())),
+                             pa.list_(ids.value_type)),
                     pa.array([[{"start": a, "end": b} for a, b in x] for x in now], _SPANS)],
                     ["doc_id", "text", "n_words", "n_hit", "items", "spans"])
                 at += n
@@ -349,15 +427,15 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDO
                       block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """The documents in which no benchmark window occurs, with all their columns."""
     ship_package(docs.sparkSession)
+    share = docs.sparkSession.sparkContext.broadcast
     text_at = docs.columns.index("text")
     blocks = item_blocks(benchmark, block_bytes)
     ahead = next(blocks)
     while ahead is not None:
         block, ahead = ahead, next(blocks, None)
 
-        def kernel(batches, block=block):
-            windows = Windows(block, window)
-            for held, _, hits, _, _ in search_batches(batches, windows, shard_words, text_at):
+        def kernel(batches, windows=share(Windows(block, window))):
+            for held, _, hits, _, _ in search_batches(batches, windows.value, shard_words, text_at):
                 at = 0
                 for batch in held:
                     yield batch.filter(pa.array(hits[at:at + batch.num_rows] == 0))

@@ -164,6 +164,31 @@ def test_contamination(spark, docs, texts, none, block_bytes, shard):
     assert fmindex.drop_contaminated(docs, benchmark.limit(0)).count() == len(texts) + 2
 
 
+def test_text_item_ids(spark, docs, texts):
+    items = [("b-2", "the mit license of x"), ("a", "word word word word"), ("b-2", "cc by nc")]
+    benchmark = spark.createDataFrame(items, "item_id string, text string")
+    got = fmindex.contamination(docs, benchmark, 4).collect()
+    assert len(got) == len(texts) + 2
+    for r in got:
+        assert r["items"] == brute_hits(texts[r["doc_id"]], items, 4)[2]
+
+
+def test_shards_with_repeated_windows(monkeypatch):
+    monkeypatch.setattr(fmindex, "SLICE", 7)
+    rng = np.random.default_rng(4)
+    for size in (1, 2, 3, 5, 10):
+        def drawn(n):
+            return [" ".join(rng.choice(list("abc"), int(rng.integers(0, 25)))) for _ in range(n)]
+        items, docs = [(k % 9, t) for k, t in enumerate(drawn(12))], drawn(20)
+        windows = fmindex.Windows([(k, t.encode()) for k, t in items], size)
+        symbols = [[windows.vocabulary.get(w, 0) for w in t.encode().split()] for t in docs]
+        hits, found, spans = fmindex.search_shard(
+            np.array([len(x) for x in symbols]), np.array(sum(symbols, []), np.int64), windows)
+        for k, t in enumerate(docs):
+            assert (len(symbols[k]), hits[k], found[k]) == brute_hits(t, items, size)
+            assert sum(b - a for a, b in spans[k]) == hits[k]
+
+
 def test_fm_index_against_search():
     rng = np.random.default_rng(1)
     for _ in range(40):

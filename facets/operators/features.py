@@ -153,6 +153,14 @@ def lsa_variance(vectors: DataFrame, n_docs: int, loadings: np.ndarray,
     return (energy / n_docs - (mean @ loadings) ** 2) / total
 
 
+def lsa_ratios(vectors: DataFrame, n_docs: int, loadings: np.ndarray,
+               energy: np.ndarray) -> DataFrame:
+    """``lsa_variance`` as a table (pc, ratio), like that of ``pca``."""
+    shares = lsa_variance(vectors, n_docs, loadings, energy) if n_docs else []
+    return vectors.sparkSession.createDataFrame(
+        [(i + 1, float(r)) for i, r in enumerate(shares)], "pc int, ratio double")
+
+
 def project(vectors: DataFrame, loadings: np.ndarray, key: str = "Id",
             name: str = "text_vec") -> DataFrame:
     """Rows times loadings: (key, name)."""

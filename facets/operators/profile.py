@@ -147,6 +147,10 @@ def rounded(df: DataFrame, digits: int = 2) -> DataFrame:
                       for c, t in df.dtypes])
 
 
+# Columns of ``profile`` that are set against each other on one scale.
+SCALED = ("avg_rating", "pct_5star", "pct_1star", "avg_words", "avg_helpfulness", "avg_votes")
+
+
 def minmax_scale(df: DataFrame, cols) -> DataFrame:
     """Scale columns to [0, 1] over all rows; a constant column gives null."""
     bounds = df.agg(F.struct(*[F.struct(F.min(c).alias("lo"), F.max(c).alias("hi")).alias(c)

@@ -16,7 +16,7 @@ from facets.constants import (BLANKS, CATEGORY_RULES, DEFAULT_CATEGORY, MISSING_
 from facets.functions.numeric import clip, with_holiday_flag
 from facets.functions.text import truncate, with_category
 from facets.operators import (cluster, compare, density, features, graph, hierarchy, labels,
-                              neighbors, profile, rows, temporal, terms, topics)
+                              layout, neighbors, profile, rows, temporal, terms, topics)
 from facets.operators.centers import TOLERANCE, fit_many
 from facets.plans.prepare import clean_reviews
 from facets.session import cut, ship_package, use_checkpoint_dir
@@ -433,18 +433,15 @@ def _(spark, folder):
     return profile.profile(clean(spark, folder), "cluster", share=True)
 
 
-_SCALED = ("avg_rating", "pct_5star", "pct_1star", "avg_words", "avg_helpfulness", "avg_votes")
-
-
 @query("profile_scaled", _sql(f"""
   , p as (select cluster, avg(Score) as avg_rating, {_FIVE} as pct_5star, {_ONE} as pct_1star,
     avg(word_count) as avg_words, avg(helpfulness_ratio) as avg_helpfulness,
     avg(HelpfulnessDenominator) as avg_votes from reviews group by 1)
   select cluster, """ + ", ".join(
     f"round(({c} - min({c}) over ()) / nullif(max({c}) over () - min({c}) over (), 0), 6) as {c}"
-    for c in _SCALED) + " from p"))
+    for c in profile.SCALED) + " from p"))
 def _(spark, folder):
-    scaled = profile.minmax_scale(cut(profile.profile(clean(spark, folder))), _SCALED)
+    scaled = profile.minmax_scale(cut(profile.profile(clean(spark, folder))), profile.SCALED)
     return scaled.drop("n_reviews")
 
 
@@ -652,6 +649,33 @@ def _(spark, folder):
     return features.map2d(vectors(spark, folder), "vec").select("vec_id", "map_x", "map_y")
 
 
+@query("map_neighbors", digits=3)
+def _(spark, folder):
+    return layout.neighbor_map(vectors(spark, folder), "vec_id", "vec")
+
+
+@query("map_kept", "select count(*) as n_points, true as better from embeddings")
+def _(spark, folder):
+    # At sight of ten neighbours the map keeps at least twice as many as two principal components.
+    points = cut(vectors(spark, folder))
+    spots = cut(points.join(layout.neighbor_map(points, "vec_id", "vec").withColumnRenamed(
+        "id", "vec_id"), "vec_id"))
+    kept = layout.neighborhood_kept(spots, "vec_id", "vec")
+    plain = layout.neighborhood_kept(features.map2d(points, "vec"), "vec_id", "vec")
+    return spots.agg(F.count("map_x").alias("n_points"),
+                     F.lit(kept.first()[0] >= 2 * plain.first()[0]).alias("better"))
+
+
+@query("lsa_variance", digits=3)
+def _(spark, folder):
+    docs = staged(spark, folder, "Id", "clean_text")
+    weights, vocab = terms.tfidf_vectors(docs)
+    weights = cut(weights)
+    loadings, energy = features.fit_lsa(weights, vocab.count())
+    return profile.explained_variance(
+        features.lsa_ratios(weights, docs.count(), loadings, energy))
+
+
 # ---------------------------------------------------------------- neighbours and clusters
 
 PAIRS = """

@@ -11,8 +11,8 @@ from facets.constants import (CATEGORY_RULES, DBSCAN_MIN_SAMPLES, DEFAULT_CATEGO
                               STOP_WORDS, SWEEP_MAX_ITER, SWEEP_RESTARTS, TFIDF_MAX_DF,
                               TFIDF_MAX_FEATURES, TFIDF_MIN_DF, WARD_DIMS)
 from facets.functions.text import with_category
-from facets.operators import (cluster, compare, density, features, graph, labels, neighbors,
-                              profile, temporal, terms, topics)
+from facets.operators import (cluster, compare, density, features, graph, labels, layout,
+                              neighbors, profile, temporal, terms, topics)
 from facets.plans.prepare import clean_reviews
 from facets.session import cut, ship_package
 from facets.sources.reviews import load_report
@@ -22,20 +22,34 @@ CATEGORIES = [name for name, _ in CATEGORY_RULES] + [DEFAULT_CATEGORY]
 
 def build_features(reviews: DataFrame, *, stop_words=STOP_WORDS, min_df: int = TFIDF_MIN_DF,
                    max_df: float = TFIDF_MAX_DF, max_features: int = TFIDF_MAX_FEATURES,
-                   lsa_dims: int = LSA_DIMS, pca_dims: int = PCA_DIMS, seed: int = SEED):
-    """Table (Id, fused, pca, ward_pca, map_x, map_y), and the component ratios."""
+                   lsa_dims: int = LSA_DIMS, pca_dims: int = PCA_DIMS, map_method: str = "neighbors",
+                   seed: int = SEED):
+    """Table (Id, fused, pca, ward_pca, map_x, map_y), and the shares of variance that the principal
+    and the latent-semantic components explain: (pc, ratio) each.
+
+    ``map_method="neighbors"`` lays out the principal components by ``layout.neighbor_map``;
+    ``"pca"`` takes the first two of them.
+    """
+    if map_method not in ("neighbors", "pca"):
+        raise ValueError(f"unknown method: {map_method}")
     docs = reviews.select("Id", "clean_text")
     weights, vocab = terms.tfidf_vectors(docs, stop_words=stop_words, min_df=min_df, max_df=max_df,
                                          max_features=max_features)
+    weights = cut(weights)
     numbers = reviews.select("Id", *NUMERIC_FEATURES)
-    with_text, _, _ = features.lsa(numbers, cut(weights), vocab.count(), lsa_dims, seed=seed)
+    with_text, loadings, energy = features.lsa(numbers, weights, vocab.count(), lsa_dims, seed=seed)
+    text_ratios = features.lsa_ratios(weights, docs.count(), loadings, energy)
     fused = cut(features.fused_features(with_text, "text_vec", NUMERIC_FEATURES)
                 .select("Id", "fused"))
     out, ratios, _ = features.pca(fused, "fused", pca_dims, "pca")
     # Leading components are the same however many are kept.
-    return cut(out.select("Id", "fused", "pca", F.slice("pca", 1, WARD_DIMS).alias("ward_pca"),
-                          F.get("pca", F.lit(0)).alias("map_x"),
-                          F.get("pca", F.lit(1)).alias("map_y"))), ratios
+    out = cut(out.select("Id", "fused", "pca", F.slice("pca", 1, WARD_DIMS).alias("ward_pca")))
+    if map_method == "pca":
+        feats = out.withColumns({"map_x": F.get("pca", F.lit(0)), "map_y": F.get("pca", F.lit(1))})
+    else:
+        feats = cut(out.join(layout.neighbor_map(out, "Id", "pca").withColumnRenamed("id", "Id"),
+                             "Id"))
+    return feats, ratios, text_ratios
 
 
 def segment(raw: DataFrame, *, n_samples: int | None = None, k: int | None = None, ks=K_RANGE,
@@ -43,18 +57,19 @@ def segment(raw: DataFrame, *, n_samples: int | None = None, k: int | None = Non
             eps: float | None = None, min_samples: int = DBSCAN_MIN_SAMPLES,
             neighbors_k: int = GRAPH_NEIGHBORS, sample: int | None = FINAL_SAMPLE,
             lda_passes: int = LDA_PASSES, responses: DataFrame | None = None, seed: int = SEED,
-            **text_settings) -> dict[str, DataFrame]:
+            **feature_settings) -> dict[str, DataFrame]:
     """Clean, vectorise, group four ways, and describe the groups.
 
     ``k=None`` takes the k with the best silhouette. ``responses`` (cluster, response) are answers to
     the label prompts of an earlier run. ``assigned`` in the result is the enriched review table; the
-    other entries are the reports.
+    other entries are the reports. ``feature_settings`` go to ``build_features``.
     """
     ship_package(raw.sparkSession)
     reviews = cut(clean_reviews(raw, n_samples=n_samples, seed=seed))
-    feats, ratios = build_features(reviews, seed=seed, **text_settings)
+    feats, ratios, text_ratios = build_features(reviews, seed=seed, **feature_settings)
     out = {"load_report": load_report(raw, reviews),
-           "explained_variance": profile.explained_variance(ratios)}
+           "explained_variance": profile.explained_variance(ratios),
+           "text_variance": profile.explained_variance(text_ratios)}
     if k is None:
         out["sweep"] = cluster.sweep_k(feats, "pca", ks, sweep_restarts, SWEEP_MAX_ITER, seed=seed)
         k = cluster.best_k(out["sweep"])
@@ -93,6 +108,7 @@ def segment(raw: DataFrame, *, n_samples: int | None = None, k: int | None = Non
         df = labels.attach_labels(df, labels.parse_labels(responses))
     out["assigned"] = df
     groups = list(range(k))
+    by_cluster = cut(profile.profile(df))
     out.update({
         "summary": profile.summary_stats(df),
         "ratings": profile.rating_distribution(df),
@@ -108,7 +124,8 @@ def segment(raw: DataFrame, *, n_samples: int | None = None, k: int | None = Non
         "cluster_words": terms.word_freq(df, "clean_text", 80, "cluster", 3000, seed),
         "cluster_sizes": profile.group_sizes(df, "cluster"),
         "community_sizes": profile.group_sizes(df, "graph_cluster"),
-        "cluster_profile": profile.profile(df),
+        "cluster_profile": by_cluster,
+        "cluster_profile_scaled": profile.minmax_scale(by_cluster, profile.SCALED),
         "community_profile": profile.profile(df, "graph_cluster", share=True),
         "rating_mix": profile.pivot_share(df, "cluster", "Score", [1, 2, 3, 4, 5], "pct_"),
         "top_terms": terms.top_terms(df),

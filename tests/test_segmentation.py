@@ -14,6 +14,11 @@ def test_whole_run(spark, folder, tmp_path):
     assert groups == list(range(len(groups)))
     q = out["methods"].where("measure = 'modularity'").first()["value"]
     assert -0.5 <= q <= 1
+    assert out["text_variance"].count() == 10
+    shares = [r["cum_pct"] for r in out["text_variance"].orderBy("pc").collect()]
+    assert 0 < shares[-1] <= 100
+    scaled = out["cluster_profile_scaled"].agg({"avg_rating": "max", "avg_words": "min"}).first()
+    assert set(scaled) <= {0.0, 1.0, None}
     write_tables(out, f"{tmp_path}/tables")
     write_assigned(assigned, f"{tmp_path}/assigned", "csv")
     assert spark.read.parquet(f"{tmp_path}/tables/prompts").count() == len(groups)

@@ -7,7 +7,7 @@ takes back the k - 1 highest.
 
 The nearest group is searched through pivot cells: the distance to a known group bounds what is
 worth looking for, and the distance to a cell's pivot, its radius and its smallest group bound what
-the cell can offer. Both sides of a cell are split into blocks, a block pair is one unit of work.
+the cell can offer. Groups meet the cells that are left in pairs of blocks (``neighbors.meet``).
 """
 
 from __future__ import annotations
@@ -16,20 +16,21 @@ import math
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from facets.constants import SEED
 from facets.operators.centers import assign_nearest, share, squares, stack
 from facets.operators.graph import components
-from facets.operators.neighbors import _pairs
+from facets.operators.neighbors import matrix, meet
 from facets.operators.rows import with_index
 from facets.session import attach, cut, ship_package
 
-# Groups of a block; below this many groups the rest of the tree is made in one place.
+# Groups of a cell's own block; below this many groups the rest of the tree is made in one place.
 BLOCK_ROWS = 2_000
-LAST_GROUPS = 200
-_CELLS = 1 << 20
+LAST_GROUPS = 2_000
+_CELLS = 1 << 22
 # Slack of the bounds, which the expanded square computes with a rounding error.
 _SLACK = 1e-9
 _FOUND = "id long, d double, hi long, lo long"
@@ -43,30 +44,51 @@ def _cost(gap, n, m):
 def _best_pairs(ids, n, spots, other_ids, other_n, other_spots):
     """Each group's cheapest partner in a block; equal costs go to the pair of older groups."""
     best = []
-    step = max(1, _CELLS // max(1, other_spots.size))
+    middle = other_spots.mean(axis=0)
+    x, y = spots - middle, other_spots - middle
+    long = (x * x).sum(axis=1) + (y * y).sum(axis=1).max()
+    step = max(1, _CELLS // len(other_ids))
     for lo in range(0, len(ids), step):
         at = slice(lo, lo + step)
-        gap = ((spots[at, None] - other_spots[None]) ** 2).sum(axis=-1)
-        cost = _cost(gap, n[at, None], other_n[None])
-        cost[ids[at, None] == other_ids[None]] = np.inf
-        low = cost.min(axis=1)
+        share_ = n[at, None] * other_n[None] / (n[at, None] + other_n[None])
+        rough = squares(x[at], y) * share_
+        rough[ids[at, None] == other_ids[None]] = np.inf
+        # The expanded square chooses what is measured exactly.
+        room = rough.min(axis=1) + _SLACK * long[at] * share_.max(axis=1)
+        row, col = np.divmod(np.flatnonzero(rough <= room[:, None]), len(other_ids))
+        fit = np.isfinite(rough[row, col])
+        row, col = row[fit] + lo, col[fit]
+        cost = _cost(((spots[row] - other_spots[col]) ** 2).sum(axis=-1), n[row], other_n[col])
         # Blocks are in id order, so the first of equal costs is the oldest partner.
-        to = other_ids[(cost == low[:, None]).argmax(axis=1)]
-        best.append(pd.DataFrame({"id": ids[at], "d": low, "hi": np.maximum(ids[at], to),
-                                  "lo": np.minimum(ids[at], to)}))
+        order = np.lexsort((col, cost, row))
+        row, col, cost = row[order], col[order], cost[order]
+        first = np.r_[True, row[1:] != row[:-1]][:len(row)]
+        mine, to = ids[row[first]], other_ids[col[first]]
+        best.append(pd.DataFrame({"id": mine, "d": cost[first], "hi": np.maximum(mine, to),
+                                  "lo": np.minimum(mine, to)}))
     found = pd.concat(best)
     return found[np.isfinite(found["d"])]
 
 
-def _columns(rows: pd.DataFrame):
-    rows = rows.sort_values("id")
-    return rows["id"].to_numpy(), rows["n"].to_numpy("f8"), stack(rows["centre"])
+_NONE = pd.DataFrame({"id": np.empty(0, "i8"), "d": np.empty(0), "hi": np.empty(0, "i8"),
+                      "lo": np.empty(0, "i8")})
 
 
-def _meet(asking: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
-    if not len(asking) or not len(held):
-        return pd.DataFrame({"id": [], "d": [], "hi": [], "lo": []})
-    return _best_pairs(*_columns(asking), *_columns(held))
+def _own(rows: pd.DataFrame) -> pd.DataFrame:
+    """A first bound for the asking groups of a block: the cheapest of its own rows."""
+    rows = rows.sort_values("rep")
+    ids, n = rows["rep"].to_numpy(), rows["n"].to_numpy("f8")
+    spots, asks = stack(rows["centre"]), rows["asks"].to_numpy(bool)
+    return _best_pairs(ids[asks], n[asks], spots[asks], ids, n, spots) if asks.any() else _NONE
+
+
+def _meet(asking: pa.Table, held: pa.Table) -> pa.Table:
+    def columns(rows):
+        rows = rows.sort_by("rep")
+        return rows["rep"].to_numpy(), rows["n"].to_numpy(), matrix(rows["centre"])
+
+    found = _best_pairs(*columns(asking), *columns(held)) if len(asking) and len(held) else _NONE
+    return pa.Table.from_pandas(found, preserve_index=False)
 
 
 def _cheapest(found: DataFrame) -> DataFrame:
@@ -80,27 +102,26 @@ def _nearest(groups: DataFrame, count: int, seed: int, round_: int) -> DataFrame
     pivots = (groups.orderBy(F.xxhash64(F.lit(seed + round_), "id"), "id").limit(n_pivots)
               .select("id", "n", "centre").collect())
     spots = np.array([r["centre"] for r in pivots], "f8")
-    cells = assign_nearest(groups.select("id", "n", "centre", "asks"), spots, "centre")
-    cells = cut(cells)
+    cells = cut(assign_nearest(groups.select(F.col("id").alias("rep"), "n", "centre", "asks"),
+                               spots, "centre"))
     stats = cells.groupBy("cell").agg(F.max("cell_dist").alias("radius"), F.min("n").alias("least"),
                                       F.count("*").alias("held")).collect()
     radius, least = np.full(len(spots), -np.inf), np.ones(len(spots))
-    parts = np.zeros(len(spots), int)
+    size = np.zeros(len(spots), int)
     for r in stats:
-        radius[r["cell"]], least[r["cell"]] = r["radius"], r["least"]
-        parts[r["cell"]] = -(-r["held"] // BLOCK_ROWS)
-    split = F.get(F.array(*[F.lit(int(p)) for p in parts]), F.col("cell"))
-    cells = cells.withColumn("lb", F.pmod(F.xxhash64("id"), split).cast("int"))
+        radius[r["cell"]], least[r["cell"]], size[r["cell"]] = r["radius"], r["least"], r["held"]
+    split = F.get(F.array(*[F.lit(int(-(-s // BLOCK_ROWS))) for s in size]), F.col("cell"))
     # A block's own rows give a first bound, and so do the pivots, which are groups themselves.
-    own = cells.groupBy("cell", "lb").applyInPandas(
-        lambda rows: _meet(rows[rows["asks"]], rows), _FOUND)
-    bound = cells.where("asks").select("id", "n", "centre").join(
-        own.select("id", "d"), "id", "left")
+    ship_package(groups.sparkSession)
+    own = cells.withColumn("lb", F.pmod(F.xxhash64("rep"), split)).groupBy("cell", "lb") \
+        .applyInPandas(_own, _FOUND)
+    bound = cells.where("asks").select("rep", "n", "centre").join(
+        own.select(F.col("id").alias("rep"), "d"), "rep", "left")
     about = share(groups, (np.array([r["id"] for r in pivots]),
-                           np.array([r["n"] for r in pivots], "f8"), spots, radius, least, parts))
+                           np.array([r["n"] for r in pivots], "f8"), spots, radius, least, size))
 
     def route(batches):
-        ids, sizes, spots, radius, least, parts = about.value
+        ids, sizes, spots, radius, least, held = about.value
         for batch in batches:
             if not len(batch):
                 continue
@@ -110,57 +131,68 @@ def _nearest(groups: DataFrame, count: int, seed: int, round_: int) -> DataFrame
                 n = part["n"].to_numpy("f8")[:, None]
                 gap = squares(stack(part["centre"]), spots)
                 cost = _cost(gap, n, sizes[None])
-                cost[part["id"].to_numpy()[:, None] == ids[None]] = np.inf
+                cost[part["rep"].to_numpy()[:, None] == ids[None]] = np.inf
                 limit = np.fmin(part["d"].to_numpy("f8"), cost.min(axis=1))
                 scale = (stack(part["centre"]) ** 2).sum(axis=1).max() + (spots ** 2).sum(1).max()
                 away = np.maximum(np.sqrt(gap) - radius[None] - math.sqrt(_SLACK * scale), 0)
                 open_ = (_cost(away ** 2, n, least[None])
-                         <= limit[:, None] * (1 + _SLACK) + _SLACK * scale) & (parts[None] > 0)
+                         <= limit[:, None] * (1 + _SLACK) + _SLACK * scale) & (held[None] > 0)
                 row, cell = np.nonzero(open_)
-                times = parts[cell]
-                row, cell = np.repeat(row, times), np.repeat(cell, times)
-                at = np.arange(len(cell)) - np.repeat(np.cumsum(times) - times, times)
-                out = part.iloc[row][["id", "n", "centre"]]
-                yield out.assign(cell=cell, lb=at)
-
-    ship_package(groups.sparkSession)
-    asked = cut(bound.mapInPandas(route, "id long, n double, centre array<double>, "
-                                         "cell int, lb int"))
-    # Askers of a block are split too; the block is copied once for each part of them.
-    load = asked.groupBy("cell", "lb").agg(
-        F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias("load"))
-    sliced = attach(asked, load, ["cell", "lb"]).withColumn(
-        "rb", F.pmod(F.xxhash64("id"), F.col("load")).cast("int")).drop("load")
-    held = attach(cells.select("id", "n", "centre", "cell", "lb"), load, ["cell", "lb"]).withColumn(
-        "rb", F.explode(F.sequence(F.lit(0), F.col("load") - 1))).drop("load")
-    def kernel(asking, rows):
-        return _meet(asking, rows)
+                yield part.drop(columns="d").assign(cells=np.split(
+                    cell.astype("i4"), np.searchsorted(row, np.arange(1, len(part)))))
 
-    return _cheapest(_pairs(sliced, held, kernel, _FOUND))
+    routed = cut(bound.mapInPandas(
+        route, "rep long, n double, centre array<double>, cells array<int>"))
+    return _cheapest(meet(routed, cells.select("rep", "n", "centre", "cell"), size,
+                          spots.shape[1], _meet, _FOUND))
 
 
 def _finish(rows, n_start: int) -> list[tuple]:
-    """Merges of the last groups, the cheapest pair first: (child, other child, parent, height)."""
+    """Merges of the last groups, the cheapest pair first: (child, other child, parent, height).
+
+    Every group knows its cheapest partner among the later ones; a merge asks again only for those
+    whose partner it took.
+    """
     rows = sorted(rows, key=lambda r: r["id"])
-    ids = [r["id"] for r in rows]
-    n, high = [float(r["n"]) for r in rows], [r["height"] for r in rows]
-    total = [np.array(r["total"], "f8") for r in rows]
-    merges, turn = [], max(ids) // n_start + 1
-    while len(ids) > 1:
-        size = np.array(n)
-        centre = np.array(total) / size[:, None]
-        cost = _cost(((centre[:, None] - centre[None]) ** 2).sum(-1), size[:, None], size[None])
-        cost[np.tril_indices(len(ids))] = np.inf
-        i, j = (int(x) for x in np.unravel_index(cost.argmin(), cost.shape))
-        height = max(float(cost[i, j]), high[i], high[j])
-        new = turn * n_start + ids[i] % n_start
-        merges.append((ids[i], ids[j], new, height))
-        ids.append(new)
-        n.append(n[i] + n[j])
-        total.append(total[i] + total[j])
-        high.append(height)
-        for rows_ in (ids, n, total, high):
-            del rows_[j], rows_[i]
+    most, have = 2 * len(rows), len(rows)
+    ids = np.array([r["id"] for r in rows] + [0] * have)
+    n, high = np.ones(most), np.zeros(most)
+    n[:have], high[:have] = [r["n"] for r in rows], [r["height"] for r in rows]
+    total = np.zeros((most, len(rows[0]["total"])))
+    total[:have] = [r["total"] for r in rows]
+    centre, alive = total / n[:, None], np.arange(most) < have
+    low, partner = np.full(most, np.inf), np.zeros(most, int)
+
+    def ask(i):
+        later = np.flatnonzero(alive[i + 1:have]) + i + 1
+        if len(later):
+            cost = _cost(((centre[i] - centre[later]) ** 2).sum(-1), n[i], n[later])
+            low[i], partner[i] = cost.min(), later[cost.argmin()]
+        else:
+            low[i] = np.inf
+
+    for i in range(have):
+        ask(i)
+    merges, turn = [], int(ids.max()) // n_start + 1
+    while alive.sum() > 1:
+        i = int(low.argmin())
+        if not np.isfinite(low[i]):
+            raise ValueError("distances overflow")
+        j, k = int(partner[i]), have
+        high[k] = max(low[i], high[i], high[j])
+        ids[k] = turn * n_start + ids[i] % n_start
+        merges.append((int(ids[i]), int(ids[j]), int(ids[k]), float(high[k])))
+        n[k], total[k] = n[i] + n[j], total[i] + total[j]
+        centre[k] = total[k] / n[k]
+        alive[[i, j]], low[[i, j]] = False, np.inf
+        held = np.flatnonzero(alive)
+        alive[k], have = True, have + 1
+        taken = np.isin(partner[held], (i, j))
+        cost = _cost(((centre[held] - centre[k]) ** 2).sum(-1), n[held], n[k])
+        nearer = held[cost < low[held]]
+        low[nearer], partner[nearer] = cost[cost < low[held]], k
+        for at in held[taken]:
+            ask(at)
         turn += 1
     return merges
 

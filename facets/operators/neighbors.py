@@ -11,6 +11,8 @@ import math
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, Window
@@ -23,6 +25,12 @@ from facets.session import attach, cut, ship_package
 
 BLOCK_ROWS = 2000
 MAX_PIVOTS = 1024
+# Held blocks grow to so many times BLOCK_ROWS or so many bytes, asking blocks to a part of that;
+# small tables are spread over so many blocks of either side.
+MOST_BLOCKS, ASKING_SHARE, _SPREAD = 32, 2, 8
+_HELD_BYTES = 1 << 25
+# Distances held at once.
+_CELLS = 1 << 23
 # Trained cells: lists looked through for a point, rows a cell learns from, passes over them.
 PROBES = 16
 TRAIN_ROWS = 256
@@ -42,12 +50,63 @@ def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def _pairs(left: DataFrame, right: DataFrame, kernel, schema: str) -> DataFrame:
-    """Run ``kernel`` on every left and right block that agree in (cell, lb, rb)."""
+    """Run ``kernel`` (Arrow tables) on every left and right block that agree in (cell, lb, rb)."""
     keys = ["cell", "lb", "rb"]
     # Both sides may stem from one table; fresh names keep their columns apart.
     left = left.select(*[F.col(c).alias(c) for c in left.columns])
     ship_package(left.sparkSession)
-    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(kernel, schema)
+    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(kernel, schema)
+
+
+def matrix(column: pa.ChunkedArray) -> np.ndarray:
+    """Vectors of an Arrow table as rows of a matrix."""
+    flat = pc.list_flatten(column).combine_chunks()
+    return np.asarray(flat.to_numpy(zero_copy_only=False), "f8").reshape(len(column), -1)
+
+
+def block_rows(n: int, width: int) -> tuple[int, int]:
+    """Rows of an asking and of a held block for ``n`` rows of vectors of ``width`` numbers.
+
+    Every row is copied once for each block of the other side, so blocks grow with the table, up to
+    a bound in bytes.
+    """
+    most = max(1, min(MOST_BLOCKS, _HELD_BYTES // (8 * max(1, width) * BLOCK_ROWS)))
+    grown = max(BLOCK_ROWS, n // _SPREAD)
+    return (min(max(1, most // ASKING_SHARE) * BLOCK_ROWS, grown), min(most * BLOCK_ROWS, grown))
+
+
+def meet(routed: DataFrame, cells: DataFrame, size, width: int, kernel, schema: str) -> DataFrame:
+    """Let every asking row meet all rows of the cells it was sent to, a pair of blocks at a time.
+
+    ``routed`` has the asking rows with the array ``cells`` of cells to look through, ``cells`` the
+    held rows with their ``cell``; both have a key ``rep``, and ``size`` counts each cell's rows.
+    Where rows have to look through most cells anyway, small cells are bundled, so that a row is
+    copied for few large blocks and not for every cell.
+    """
+    size = np.asarray(size, "i8")
+    asked, n = np.zeros(len(size) + 1, "i8"), int(size.sum())
+    # One row per cell; the one past the last counts the asking rows.
+    everywhere = F.explode(F.concat("cells", F.array(F.lit(len(size)))))
+    for r in routed.select(everywhere.alias("cell")).groupBy("cell").count().collect():
+        asked[r["cell"]] = r["count"]
+    asked, n_asking = asked[:-1], int(asked[-1])
+    ask_rows, held_rows = block_rows(n, width)
+    bundle = np.arange(len(size))
+    if asked.sum() > n_asking * np.count_nonzero(size) / 2:
+        bundle = (np.cumsum(size) - size) // held_rows
+        asked = np.where(np.bincount(bundle, asked) > 0, n_asking, 0)
+        size = np.bincount(bundle, size).astype("i8")
+        place = F.array(*[F.lit(int(x)).cast("int") for x in bundle])
+        routed = routed.withColumn("cells", F.array_distinct(F.transform(
+            "cells", lambda c: F.get(place, c))))
+        cells = cells.withColumn("cell", F.get(place, F.col("cell")))
+    blocks = routed.sparkSession.createDataFrame(
+        [(c, math.ceil(asked[c] / ask_rows), math.ceil(size[c] / held_rows))
+         for c in range(len(size)) if size[c] and asked[c]],
+        "cell int, n_lb int, n_rb int")  # one row per cell
+    asking = routed.withColumn("cell", F.explode("cells")).drop("cells")
+    return _pairs(_split(asking.join(F.broadcast(blocks), "cell"), "lb", "rb", 1),
+                  _split(cells.join(F.broadcast(blocks), "cell"), "rb", "lb", 2), kernel, schema)
 
 
 def _distinct_points(points: DataFrame, k: int) -> DataFrame:
@@ -61,34 +120,80 @@ def _distinct_points(points: DataFrame, k: int) -> DataFrame:
                                 F.sort_array(F.collect_list("id")).alias("ids")))
 
 
-def _candidate_kernel(k: int, centers=None):
-    """Of a member block, keep what may be among the ``k`` nearest of each query.
+def closest(a: np.ndarray, b: np.ndarray, k: int):
+    """(row, column, distance): for each row of ``a`` what may be its ``k`` nearest rows of ``b``.
 
-    With ``centers`` (shared with the executors) both sides are compared by their residuals from the
-    centre of their cell, whose short vectors lose fewer digits; what is kept is measured exactly.
+    Distances are exact; a row may have more than ``k`` columns, in no order. Squares in single
+    precision, with both lengths folded into the product, choose the candidates: the smallest of
+    some columns bounds what is worth measuring, give or take the rounding of the product.
     """
-    def kernel(queries: pd.DataFrame, members: pd.DataFrame) -> pd.DataFrame:
-        empty = pd.DataFrame({"rep": [], "ids": [], "dist": []})
+    kept = min(k, len(b))
+    middle = b.mean(axis=0)
+    if not np.isfinite(middle).all():
+        middle = 0.0
+    x, y = a - middle, b - middle
+    xx, yy = (x * x).sum(axis=1), (y * y).sum(axis=1)
+    scale = math.sqrt(max(xx.max(), yy.max())) or 1.0
+    single = math.isfinite(scale)
+    if single:
+        x, y, xx, yy = x / scale, y / scale, xx / scale ** 2, yy / scale ** 2
+        left = np.hstack([x, xx[:, None], np.ones((len(x), 1))]).astype("f4")
+        right = np.hstack([-2 * y, np.ones((len(y), 1)), yy[:, None]]).astype("f4")
+        error = 4 * (x.shape[1] + 8) * np.finfo("f4").eps * (xx + yy.max()) + 1e-30
+    folds = max(1, len(b) // max(16 * kept, 512))
+    step, found = max(1, _CELLS // len(b)), []
+    for lo in range(0, len(a), step):
+        at = slice(lo, lo + step)
+        hit = None
+        if single:
+            approx = left[at] @ right.T
+            few = len(b) // folds
+            least = approx[:, :few * folds].reshape(len(approx), folds, few).min(axis=1)
+            bound = np.partition(least, kept - 1, axis=1)[:, kept - 1] + error[at]
+            hit = np.flatnonzero(approx <= bound[:, None].astype("f4"))
+        if hit is None or len(hit) > 8 * kept * len(approx) + 4096:
+            # Too close together for single precision: full lengths, a sliver of rounding.
+            approx = squares(x[at], y)
+            bound = np.partition(approx, kept - 1, axis=1)[:, kept - 1]
+            hit = np.flatnonzero(approx <= (bound + 1e-9 * (xx[at] + yy.max()))[:, None])
+        row, col = np.divmod(hit, len(b))
+        found.append((row + lo, col, exact(a[row + lo], b[col])))
+    return tuple(map(np.concatenate, zip(*found)))
+
+
+def _candidate_kernel(k: int):
+    """Of a member block, the ids and distances of the ``k`` nearest of each query, in order."""
+    def kernel(queries: pa.Table, members: pa.Table) -> pa.Table:
+        names, kind = ["rep", "dists", "nbrs"], queries.schema.field("rep").type
         if not len(queries) or not len(members):
-            return empty
-        a, b = stack(queries["vec"]), stack(members["vec"])
-        x, y = a, b
-        if centers is not None:
-            middle = centers.value[queries["cell"].iloc[0]]
-            x, y = a - middle, b - middle
-        approx = squares(x, y)
-        kept = min(k, len(b))
-        bound = np.partition(approx, kept - 1, axis=1)[:, kept - 1]
-        # Rounding can only mislead by a sliver of the squared lengths involved.
-        slack = 1e-9 * ((x * x).sum(1) + (y * y).sum(1).max())
-        row, col = np.nonzero(approx <= (bound + slack)[:, None])
-        dist = exact(a[row], b[col])
-        order = np.lexsort((members["rep"].to_numpy()[col], dist, row))
+            return pa.table([pa.array([], kind), pa.array([], pa.list_(pa.float64())),
+                             pa.array([], pa.list_(kind))], names)
+        members = members.sort_by("rep")
+        row, col, dist = closest(matrix(queries["vec"]), matrix(members["vec"]), k)
+        order = np.lexsort((col, dist, row))
         row, col, dist = row[order], col[order], dist[order]
-        place = np.arange(len(row)) - np.searchsorted(row, row)
-        row, col, dist = row[place < kept], col[place < kept], dist[place < kept]
-        return pd.DataFrame({"rep": queries["rep"].to_numpy()[row],
-                             "ids": members["ids"].to_numpy()[col], "dist": dist})
+        near = np.arange(len(row)) - np.searchsorted(row, row) < k
+        row, col, dist = row[near], col[near], dist[near]
+        copies = pc.list_value_length(members["ids"]).to_numpy()
+        ids = pc.list_flatten(members["ids"]).combine_chunks()
+        if len(ids) == len(copies):
+            pick = col
+        else:
+            # A vector offers all its ids; at one distance the smaller id comes first.
+            starts, times = np.cumsum(copies) - copies, copies[col]
+            pick = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+            pick += np.repeat(starts[col], times)
+            row, dist = np.repeat(row, times), np.repeat(dist, times)
+            place = np.empty(len(ids), "i8")
+            place[pc.sort_indices(ids).to_numpy()] = np.arange(len(ids))
+            order = np.lexsort((place[pick], dist, row))
+            row, dist, pick = row[order], dist[order], pick[order]
+            near = np.arange(len(row)) - np.searchsorted(row, row) < k
+            row, dist, pick = row[near], dist[near], pick[near]
+        ends = pa.array(np.searchsorted(row, np.arange(len(queries) + 1)), pa.int32())
+        return pa.table([queries["rep"].combine_chunks(),
+                         pa.ListArray.from_arrays(ends, pa.array(dist)),
+                         pa.ListArray.from_arrays(ends, ids.take(pa.array(pick)))], names)
     return kernel
 
 
@@ -113,7 +218,7 @@ def _cell_bounds(cells: DataFrame, n_cells: int, k: int):
 
 
 def _route(cells: DataFrame, pivots, radius, nearest, k: int) -> DataFrame:
-    """Send every point to the cells that can hold one of its k nearest, by triangle inequality.
+    """(rep, vec, cells): the cells that can hold one of a point's k nearest, by triangle inequality.
 
     Distance to pivot plus a row's distance from that pivot bounds the distance to the row, so the
     k-th smallest such sum over all cells bounds the k-th neighbour. A cell farther than that, minus
@@ -132,14 +237,13 @@ def _route(cells: DataFrame, pivots, radius, nearest, k: int) -> DataFrame:
                     else np.full(len(part), np.inf)
                 slack = 1e-6 * (1 + to_pivot)
                 row, cell = np.nonzero(to_pivot - radius[None] <= reach[:, None] + slack)
-                yield pd.DataFrame({"rep": part["rep"].to_numpy()[row],
-                                    "vec": part["vec"].to_numpy()[row],
-                                    "cell": cell.astype("i4")})
+                yield part.assign(cells=np.split(
+                    cell.astype("i4"), np.searchsorted(row, np.arange(1, len(part)))))
 
     key = dict(cells.dtypes)["rep"]
     ship_package(cells.sparkSession)
     return cells.select("rep", "vec").mapInPandas(
-        send, f"rep {key}, vec array<double>, cell int")
+        send, f"rep {key}, vec array<double>, cells array<int>")
 
 
 def _train_cells(reps: DataFrame, n_cells: int, seed: int) -> np.ndarray:
@@ -150,7 +254,7 @@ def _train_cells(reps: DataFrame, n_cells: int, seed: int) -> np.ndarray:
 
 def _probe(cells: DataFrame, centers: np.ndarray, held: np.ndarray, need: int,
            probes: int) -> DataFrame:
-    """Send every point to its ``probes`` nearest lists, and on until they hold ``need`` rows."""
+    """(rep, vec, cells): the ``probes`` nearest lists, and further ones until they hold ``need`` rows."""
     shared = share(cells, (centers, held))
 
     def send(batches):
@@ -168,14 +272,13 @@ def _probe(cells: DataFrame, centers: np.ndarray, held: np.ndarray, need: int,
                     reach = np.searchsorted(np.cumsum(held[order]), need) + 1
                     chosen[short, order[:reach]] = True
                 row, cell = np.nonzero(chosen)
-                yield pd.DataFrame({"rep": part["rep"].to_numpy()[row],
-                                    "vec": part["vec"].to_numpy()[row],
-                                    "cell": cell.astype("i4")})
+                yield part.assign(cells=np.split(
+                    cell.astype("i4"), np.searchsorted(row, np.arange(1, len(part)))))
 
     key = dict(cells.dtypes)["rep"]
     ship_package(cells.sparkSession)
     return cells.select("rep", "vec").mapInPandas(
-        send, f"rep {key}, vec array<double>, cell int")
+        send, f"rep {key}, vec array<double>, cells array<int>")
 
 
 def _split(df: DataFrame, mine: str, other: str, salt: int) -> DataFrame:
@@ -216,41 +319,25 @@ def knn(df: DataFrame, id_col: str, vec_col: str, k: int = GRAPH_NEIGHBORS,
     if n == 0:
         return points.select("id", F.lit(0).alias("rank"), F.col("id").alias("nbr"),
                              F.lit(0.0).alias("dist"))
-    residuals = None
     if method == "cells":
         centers = _train_cells(reps, min(n, n_cells or math.ceil(math.sqrt(n))), seed)
-        residuals = share(reps, centers)
         cells = cut(assign_nearest(reps, centers))
         size, held = np.zeros(len(centers), "i8"), np.zeros(len(centers), "i8")
         for r in cells.groupBy("cell").agg(F.count("*").alias("n"), F.sum(F.size("ids")).alias(
                 "held")).collect():  # one row per cell
             size[r["cell"]], held[r["cell"]] = r["n"], r["held"]
         routed = cut(_probe(cells, centers, held, need, probes))
-        asked = {r["cell"]: r["count"] for r in routed.groupBy("cell").count().collect()}
     else:
         centers = _pivots(reps, n)
-        cells = assign_nearest(reps, centers)
-        if len(centers) > 1:
-            cells = cut(cells)
-            size, radius, nearest = _cell_bounds(cells, len(centers), need)
-            routed = cut(_route(cells, centers, radius, nearest, need))
-            asked = {r["cell"]: r["count"] for r in routed.groupBy("cell").count().collect()}
-        else:
-            routed, size, asked = cells.select("rep", "vec", "cell"), [n], {0: n}
-    blocks = spark.createDataFrame(
-        [(c, math.ceil(asked[c] / BLOCK_ROWS), math.ceil(int(size[c]) / BLOCK_ROWS))
-         for c in range(len(centers)) if size[c] and c in asked],
-        "cell int, n_lb int, n_rb int")  # one row per cell
-    queries = _split(routed.join(F.broadcast(blocks), "cell"), "lb", "rb", 1)
-    members = _split(cells.select("rep", "vec", "ids", "cell").join(F.broadcast(blocks), "cell"),
-                     "rb", "lb", 2)
+        cells = cut(assign_nearest(reps, centers))
+        size, radius, nearest = _cell_bounds(cells, len(centers), need)
+        routed = cut(_route(cells, centers, radius, nearest, need))
     key = dict(reps.dtypes)["rep"]
-    found = _pairs(queries, members, _candidate_kernel(need, residuals),
-                   f"rep {key}, ids array<{key}>, dist double")
-    offers = found.select("rep", "dist", F.explode("ids").alias("nbr"))
-    rank = F.row_number().over(Window.partitionBy("rep").orderBy("dist", "nbr"))
-    best = (offers.withColumn("_r", rank).where(F.col("_r") <= need)
-            .groupBy("rep").agg(F.sort_array(F.collect_list(F.struct("dist", "nbr"))).alias("near")))
+    found = meet(routed, cells.select("rep", "vec", "ids", "cell"), size, centers.shape[1],
+                 _candidate_kernel(need), f"rep {key}, dists array<double>, nbrs array<{key}>")
+    offers = F.flatten(F.collect_list(F.arrays_zip(
+        F.col("dists").alias("dist"), F.col("nbrs").alias("nbr"))))
+    best = found.groupBy("rep").agg(F.slice(F.sort_array(offers), 1, need).alias("near"))
     with_near = reps.select("rep", "vec", F.size("ids").alias("_copies")).join(best, "rep")
     if reps.where(F.size("ids") > 1).isEmpty():
         owners = with_near.select(F.col("rep").alias("id"), "near")
@@ -312,27 +399,35 @@ def suggest_eps(curve: DataFrame) -> DataFrame:
             .select(F.col("_m.dist").alias("eps"), (-F.col("_m.col2")).alias("idx")))
 
 
-def _spread_kernel(rows: pd.DataFrame, others: pd.DataFrame) -> pd.DataFrame:
+def _spread_kernel(rows: pa.Table, others: pa.Table) -> pa.Table:
     """Sum of distances from every row to the rows of each label in the other block.
 
     ``labels`` holds one label per grouping; distances serve all groupings.
     """
-    out = []
+    out, key = [], rows.schema.field("rep").type
     if len(rows) and len(others):
-        a, b = stack(rows["vec"]), stack(others["vec"])
-        mine, theirs = np.stack(rows["labels"].to_numpy()), np.stack(others["labels"].to_numpy())
+        a, b = matrix(rows["vec"]), matrix(others["vec"])
+        mine, theirs = (np.stack(t["labels"].to_pandas().to_numpy()) for t in (rows, others))
         found = [np.unique(theirs[:, g], return_inverse=True) for g in range(theirs.shape[1])]
-        for lo in range(0, len(a), 256):
-            gap = _distances(a[lo:lo + 256], b)
-            for g, (labels, at) in enumerate(found):
-                member = np.zeros((len(b), len(labels)))
-                member[np.arange(len(b)), at] = 1
-                out.append(pd.DataFrame({
-                    "rep": np.repeat(rows["rep"].to_numpy()[lo:lo + 256], len(labels)),
-                    "grouping": g, "label": np.repeat(mine[lo:lo + 256, g], len(labels)),
-                    "other": np.tile(labels, len(gap)), "total": (gap @ member).ravel()}))
-    return pd.concat(out) if out else pd.DataFrame(
-        {c: [] for c in ("rep", "grouping", "label", "other", "total")})
+        totals = [np.zeros((len(a), len(labels))) for labels, _ in found]
+        for to in range(0, len(b), BLOCK_ROWS):
+            part = slice(to, to + BLOCK_ROWS)
+            members = [np.equal.outer(at[part], np.arange(len(labels))).astype("f8")
+                       for labels, at in found]
+            for lo in range(0, len(a), 256):
+                gap = _distances(a[lo:lo + 256], b[part])
+                for total, member in zip(totals, members):
+                    total[lo:lo + 256] += gap @ member
+        reps = rows["rep"].combine_chunks()
+        for g, ((labels, _), total) in enumerate(zip(found, totals)):
+            out.append(pa.table({
+                "rep": reps.take(pa.array(np.repeat(np.arange(len(a)), len(labels)))),
+                "grouping": pa.array(np.full(total.size, g), pa.int32()),
+                "label": pa.array(np.repeat(mine[:, g], len(labels)), pa.int32()),
+                "other": pa.array(np.tile(labels, len(a)), pa.int32()), "total": total.ravel()}))
+    return pa.concat_tables(out) if out else pa.schema(
+        [("rep", key), ("grouping", pa.int32()), ("label", pa.int32()), ("other", pa.int32()),
+         ("total", pa.float64())]).empty_table()
 
 
 def silhouette_rows(df: DataFrame, id_col: str, vec_col: str, labels,
@@ -348,10 +443,14 @@ def silhouette_rows(df: DataFrame, id_col: str, vec_col: str, labels,
         sample, seed, "rep"))
     sizes = (rows.select(F.posexplode("labels").alias("grouping", "other"))
              .groupBy("grouping", "other").agg(F.count("*").alias("size")))
-    n_blocks = max(1, math.ceil(rows.count() / BLOCK_ROWS))
-    placed = rows.withColumns({"cell": F.lit(0), "n_lb": F.lit(n_blocks), "n_rb": F.lit(n_blocks)})
+    n, width = rows.agg(F.count("*"), F.coalesce(F.max(F.size("vec")), F.lit(1))).first()
+    ask_rows, held_rows = block_rows(n, width)
+    # A row answers with a sum for each label.
+    ask_rows = min(ask_rows, max(BLOCK_ROWS, _CELLS // max(1, sizes.count())))
+    placed = rows.withColumns({"cell": F.lit(0), "n_lb": F.lit(max(1, math.ceil(n / ask_rows))),
+                               "n_rb": F.lit(max(1, math.ceil(n / held_rows)))})
     key = dict(rows.dtypes)["rep"]
-    sums = _pairs(_split(placed, "lb", "rb", 1), _split(placed, "rb", "lb", 1), _spread_kernel,
+    sums = _pairs(_split(placed, "lb", "rb", 1), _split(placed, "rb", "lb", 2), _spread_kernel,
                   f"rep {key}, grouping int, label int, other int, total double")
     per_label = sums.groupBy("rep", "grouping", "label", "other").agg(F.sum("total").alias("total"))
     own = F.col("label") == F.col("other")

@@ -19,6 +19,7 @@ from facets.constants import LSA_DIMS, NUMERIC_WEIGHT, PCA_DIMS, SEED, TEXT_WEIG
 from facets.session import ship_package
 
 _FAN_IN = 32
+_SENT_BYTES = 1 << 20
 _CHUNK_CELLS = 65_536
 
 
@@ -44,8 +45,9 @@ def fuse(df: DataFrame, parts, name: str = "fused") -> DataFrame:
 def sum_matrices(df: DataFrame, partial, shape) -> np.ndarray:
     """Sum of one matrix per partition, added up in rounds of at most ``_FAN_IN`` per task.
 
-    ``partial`` maps an iterator of pandas batches to an array of ``shape`` (or None). Only the last
-    ``_FAN_IN`` matrices reach the driver, however many partitions there are.
+    ``partial`` maps an iterator of pandas batches to an array of ``shape`` (or None). The driver gets
+    one matrix, or at most ``_FAN_IN`` that together have ``_SENT_BYTES``, however many partitions
+    there are.
     """
     def first(batches):
         total = partial(batches)
@@ -64,7 +66,8 @@ def sum_matrices(df: DataFrame, partial, shape) -> np.ndarray:
     left = df.rdd.getNumPartitions()
     ship_package(df.sparkSession)
     sums = df.mapInPandas(first, "m binary")
-    while left > _FAN_IN:
+    size = 8 * math.prod(shape)
+    while left > _FAN_IN or left > 1 and left * size > _SENT_BYTES:
         left = math.ceil(left / _FAN_IN)
         sums = sums.repartition(left).mapInPandas(add, "m binary")
     total = np.zeros(shape)

@@ -7,8 +7,8 @@ the map is crowded: rows are counted on a grid of fixed size, the field of that
 convolution, and all rows read it from a broadcast of bounded size.
 
 Rows lie in blocks of neighbours on the starting map. A round sends each block the spots its rows
-refer to, takes a few steps inside the block, and writes the new spots. Rounds, not rows, decide the
-number of jobs. Counts on the grid are whole numbers and blocks depend on the data alone, so the map
+refer to, as one array from every other block, takes a few steps inside the block, and writes the new
+spots, an array for each block. Rounds, not rows, decide the number of jobs. Counts on the grid are whole numbers and blocks depend on the data alone, so the map
 does not depend on how the table is partitioned.
 """
 
@@ -137,31 +137,43 @@ def _counts(spots: DataFrame, frame: Frame) -> np.ndarray:
     return counts
 
 
+def _packed(key, nodes: pd.DataFrame, wanted: pd.DataFrame) -> pd.DataFrame:
+    """One row for a block: where its rows and their neighbours stand among the spots sent to it."""
+    nodes = nodes.sort_values("id")
+    ids = np.concatenate(wanted.sort_values("source")["ids"].to_numpy())
+    order = np.argsort(ids, kind="stable")
+
+    def place(wanted_ids):
+        return order[np.searchsorted(ids, wanted_ids, sorter=order)].astype("i4")
+
+    near = place(np.stack(nodes["nbrs"].to_numpy()))
+    # A neighbour's rank is the slow axis, so that steps add up whole columns of rows.
+    return pd.DataFrame({"block": [key[0]], "mine": [place(nodes["id"].to_numpy())],
+                         "near": [near.T.ravel()], "pull": [stack(nodes["pull"]).T.ravel()]})
+
+
 def _stepper(shared, steps: int):
     """Move the rows of a block; rows of other blocks stay where the round found them."""
-    def move(key, nodes: pd.DataFrame, spots: pd.DataFrame) -> pd.DataFrame:
+    def move(key, block: pd.DataFrame, sent: pd.DataFrame) -> pd.DataFrame:
         frame, field = shared.value
-        nodes, spots = nodes.sort_values("id"), spots.sort_values("id")
-        ids = spots["id"].to_numpy()
-        at = spots[["x", "y"]].to_numpy()
-        mine = np.searchsorted(ids, nodes["id"].to_numpy())
-        near = np.searchsorted(ids, np.stack(nodes["nbrs"].to_numpy()))
-        pull = stack(nodes["pull"])
-        speed = spots[["vx", "vy"]].to_numpy()[mine]
+        sent = sent.sort_values("source")
+        x, y = (np.concatenate(sent[c].to_numpy()).astype("f8") for c in ("x", "y"))
+        mine, near, pull, vx, vy = (block[c].iloc[0] for c in ("mine", "near", "pull", "vx", "vy"))
+        near, pull = near.reshape(-1, len(mine)), pull.reshape(-1, len(mine))
+        speed = np.stack([vx, vy], 1)
         for _ in range(steps):
-            here = at[mine]
-            apart = here[:, None, :] - at[near]
-            weight = pull / (1 + (apart ** 2).sum(axis=2))
-            pulled = (weight[:, :, None] * apart).sum(axis=1)
+            here = np.stack([x[mine], y[mine]], 1)
+            gap_x, gap_y = here[:, 0] - x[near], here[:, 1] - y[near]
+            weight = pull / (1 + (gap_x ** 2 + gap_y ** 2))
+            pulled = np.stack([(weight * gap_x).sum(axis=0), (weight * gap_y).sum(axis=0)], 1)
             cells, shares = frame.corners(here)
             pushed = (field[cells] * shares[:, :, None]).sum(axis=1)
             speed = _MOMENTUM * speed - _RATE * (pulled - pushed)
             length = np.sqrt((speed ** 2).sum(axis=1, keepdims=True))
             speed = speed * np.minimum(1, _LONGEST_STEP / np.maximum(length, 1e-300))
-            at[mine] = here + speed
-        return pd.DataFrame({"id": nodes["id"].to_numpy(), "block": key[0],
-                             "x": at[mine, 0], "y": at[mine, 1],
-                             "vx": speed[:, 0], "vy": speed[:, 1]})
+            x[mine], y[mine] = (here + speed).T
+        return pd.DataFrame({"block": [key[0]], "x": [x[mine]], "y": [y[mine]],
+                             "vx": [speed[:, 0]], "vy": [speed[:, 1]]})
     return move
 
 
@@ -215,17 +227,33 @@ def _settle(reps: DataFrame, n: int, perplexity: float, k: int, rounds: int, ste
     spots = cut(_blocks(start, n))
     near = pulls(knn(reps, "id", "vec", min(k, n - 1), **search), perplexity)
     nodes = cut(near.join(spots.select("id", "block"), "id"))
-    # A spot is sent to each block that refers to it, once.
-    wanted = cut(nodes.select("block", F.explode(F.concat("nbrs", F.array("id"))).alias("id"))
-                 .distinct())
+    # From here on a block is one row, its rows in the order of their ids.
+    listed = F.sort_array(F.collect_list(F.struct("id", "x", "y", "vx", "vy")))
+    state = cut(spots.groupBy("block").agg(listed.alias("_rows")).select(
+        "block", *[F.col(f"_rows.{c}").alias(c) for c in ("id", "x", "y", "vx", "vy")]))
+    members, state = state.select("block", "id"), state.drop("id")
+    held = members.select(F.col("block").alias("source"), F.posexplode("id").alias("place", "id"))
+    # A spot is sent to each block that refers to it, once; between two blocks they go as one row.
+    wanted = (nodes.select("block", F.explode(F.concat("nbrs", F.array("id"))).alias("id")).distinct()
+              .join(held, "id").groupBy("block", "source")
+              .agg(F.sort_array(F.collect_list(F.struct("place", "id"))).alias("_rows")))
+    wanted = cut(wanted.select("block", "source", F.col("_rows.place").alias("places"),
+                               F.col("_rows.id").alias("ids")))
+    blocks = cut(nodes.groupBy("block").cogroup(wanted.groupBy("block")).applyInPandas(
+        _packed, "block long, mine array<int>, near array<int>, pull array<double>"))
     for _ in range(rounds):
-        frame = _frame(spots, grid)
-        shared = share(spots, (frame, frame.field(_counts(spots, frame))))
-        sent = wanted.join(spots.drop("block"), "id")
-        spots = cut(nodes.groupBy("block").cogroup(sent.groupBy("block"))
-                    .applyInPandas(_stepper(shared, steps), spots.schema))
+        rows = state.select(F.inline(F.arrays_zip("x", "y")))
+        frame = _frame(rows, grid)
+        shared = share(state, (frame, frame.field(_counts(rows, frame))))
+        at = state.select(F.col("block").alias("source"), "x", "y")
+        sent = wanted.join(at, "source").select("block", "source", *[
+            F.expr(f"transform(places, p -> get({c}, p))").alias(c) for c in ("x", "y")])
+        moving = blocks.join(state.select("block", "vx", "vy"), "block")
+        state = cut(moving.groupBy("block").cogroup(sent.groupBy("block"))
+                    .applyInPandas(_stepper(shared, steps), state.schema))
         shared.unpersist()
-    return spots.select("id", F.col("x").alias("map_x"), F.col("y").alias("map_y"))
+    return members.join(state, "block").select(
+        F.inline(F.arrays_zip("id", F.col("x").alias("map_x"), F.col("y").alias("map_y"))))
 
 
 def neighborhood_kept(df: DataFrame, id_col: str, vec_col: str, coords=("map_x", "map_y"),

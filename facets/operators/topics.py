@@ -91,22 +91,38 @@ def document_topics(group, rows, terms, counts, beta, topics):
     """
     real = np.arange(len(beta))[None] < topics[group][:, None]
     alpha = np.where(real, 1 / topics[group][:, None], 0.0)
-    gamma, share = real.astype("f8"), np.zeros((len(rows), len(beta)))
-    alive = np.ones(len(group), bool)
+    gamma, last = real.astype("f8"), np.zeros((len(group), len(beta)))
+    sizes = np.bincount(rows, minlength=len(group))
+    if (np.diff(rows) < 0).any():
+        raise ValueError("cells stand by rows")
+    cells = beta[:, terms]
+    # Documents still moving stay together with their cells; settled ones are left out once they are
+    # a fourth of these.
+    at, alive, held, weights = np.arange(len(group)), np.ones(len(group), bool), cells, counts
     for _ in range(MAX_ROUNDS):
-        at = np.flatnonzero(alive[rows])
-        theta = np.where(real, np.exp(digamma(gamma)), 0.0)
-        theta /= np.exp(digamma(gamma.sum(axis=1)))[:, None]
-        part = theta[rows[at]] * beta[:, terms[at]].T
-        part *= (counts[at] / np.maximum(part.sum(axis=1), 1e-100))[:, None]
-        share[at] = part
-        new = alpha + np.stack([np.bincount(rows[at], p, len(group)) for p in part.T], axis=1)
-        moved = np.abs(new - gamma).sum(axis=1) / topics[group]
-        gamma = np.where(alive[:, None], new, gamma)
+        if alive.sum() * 4 <= len(at) * 3:
+            kept = np.repeat(alive, sizes[at])
+            held, weights, at = held[:, kept], weights[kept], at[alive]
+            alive = np.ones(len(at), bool)
+        was, size = gamma[at], sizes[at]
+        theta = np.where(real[at], np.exp(digamma(was)), 0.0)
+        theta /= np.exp(digamma(was.sum(axis=1)))[:, None]
+        mixed = np.zeros(len(weights))
+        for k, row in enumerate(held):
+            mixed += np.repeat(theta[:, k], size) * row
+        np.divide(weights, np.maximum(mixed, 1e-100, out=mixed), out=mixed)
+        new, some = alpha[at], size > 0
+        starts = (np.cumsum(size) - size)[some]
+        for k, row in enumerate(held if len(starts) else ()):
+            new[some, k] += theta[some, k] * np.add.reduceat(mixed * row, starts)
+        moved = np.abs(new - was).sum(axis=1) / topics[group[at]]
+        gamma[at[alive]], last[at[alive]] = new[alive], theta[alive]
         alive &= moved > SETTLED
         if not alive.any():
             break
-    return gamma, share
+    share = cells * np.repeat(last, sizes, axis=0).T
+    share *= counts / np.maximum(share.sum(axis=0), 1e-100)
+    return gamma, share.T
 
 
 def _cells(batch: pd.DataFrame):

@@ -71,3 +71,20 @@ def test_copies_nulls_and_few_rows(spark):
         assert len(few) == n and len({r[1:] for r in map(tuple, few)}) == distinct
     line = spark.createDataFrame([(i, [float(i)]) for i in range(8)], "id long, vec array<double>")
     assert np.isfinite(layout.neighbor_map(line, "id", "vec", 2, rounds=2).toPandas()).all(None)
+
+
+def test_blocks_travel_as_single_rows(spark, ring, monkeypatch):
+    written = []
+
+    def cut(df):
+        out = layout_cut(df)
+        written.append((out.columns, out.count()))
+        return out
+
+    layout_cut = layout.cut
+    monkeypatch.setattr(layout, "BLOCK_ROWS", 100)
+    monkeypatch.setattr(layout, "cut", cut)
+    assert layout.neighbor_map(ring, "id", "vec", 12, rounds=3, steps=2).count() == 300
+    # Three blocks: what rounds send and write is counted in blocks and pairs of blocks, not in rows.
+    assert [n for c, n in written if "x" in c][-3:] == [3, 3, 3]
+    assert all(n <= 9 for c, n in written if "places" in c or "near" in c)

@@ -1,6 +1,8 @@
 import math
 
 import numpy as np
+import pandas as pd
+import pyarrow as pa
 import pytest
 
 from facets.operators import counting, features, labels, terms, topics
@@ -232,3 +234,16 @@ def test_terms_of_empty_tables(spark):
     assert vectors.count() == vocab.count() == terms.top_terms(none).count() == 0
     blank = docs(spark, ["", None, "the"])
     assert terms.tfidf(blank, min_df=1).count() == 0
+
+
+def test_lsa_pieces_are_dense_and_bounded():
+    rng = np.random.default_rng(4)
+    at = [np.sort(rng.choice(50, int(n), replace=False)) for n in rng.integers(1, 9, 700)]
+    rows = pd.DataFrame({"indices": at, "values": [rng.random(len(i)) for i in at]})
+    basis, seen = rng.normal(size=(50, 3)), []
+    for places, columns, dense in features._chunks(rows):
+        assert dense.shape == (len(places), len(columns)) and len(places) <= features._CHUNK_ROWS
+        for p, got in zip(places, dense @ basis[columns]):
+            assert np.allclose(got, rows["values"][p] @ basis[rows["indices"][p]])
+        seen.extend(places)
+    assert seen == list(range(700))

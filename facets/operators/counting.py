@@ -25,10 +25,10 @@ from facets.session import attach, cut, ship_package
 
 # Terms in a task's table, the part of them that a task hands on at its end, and candidates that are
 # broadcast at most.
-TABLE_TERMS = 1 << 20
-HANDED_ON = 8
+TABLE_TERMS = 1 << 19
+HANDED_ON = 4
 DICTIONARY = 200_000
-_PART_BYTES = 1 << 22
+_PART_BYTES = 1 << 20
 _OUT_ROWS = 50_000
 # A kept word that no dictionary knows.
 _UNKNOWN = (1 << 31) - 1
@@ -43,7 +43,7 @@ def ranked(df: DataFrame, group: str, order: list[Column], n: int) -> DataFrame:
             .withColumn("rank", F.row_number().over(whole)).where(F.col("rank") <= n).drop("_r"))
 
 
-def _parts(batch, text_at: int) -> Iterator:
+def text_parts(batch, text_at: int) -> Iterator:
     """Slices of a batch whose texts together are of bounded size, or that are a single row."""
     ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(text_at)), 0).to_numpy())
     at = 0
@@ -132,7 +132,7 @@ class _Table:
             gone = occurs <= limit
             self.left[group] = self.left.get(group, 0) + int(occurs[gone].max(initial=0))
             self.counts[group] = keys[~gone], occurs[~gone], rows[~gone]
-        if len(self.words) > self.room:
+        if len(self.words) > self.room // 2:
             self._forget_words()
 
     def _forget_words(self) -> None:
@@ -176,7 +176,7 @@ def _first_counts(rows: DataFrame, stop_words, room: int, thin: bool) -> DataFra
 
         for batch in batches:
             kind = batch.schema.field(0).type
-            for part in _parts(batch, 1):
+            for part in text_parts(batch, 1):
                 table.add(part.column(0), part.column(1), stops)
                 if table.waiting > room and table.settle() > room:
                     if thin:
@@ -195,7 +195,7 @@ def _first_counts(rows: DataFrame, stop_words, room: int, thin: bool) -> DataFra
     return cut(rows.mapInArrow(kernel, f"g {kind}, term string, cf long, df long"))
 
 
-class _Known:
+class Known:
     """A list of terms to be met again: the sorted keys of those in it and their places."""
 
     def __init__(self, terms: list[str]):
@@ -234,7 +234,7 @@ def _count_candidates(rows: DataFrame, known: list[tuple], stop_words) -> np.nda
     for i, (group, term) in enumerate(known):
         listed.setdefault(group, []).append((i, term))
     shared = rows.sparkSession.sparkContext.broadcast(
-        {g: (np.array([i for i, _ in pairs]), _Known([t for _, t in pairs]))
+        {g: (np.array([i for i, _ in pairs]), Known([t for _, t in pairs]))
          for g, pairs in listed.items()})
     shape, dropped = (2, len(known)), list(stop_words)
 
@@ -244,7 +244,7 @@ def _count_candidates(rows: DataFrame, known: list[tuple], stop_words) -> np.nda
             total = np.zeros(shape) if total is None else total
             batch = pa.RecordBatch.from_arrays([pa.array(frame["g"], pa.string()),
                                                 pa.array(frame["text"], pa.string())], ["g", "text"])
-            for part in _parts(batch, 1):
+            for part in text_parts(batch, 1):
                 for group, (places, terms) in shared.value.items():
                     mine = pc.is_null(part.column(0)) if group is None else \
                         pc.fill_null(pc.equal(part.column(0), group), False)
@@ -346,14 +346,14 @@ def weighted_vectors(df: DataFrame, text: str, key: str, vocabulary: list[tuple]
     """
     spark, dropped = df.sparkSession, list(stop_words)
     shared = spark.sparkContext.broadcast(
-        (_Known([t for t, _ in vocabulary]), np.array([w for _, w in vocabulary], "f8")))
+        (Known([t for t, _ in vocabulary]), np.array([w for _, w in vocabulary], "f8")))
     ship_package(spark)
 
     def kernel(batches):
         known, weights = shared.value
         stops = pa.array(dropped, pa.string())
         for batch in batches:
-            for part in _parts(batch, 1):
+            for part in text_parts(batch, 1):
                 rows, places, tf = known.cells(part.column(1), stops)
                 values = (1 + np.log(tf)) * weights[places] if len(rows) else np.empty(0)
                 kept, starts = np.unique(rows, return_index=True)

@@ -247,3 +247,12 @@ def test_lsa_pieces_are_dense_and_bounded():
             assert np.allclose(got, rows["values"][p] @ basis[rows["indices"][p]])
         seen.extend(places)
     assert seen == list(range(700))
+
+
+def test_tables_forget_words_of_terms_that_left():
+    table, stops = counting._Table(1000), pa.array([], pa.string())
+    texts = [" ".join(f"w{i}x{j}" for j in range(8)) for i in range(100)] + ["often often"] * 3
+    table.add(pa.array([0] * len(texts)), pa.array(texts), stops)
+    assert table.settle() > 1000
+    table.thin(500)
+    assert table.words == {"often": 1}

@@ -7,18 +7,17 @@ topics in one aggregation, and the driver moves the matrix.
 
 from __future__ import annotations
 
-from collections import Counter
-
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from facets.constants import (LDA_MAX_DF, LDA_MAX_FEATURES, LDA_MIN_DF, LDA_MIN_ROWS, LDA_PASSES,
                               LDA_TOPICS, SEED, STOP_WORDS)
-from facets.operators.counting import common_terms
+from facets.operators.counting import Known, common_terms, text_parts
 from facets.operators.features import sum_matrices
-from facets.operators.terms import with_terms
 from facets.session import cut, ship_package
 
 # Parts of a pass, and how the steps shrink: the t-th has the rate (OFFSET + t) ** -DECAY.
@@ -26,7 +25,7 @@ BATCHES = 4
 OFFSET, DECAY = 10.0, 0.7
 # A document has settled when its mean change is below this, or after so many rounds.
 SETTLED, MAX_ROUNDS = 1e-3, 100
-CHUNK_CELLS = 65_536
+CHUNK_CELLS = 32_768
 
 
 def topic_count(rows: int, n_topics: int = LDA_TOPICS) -> int:
@@ -105,8 +104,8 @@ def document_topics(group, rows, terms, counts, beta, topics):
             held, weights, at = held[:, kept], weights[kept], at[alive]
             alive = np.ones(len(at), bool)
         was, size = gamma[at], sizes[at]
-        theta = np.where(real[at], np.exp(digamma(was)), 0.0)
-        theta /= np.exp(digamma(was.sum(axis=1)))[:, None]
+        parts = np.exp(digamma(np.column_stack([was, was.sum(axis=1)])))
+        theta = np.where(real[at], parts[:, :-1], 0.0) / parts[:, -1:]
         mixed = np.zeros(len(weights))
         for k, row in enumerate(held):
             mixed += np.repeat(theta[:, k], size) * row
@@ -136,26 +135,34 @@ def _cells(batch: pd.DataFrame):
                np.concatenate(batch["counts"].to_numpy()[at]).astype("f8"))
 
 
-def _encoded(terms: DataFrame, group: str, id_col: str, vocab: dict) -> DataFrame:
+def _encoded(rows: DataFrame, group: str, text: str, id_col: str, vocab: dict,
+             stop_words) -> DataFrame:
     """(id, g, indices, counts): a row's terms as columns of the model, counted where it lies."""
-    groups, at, places = sorted(vocab), 0, {}
-    for g, name in enumerate(groups):
-        places[name] = (g, {w: at + i for i, w in enumerate(vocab[name])})
-        at += len(vocab[name])
-    shared = terms.sparkSession.sparkContext.broadcast(places)
+    shared = rows.sparkSession.sparkContext.broadcast([(k, vocab[k]) for k in sorted(vocab)])
+    dropped = list(stop_words)
 
     def encode(batches):
+        stops, known, first = pa.array(dropped, pa.string()), [], 0
+        for name, words in shared.value:
+            known.append((name, first, Known(words)))
+            first += len(words)
         for batch in batches:
-            out = []
-            for key, name, words in zip(batch["_id"], batch["_group"], batch["terms"]):
-                g, known = shared.value[name]
-                cells = Counter(known[w] for w in words if w in known)
-                out.append((key, g, sorted(cells), [cells[c] for c in sorted(cells)]))
-            yield pd.DataFrame(out, columns=["_id", "g", "indices", "counts"])
-
-    rows = terms.select(F.col(id_col).alias("_id"), F.col(group).alias("_group"),
-                        F.coalesce("terms", F.array().cast("array<string>")).alias("terms"))
-    return rows.mapInPandas(encode, f"_id {dict(rows.dtypes)['_id']}, g int, "
+            for part in text_parts(batch, 2):
+                for g, (name, first, words) in enumerate(known):
+                    mine = part.filter(pc.equal(part.column(1), pa.scalar(name, part.column(1).type)))
+                    if not len(mine):
+                        continue
+                    row, place, tf = words.cells(mine.column(2), stops)
+                    ends = pa.array(np.searchsorted(row, np.arange(len(mine) + 1)), pa.int32())
+                    yield pa.RecordBatch.from_arrays(
+                        [mine.column(0), pa.array(np.full(len(mine), g), pa.int32()),
+                         pa.ListArray.from_arrays(ends, pa.array(first + place, pa.int32())),
+                         pa.ListArray.from_arrays(ends, pa.array(tf, pa.int32()))],
+                        ["_id", "g", "indices", "counts"])
+
+    texts = rows.select(F.col(id_col).alias("_id"), F.col(group).alias("_group"),
+                        F.col(text).cast("string").alias("text"))
+    return texts.mapInArrow(encode, f"_id {texts.schema['_id'].dataType.simpleString()}, g int, "
                                     "indices array<int>, counts array<int>")
 
 
@@ -220,9 +227,9 @@ def topics_per_group(df: DataFrame, group: str = "cluster", text: str = "clean_t
                 df.withColumn("sub_topic", F.lit(None).cast("int")))
     ship_package(df.sparkSession)
     model = _Model(vocab, sizes, n_topics, seed)
-    terms = with_terms(rows.where(F.col(group).isin(list(vocab))), text, stop_words)
+    rows = rows.where(F.col(group).isin(list(vocab)))
     drawn = F.pmod(F.xxhash64(F.lit(seed), "_id"), F.lit(batches))
-    encoded = cut(_encoded(terms, group, id_col, vocab).withColumn("part", drawn))
+    encoded = cut(_encoded(rows, group, text, id_col, vocab, stop_words).withColumn("part", drawn))
     seen = np.zeros((batches, len(vocab)))
     for r in encoded.groupBy("part", "g").count().collect():
         seen[r["part"], r["g"]] = r["count"]

@@ -256,3 +256,12 @@ def test_tables_forget_words_of_terms_that_left():
     assert table.settle() > 1000
     table.thin(500)
     assert table.words == {"often": 1}
+
+
+def test_topic_rows_are_counted_by_known_terms(spark):
+    rows = [(1, "b", "red cat the red cat"), (2, "a", None), (3, "b", "unknown red"), (4, "a", "cat")]
+    df = spark.createDataFrame(rows, "Id long, kind string, clean_text string")
+    found = topics._encoded(df, "kind", "clean_text", "Id",
+                            {"b": ["cat", "red", "red cat"], "a": ["cat", "dog"]}, ("the",))
+    got = {r["_id"]: (r["g"], list(zip(r["indices"], r["counts"]))) for r in found.collect()}
+    assert got == {1: (1, [(2, 2), (3, 2), (4, 2)]), 2: (0, []), 3: (1, [(3, 1)]), 4: (0, [(0, 1)])}

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from facets.constants import GRAPH_NEIGHBORS, SEED
+from facets.operators.moves import connected_parts, local_moves
 from facets.operators.neighbors import knn
 from facets.operators.rows import numbered
 from facets.session import cut
@@ -95,49 +96,7 @@ def _local_moves(links: DataFrame, two_m: float, min_gain: float, seed: int):
     when no node wants to move, or when several in a row brought no gain; each state is scored in
     the round that follows it, the last one too.
     """
-    loops = F.col("src") == F.col("dst")
-    nodes = cut(links.groupBy(F.col("src").alias("id")).agg(
-        F.sum("weight").alias("degree"),
-        F.coalesce(F.sum(F.when(loops, F.col("weight"))), F.lit(0.0)).alias("loop"))
-        .withColumn("comm", F.col("id")))
-    between = links.where(~loops)
-    best_state, best_q, stale, step = nodes, None, 0, 0
-    while True:
-        at = nodes.select(F.col("id").alias("dst"), F.col("comm").alias("to"))
-        into = between.join(at, "dst").groupBy(F.col("src").alias("id"), "to").agg(
-            F.sum("weight").alias("k_in"))
-        total = nodes.groupBy("comm").agg(F.sum("degree").alias("tot"))
-        here = nodes.join(total, "comm")
-        offers = (into.join(total.select(F.col("comm").alias("to"), F.col("tot").alias("tot_to")),
-                            "to")
-                  .join(here, "id", "right"))
-        own = F.col("to") == F.col("comm")
-        gain = F.col("k_in") - F.col("degree") * F.col("tot_to") / two_m
-        chosen = offers.groupBy("id", "comm", "degree", "loop", "tot").agg(
-            F.coalesce(F.max(F.when(own, F.col("k_in"))), F.lit(0.0)).alias("k_own"),
-            F.max(F.when(~own, F.struct(gain.alias("gain"), (-F.col("to")).alias("minus_to"))))
-            .alias("best"))
-        stay = F.col("k_own") - F.col("degree") * (F.col("tot") - F.col("degree")) / two_m
-        turn = F.pmod(F.xxhash64(F.lit(seed + step), "id"), F.lit(2)) == 0
-        step += 1
-        moves = turn & F.col("best").isNotNull() & (F.col("best.gain") > stay + 1e-12)
-        decided = cut(chosen.select(
-            "id", "degree", "loop", "comm", "k_own", "tot", F.coalesce(
-                F.when(moves, -F.col("best.minus_to")), F.col("comm")).alias("next"),
-            (F.col("best").isNotNull() & (F.col("best.gain") > stay + 1e-12)).alias("wants")))
-        inner, square, wanting = decided.agg(
-            F.sum(F.col("k_own") + F.col("loop")), F.sum(F.col("degree") * F.col("tot")),
-            F.count_if("wants")).first()
-        q = inner / two_m - square / two_m ** 2
-        # Only half of the nodes may move in a round, so one without gain does not end the level.
-        if best_q is None or q > best_q + min_gain:
-            best_state, best_q, stale = decided.select("id", "comm"), q, 0
-        else:
-            stale += 1
-        if wanting == 0 or stale >= 3:
-            break
-        nodes = decided.select("id", "degree", "loop", F.col("next").alias("comm"))
-    return best_state.select("id", "comm"), best_q
+    return local_moves(links, two_m, min_gain, seed)
 
 
 def _connected(links: DataFrame, moved: DataFrame) -> DataFrame:
@@ -145,12 +104,7 @@ def _connected(links: DataFrame, moved: DataFrame) -> DataFrame:
 
     Two parts without an edge between them only lower modularity together, so no split lowers it.
     """
-    a = moved.select(F.col("id").alias("src"), F.col("comm").alias("a"))
-    b = moved.select(F.col("id").alias("dst"), F.col("comm").alias("b"))
-    inner = (links.where(F.col("src") < F.col("dst")).join(a, "src").join(b, "dst")
-             .where(F.col("a") == F.col("b")).select("src", "dst"))
-    return components(cut(inner), moved.select("id")).select(
-        "id", F.col("component").alias("comm"))
+    return connected_parts(links, moved)
 
 
 def louvain(edges: DataFrame, nodes: DataFrame, min_gain: float = 1e-7, seed: int = SEED,
@@ -181,7 +135,7 @@ def louvain(edges: DataFrame, nodes: DataFrame, min_gain: float = 1e-7, seed: in
         if last is not None and q - last < min_gain:
             break
         last = q
-        moved = _connected(links, moved)
+        moved = cut(_connected(links, moved))
         step = moved.select(F.col("id").alias("comm"), F.col("comm").alias("up"))
         labels = cut(labels.join(step, "comm", "left")
                      .select("id", F.coalesce("up", "comm").alias("comm")))

@@ -9,6 +9,7 @@ import math
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml.feature import PCA, ElementwiseProduct, StandardScaler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.linalg import Vectors
@@ -16,11 +17,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from facets.constants import LSA_DIMS, NUMERIC_WEIGHT, PCA_DIMS, SEED, TEXT_WEIGHT
-from facets.session import ship_package
+from facets.session import cut, ship_package
 
 _FAN_IN = 32
 _SENT_BYTES = 1 << 20
 _CHUNK_CELLS, _CHUNK_ROWS = 65_536, 256
+# Rows of a packed piece, the commonest columns that rows are told apart by, and their directions.
+_PIECE_ROWS, _TOLD_BY, _KINDS = 128, 256, 8
 
 
 def standardize(df: DataFrame, cols, suffix: str = "_std") -> DataFrame:
@@ -91,17 +94,83 @@ def _chunks(batch: pd.DataFrame):
         yield at, columns, dense
 
 
+def _alike(sizes: np.ndarray, indices: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """An order of sparse rows that puts rows of like columns and lengths side by side.
+
+    Rows go by the leading direction of the commonest columns that they point to most.
+    """
+    common, at = np.unique(indices, return_inverse=True)
+    chosen = np.argsort(-np.bincount(at, minlength=len(common)), kind="stable")[:_TOLD_BY]
+    place = np.full(len(common), -1)
+    place[chosen] = np.arange(len(chosen))
+    row, at = np.repeat(np.arange(len(sizes)), sizes), place[at]
+    dense = np.zeros((len(sizes), len(chosen)))
+    dense[row[at >= 0], at[at >= 0]] = values[at >= 0]
+    turn = np.random.default_rng(SEED).normal(size=(len(chosen), min(_KINDS, len(chosen))))
+    for _ in range(3):
+        turn = np.linalg.qr(dense.T @ (dense @ turn))[0]
+    lean = dense @ turn
+    most = np.abs(lean).argmax(axis=1)
+    return np.lexsort((sizes, 2 * most + (lean[np.arange(len(lean)), most] > 0)))
+
+
+def packed(vectors: DataFrame) -> DataFrame:
+    """Sparse rows as pieces for ``_dense``: a row holds the cells of up to ``_PIECE_ROWS`` rows.
+
+    Rows of an Arrow batch are put together by likeness, so that a piece has few columns; each pass
+    over the pieces then reads and multiplies far less than one over the rows.
+    """
+    names = ["sizes", "columns", "places", "vals"]
+
+    def kernel(batches):
+        for batch in batches:
+            lists = batch.column(0)
+            sizes = np.diff(lists.offsets.to_numpy())
+            indices = lists.flatten().to_numpy(zero_copy_only=False).astype("i4")
+            values = batch.column(1).flatten().to_numpy(zero_copy_only=False)
+            if not len(indices):
+                continue
+            starts, order = np.cumsum(sizes) - sizes, _alike(sizes, indices, values)
+            filled = np.cumsum(sizes[order]) // _CHUNK_CELLS
+            group = np.maximum(filled, np.arange(len(order)) // _PIECE_ROWS)
+            out = []
+            for rows in np.split(order, np.flatnonzero(np.diff(group)) + 1):
+                long = sizes[rows]
+                cells = np.arange(long.sum()) + np.repeat(
+                    starts[rows] - np.cumsum(long) + long, long)
+                columns, places = np.unique(indices[cells], return_inverse=True)
+                out.append([long.astype("i4").tobytes(), columns.tobytes(),
+                            places.astype("i4").tobytes(), values[cells].tobytes()])
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in zip(*out)], names)
+
+    ship_package(vectors.sparkSession)
+    rows = vectors.select("indices", F.col("values").cast("array<double>").alias("values"))
+    return rows.mapInArrow(kernel, ", ".join(f"{n} binary" for n in names))
+
+
+def _dense(batch: pd.DataFrame):
+    """(columns, dense matrix of these columns) of every piece."""
+    for sizes, columns, places, values in zip(
+            batch["sizes"], batch["columns"], batch["places"], batch["vals"]):
+        sizes, columns = np.frombuffer(sizes, "i4"), np.frombuffer(columns, "i4")
+        dense = np.zeros((len(sizes), len(columns)))
+        dense[np.repeat(np.arange(len(sizes)), sizes), np.frombuffer(places, "i4")] = \
+            np.frombuffer(values, "f8")
+        yield columns, dense
+
+
 def fit_lsa(vectors: DataFrame, width: int, k: int = LSA_DIMS, seed: int = SEED,
             rounds: int = 5, oversample: int = 10):
     """Right singular vectors of the (uncentred) sparse rows and the share each one explains.
 
-    Randomised subspace iteration: every round is one pass over the rows that adds up
-    ``X'(X Q)``, a ``width x (k + oversample)`` matrix, so the data never leave the executors.
+    Randomised subspace iteration: rows are packed once, and every round is one pass over the pieces
+    that adds up ``X'(X Q)``, a ``width x (k + oversample)`` matrix, so the data never leave the executors.
     Signs are fixed so that each vector's largest entry is positive.
     """
     context = vectors.sparkSession.sparkContext
     k = min(k, width)
     size = min(k + oversample, width)
+    pieces = cut(packed(vectors))
     basis = np.linalg.qr(np.random.default_rng(seed).normal(size=(width, size)))[0]
 
     def gram(basis):
@@ -112,10 +181,10 @@ def fit_lsa(vectors: DataFrame, width: int, k: int = LSA_DIMS, seed: int = SEED,
             for batch in batches:
                 if total is None:
                     total = np.zeros(shared.value.shape)
-                for _, columns, dense in _chunks(batch):
+                for columns, dense in _dense(batch):
                     total[columns] += dense.T @ (dense @ shared.value[columns])
             return total
-        out = sum_matrices(vectors, partial, basis.shape)
+        out = sum_matrices(pieces, partial, basis.shape)
         shared.destroy()
         return out
 
@@ -131,16 +200,18 @@ def fit_lsa(vectors: DataFrame, width: int, k: int = LSA_DIMS, seed: int = SEED,
 def lsa_variance(vectors: DataFrame, n_docs: int, loadings: np.ndarray,
                  energy: np.ndarray) -> np.ndarray:
     """Explained share of total variance per component; documents without terms count as zeros."""
-    cells = vectors.select(F.explode(F.arrays_zip("indices", "values")).alias("_c"))
-    stats = (cells.groupBy(F.col("_c.indices").alias("i"))
-             .agg(F.sum("_c.values").alias("s"),
-                  F.sum(F.col("_c.values") * F.col("_c.values")).alias("q"))
-             .collect())  # one row per vocabulary term
-    mean = np.zeros(loadings.shape[0])
-    square = 0.0
-    for row in stats:
-        mean[row["i"]] = row["s"] / n_docs
-        square += row["q"] / n_docs
+    width = loadings.shape[0]
+
+    def partial(batches):
+        total = np.zeros((2, width))
+        for batch in batches:
+            if len(batch):
+                at, values = (np.concatenate(batch[c].to_numpy()) for c in ("indices", "values"))
+                total += [np.bincount(at, v, width) for v in (values, values * values)]
+        return total
+
+    sums = sum_matrices(vectors.select("indices", "values"), partial, (2, width)) / n_docs
+    mean, square = sums[0], sums[1].sum()
     total = square - float(mean @ mean)
     return (energy / n_docs - (mean @ loadings) ** 2) / total
 

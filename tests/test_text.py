@@ -265,3 +265,30 @@ def test_topic_rows_are_counted_by_known_terms(spark):
                             {"b": ["cat", "red", "red cat"], "a": ["cat", "dog"]}, ("the",))
     got = {r["_id"]: (r["g"], list(zip(r["indices"], r["counts"]))) for r in found.collect()}
     assert got == {1: (1, [(2, 2), (3, 2), (4, 2)]), 2: (0, []), 3: (1, [(3, 1)]), 4: (0, [(0, 1)])}
+
+
+def test_packed_pieces_hold_like_rows(spark):
+    rng = np.random.default_rng(7)
+    rows = []
+    for i in range(600):  # two kinds of rows without a common column, by turns
+        at = np.sort(rng.choice(40, 8, replace=False)) + 40 * (i % 2)
+        rows.append((i, [int(x) for x in at], [float(x) for x in rng.random(8)]))
+    vectors = spark.createDataFrame(
+        rows, "Id long, indices array<int>, values array<double>").coalesce(1)
+    x = np.zeros((600, 80))
+    for i, at, values in rows:
+        x[i, at] = values
+    total, sizes = np.zeros((80, 80)), []
+    for columns, dense in features._dense(features.packed(vectors).toPandas()):
+        total[np.ix_(columns, columns)] += dense.T @ dense
+        sizes.append(len(columns))
+    assert np.allclose(total, x.T @ x) and sum(sizes) < 80 * len(sizes)
+
+
+def test_lsa_variance_of_rows_without_an_explosion(spark):
+    vectors = spark.createDataFrame([(0, [0, 2], [1.0, 2.0]), (1, [1], [3.0])],
+                                    "Id long, indices array<int>, values array<double>")
+    x = np.array([[1, 0, 2], [0, 3, 0], [0, 0, 0.0]])
+    loadings, energy = np.eye(3)[:, :2], (x ** 2).sum(axis=0)[:2]
+    got = features.lsa_variance(vectors, 3, loadings, energy)
+    assert np.allclose(got, x.var(axis=0)[:2] / x.var(axis=0).sum())

@@ -1,13 +1,16 @@
 """Ward's tree over single rows, grown by merging all mutual nearest pairs at once.
 
 Ward's distance can only grow when other groups merge. So two groups that are each other's nearest
-may merge at once, wherever else merges happen, and a group whose nearest did not change need not
-search again. The merges found in rounds are those of the sequential tree; cutting it at k groups
-takes back the k - 1 highest.
-
-The nearest group is searched through pivot cells: the distance to a known group bounds what is
-worth looking for, and the distance to a cell's pivot, its radius and its smallest group bound what
-the cell can offer. Groups meet the cells that are left in pairs of blocks (``neighbors.meet``).
+may merge at once, wherever else merges happen, and the merges found are those of the sequential
+tree; cutting it at k groups takes back the k - 1 highest.
+
+For the same reason a list of all pairs that cost at most some reach stays whole while groups merge:
+a new group can only be that near to a group to which one of its parts was that near. So a pass over
+the pairs of blocks lists the pairs up to a reach, drawn from a sample so that their number is
+bounded, and one task merges along the list until no pair within reach is left. Fewer groups and a
+larger reach make the next pass. Groups lie in blocks by nearest pivot, and pieces of blocks that are
+farther apart than the reach are left out. The last groups that fit one block make their passes in
+one task.
 """
 
 from __future__ import annotations
@@ -15,25 +18,36 @@ from __future__ import annotations
 import math
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from facets.constants import SEED
-from facets.operators.centers import assign_nearest, share, squares, stack
+from facets.operators import neighbors
+from facets.operators.centers import few_at_once, share, squares
 from facets.operators.graph import components
-from facets.operators.neighbors import matrix, meet
+from facets.operators.neighbors import matrix
 from facets.operators.rows import with_index
-from facets.session import attach, cut, ship_package
+from facets.session import cut, ship_package
 
-# Groups of a cell's own block; below this many groups the rest of the tree is made in one place.
-BLOCK_ROWS = 2_000
+# Most groups of a block; below this many groups the rest of the tree is made in one place.
+BLOCK_ROWS = 32_000
 LAST_GROUPS = 2_000
+# Groups whose distances to all others choose a reach, and the pairs it shall leave to a group; most
+# pairs that are listed, and bytes of the groups in them, as one task holds these.
+ASKED, NEAR = 512, 16
+MOST_LINKS = 3 << 20
+_LINKED_BYTES = 5 << 25
+# Groups in a piece of a block, and rows or distances held at once.
+_PIECE = 2048
 _CELLS = 1 << 22
+_STEP = 1 << 14
 # Slack of the bounds, which the expanded square computes with a rounding error.
 _SLACK = 1e-9
-_FOUND = "id long, d double, hi long, lo long"
+_LINK = "hi long, lo long, d double"
+# Sums of groups travel as bytes.
+_MERGED = "a long, b long, parent long, height double, n double, total binary"
 
 
 def _cost(gap, n, m):
@@ -41,110 +55,409 @@ def _cost(gap, n, m):
     return gap * (n * m / (n + m))
 
 
-def _best_pairs(ids, n, spots, other_ids, other_n, other_spots):
-    """Each group's cheapest partner in a block; equal costs go to the pair of older groups."""
-    best = []
-    middle = other_spots.mean(axis=0)
-    x, y = spots - middle, other_spots - middle
-    long = (x * x).sum(axis=1) + (y * y).sum(axis=1).max()
-    step = max(1, _CELLS // len(other_ids))
+def _exact(x, n, row, y, m, col):
+    """Costs of pairs of rows of two blocks, from sums and sizes."""
+    out = np.empty(len(row))
+    for lo in range(0, len(row), _STEP):
+        r, c = row[lo:lo + _STEP], col[lo:lo + _STEP]
+        gap = ((x[r] / n[r, None] - y[c] / m[c, None]) ** 2).sum(axis=-1)
+        out[lo:lo + _STEP] = _cost(gap, n[r], m[c])
+    return out
+
+
+def _pieces(centre, n, size):
+    """(rows, middle, radius, least size) of the pieces of a block."""
+    out = []
+    for lo in range(0, len(n), size):
+        at = slice(lo, lo + size)
+        middle = centre[at].mean(axis=0)
+        out.append((at, middle, math.sqrt(((centre[at] - middle) ** 2).sum(axis=1).max()),
+                    n[at].min()))
+    return out
+
+
+def _apart(middle, radius, least, others, radii, leasts, reach):
+    """Whether no pair of two pieces, or blocks, costs ``reach`` or less."""
+    gap = np.sqrt(((others - middle) ** 2).sum(axis=-1))
+    size = np.sqrt((middle ** 2).sum()) + np.sqrt((others ** 2).sum(axis=-1))
+    return gap - radius - radii > (
+        np.sqrt(reach * (1 / least + 1 / leasts)) + 1e-6 * (size + radius + radii))
+
+
+def _folded(y, near, unit: float):
+    """(middle, side of the product, longest) of a piece, for ``_candidates``."""
+    middle = y.mean(axis=0)
+    gap = y - middle
+    yy = (gap * gap).sum(axis=1)
+    side = np.hstack([gap * (-2 / math.sqrt(unit)), np.ones((len(y), 1)),
+                      ((yy - near) / unit)[:, None]])
+    return middle, side.astype("f4"), yy.max() + near.max()
+
+
+def _candidates(x, near, y, other_near, folded, unit: float):
+    """(row, column) of what may have a squared distance of at most the sum of both bounds.
+
+    The bounds and both lengths are folded into one product in single precision, which lets through
+    what its rounding cannot tell; where that is much, the expanded square in full precision chooses.
+    """
+    middle, side, longest = folded
+    x = x - middle
+    xx = (x * x).sum(axis=1)
+    scale, hit = xx.max() + near.max() + longest, None
+    if np.isfinite(scale) and scale > 1e-30 * unit:
+        mine = np.hstack([x * (1 / math.sqrt(unit)), ((xx - near) / unit)[:, None],
+                          np.ones((len(x), 1))]).astype("f4")
+        error = 4 * (x.shape[1] + 8) * float(np.finfo("f4").eps) * scale / unit
+        hit = np.flatnonzero(mine @ side.T <= np.float32(error))
+    if hit is None or len(hit) > len(x) * len(y) // 64:
+        y = y - middle
+        rough = xx[:, None] - 2 * x @ y.T + (y * y).sum(axis=1)[None]
+        hit = np.flatnonzero(~(rough > near[:, None] + other_near[None] + _SLACK * scale))
+    return np.divmod(hit, len(y))
+
+
+def _first(d, hi, lo, most: int):
+    """Positions of the ``most`` cheapest pairs; equal costs go to the pair of older groups."""
+    return np.lexsort((lo, hi, d))[:most]
+
+
+def _close(ids, n, total, other_ids, m, other_total, reach: float):
+    """(row, column, cost) of the pairs of two blocks that cost at most ``reach``, each pair once.
+
+    One more than ``MOST_LINKS`` says that there are more; these are then the cheapest.
+    """
+    same = ids is other_ids
+    x, y = total / n[:, None], other_total / m[:, None]
+    mine, others = _pieces(x, n, _PIECE), _pieces(y, m, _PIECE)
+    middles, radii, leasts = (np.array([p[i] for p in others]) for i in (1, 2, 3))
+    # Lengths from any middle, and bounds, in a unit that single precision can hold.
+    unit = 4 * max((x * x).sum(axis=1).max(), (y * y).sum(axis=1).max()) + reach / n.min()
+    unit = unit if np.isfinite(unit) and unit > 0 else 1.0
+    folded = [_folded(y[p[0]], reach / m[p[0]], unit) for p in others]
+    bounds, other_bounds = reach / n, reach / m
+    found, held = [], 0
+
+    def join():
+        return [np.concatenate(c) for c in zip(*found)] if found else \
+            [np.empty(0, "i8"), np.empty(0, "i8"), np.empty(0)]
+
+    for at, middle, radius, least in mine:
+        far = _apart(middle, radius, least, middles, radii, leasts, reach)
+        for (to, *_), fold, away in zip(others, folded, far):
+            if away or same and to.stop <= at.start:
+                continue
+            row, col = _candidates(x[at], bounds[at], y[to], other_bounds[to], fold, unit)
+            row, col = row + at.start, col + to.start
+            if same:
+                once = row < col
+                row, col = row[once], col[once]
+            d = _exact(total, n, row, other_total, m, col)
+            near = d <= reach
+            found.append((row[near], col[near], d[near]))
+            held += int(near.sum())
+            if held > 2 * MOST_LINKS:
+                row, col, d = join()
+                a, b = ids[row], other_ids[col]
+                kept = _first(d, np.maximum(a, b), np.minimum(a, b), MOST_LINKS + 1)
+                found, held, reach = [(row[kept], col[kept], d[kept])], len(kept), d[kept].max()
+    row, col, d = join()
+    if len(d) > MOST_LINKS + 1:
+        a, b = ids[row], other_ids[col]
+        kept = _first(d, np.maximum(a, b), np.minimum(a, b), MOST_LINKS + 1)
+        row, col, d = row[kept], col[kept], d[kept]
+    return row, col, d
+
+
+def _sampled(asked, ids, n, total):
+    """(cost, asker) of the cheapest pairs between the asked groups and those of a block."""
+    ask_ids, ask_n, ask_total = asked
+    spots, most = ask_total / ask_n[:, None], ASKED * NEAR
+    best, who = np.empty(0), np.empty(0, "i4")
+    step = max(1, _CELLS // len(ask_ids))
     for lo in range(0, len(ids), step):
         at = slice(lo, lo + step)
-        share_ = n[at, None] * other_n[None] / (n[at, None] + other_n[None])
-        rough = squares(x[at], y) * share_
-        rough[ids[at, None] == other_ids[None]] = np.inf
-        # The expanded square chooses what is measured exactly.
-        room = rough.min(axis=1) + _SLACK * long[at] * share_.max(axis=1)
-        row, col = np.divmod(np.flatnonzero(rough <= room[:, None]), len(other_ids))
-        fit = np.isfinite(rough[row, col])
-        row, col = row[fit] + lo, col[fit]
-        cost = _cost(((spots[row] - other_spots[col]) ** 2).sum(axis=-1), n[row], other_n[col])
-        # Blocks are in id order, so the first of equal costs is the oldest partner.
-        order = np.lexsort((col, cost, row))
-        row, col, cost = row[order], col[order], cost[order]
-        first = np.r_[True, row[1:] != row[:-1]][:len(row)]
-        mine, to = ids[row[first]], other_ids[col[first]]
-        best.append(pd.DataFrame({"id": mine, "d": cost[first], "hi": np.maximum(mine, to),
-                                  "lo": np.minimum(mine, to)}))
-    found = pd.concat(best)
-    return found[np.isfinite(found["d"])]
-
-
-_NONE = pd.DataFrame({"id": np.empty(0, "i8"), "d": np.empty(0), "hi": np.empty(0, "i8"),
-                      "lo": np.empty(0, "i8")})
-
-
-def _own(rows: pd.DataFrame) -> pd.DataFrame:
-    """A first bound for the asking groups of a block: the cheapest of its own rows."""
-    rows = rows.sort_values("rep")
-    ids, n = rows["rep"].to_numpy(), rows["n"].to_numpy("f8")
-    spots, asks = stack(rows["centre"]), rows["asks"].to_numpy(bool)
-    return _best_pairs(ids[asks], n[asks], spots[asks], ids, n, spots) if asks.any() else _NONE
-
-
-def _meet(asking: pa.Table, held: pa.Table) -> pa.Table:
-    def columns(rows):
-        rows = rows.sort_by("rep")
-        return rows["rep"].to_numpy(), rows["n"].to_numpy(), matrix(rows["centre"])
-
-    found = _best_pairs(*columns(asking), *columns(held)) if len(asking) and len(held) else _NONE
-    return pa.Table.from_pandas(found, preserve_index=False)
-
-
-def _cheapest(found: DataFrame) -> DataFrame:
-    return (found.groupBy("id").agg(F.min(F.struct("d", "hi", "lo")).alias("b"))
-            .select("id", "b.*"))
-
-
-def _nearest(groups: DataFrame, count: int, seed: int, round_: int) -> DataFrame:
-    """(id, d, hi, lo): the cheapest pair of every group that asks."""
-    n_pivots = math.ceil(math.sqrt(count))
-    pivots = (groups.orderBy(F.xxhash64(F.lit(seed + round_), "id"), "id").limit(n_pivots)
-              .select("id", "n", "centre").collect())
-    spots = np.array([r["centre"] for r in pivots], "f8")
-    cells = cut(assign_nearest(groups.select(F.col("id").alias("rep"), "n", "centre", "asks"),
-                               spots, "centre"))
-    stats = cells.groupBy("cell").agg(F.max("cell_dist").alias("radius"), F.min("n").alias("least"),
-                                      F.count("*").alias("held")).collect()
-    radius, least = np.full(len(spots), -np.inf), np.ones(len(spots))
-    size = np.zeros(len(spots), int)
-    for r in stats:
-        radius[r["cell"]], least[r["cell"]], size[r["cell"]] = r["radius"], r["least"], r["held"]
-    split = F.get(F.array(*[F.lit(int(-(-s // BLOCK_ROWS))) for s in size]), F.col("cell"))
-    # A block's own rows give a first bound, and so do the pivots, which are groups themselves.
-    ship_package(groups.sparkSession)
-    own = cells.withColumn("lb", F.pmod(F.xxhash64("rep"), split)).groupBy("cell", "lb") \
-        .applyInPandas(_own, _FOUND)
-    bound = cells.where("asks").select("rep", "n", "centre").join(
-        own.select(F.col("id").alias("rep"), "d"), "rep", "left")
-    about = share(groups, (np.array([r["id"] for r in pivots]),
-                           np.array([r["n"] for r in pivots], "f8"), spots, radius, least, size))
-
-    def route(batches):
-        ids, sizes, spots, radius, least, held = about.value
+        rough = _cost(squares(spots, total[at] / n[at, None]), ask_n[:, None], n[None, at])
+        rough[ask_ids[:, None] == ids[None, at]] = np.inf
+        pick = np.argpartition(rough.ravel(), most)[:most] if rough.size > most \
+            else np.arange(rough.size)
+        row, col = np.divmod(pick, rough.shape[1])
+        other = ask_ids[row] != ids[at][col]
+        row, col = row[other], col[other] + lo
+        best = np.r_[best, _exact(ask_total, ask_n, row, total, n, col)]
+        who = np.r_[who, row.astype("i4")]
+        if len(best) > most:
+            pick = np.argpartition(best, most)[:most]
+            best, who = best[pick], who[pick]
+    return best, who
+
+
+def _reach(cost, who, n_asked: int, count: int, width: int) -> float:
+    """The highest sampled cost that leaves bounded numbers of pairs, and of groups in them."""
+    order = np.argsort(cost, kind="stable")[:n_asked * NEAR]
+    cost, who = cost[order], who[order]
+    if not len(cost) or not np.isfinite(cost[0]):
+        raise ValueError("distances overflow")
+    new = np.zeros(len(who))
+    new[np.unique(who, return_index=True)[1]] = 1
+    links = np.arange(1, len(who) + 1) / n_asked * count / 2
+    linked = np.cumsum(new) / n_asked * count
+    fit = np.isfinite(cost) & (links <= MOST_LINKS) & (linked * 8 * width <= _LINKED_BYTES)
+    return float(cost[max(1, int(fit.sum())) - 1])
+
+
+def _merge(ids, n, total, height, u, v, d, most: float, turn: int, n_start: int):
+    """Merge mutual nearest pairs, in rounds, until no listed pair costs ``most`` or less.
+
+    Groups change in place, a pair lives on where its older group was: (a, b, parent, height), who is
+    left, and the number of the next round.
+    """
+    left, merged = np.ones(len(ids), bool), []
+    while len(u):
+        low = np.full(len(ids), np.inf)
+        np.minimum.at(low, u, d)
+        np.minimum.at(low, v, d)
+        at = np.flatnonzero((d == low[u]) | (d == low[v]))
+        at = at[_first(d[at], np.maximum(ids[u[at]], ids[v[at]]),
+                       np.minimum(ids[u[at]], ids[v[at]]), len(at))]
+        place, best = np.arange(len(at)), np.full(len(ids), len(at))
+        np.minimum.at(best, u[at], place)
+        np.minimum.at(best, v[at], place)
+        at = at[(best[u[at]] == place) & (best[v[at]] == place)]
+        older = ids[u[at]] < ids[v[at]]
+        a, b = np.where(older, u[at], v[at]), np.where(older, v[at], u[at])
+        parent = turn * n_start + ids[a] % n_start
+        height[a] = np.maximum(d[at], np.maximum(height[a], height[b]))
+        merged.append((ids[a], ids[b], parent, height[a]))
+        total[a] += total[b]
+        n[a] += n[b]
+        ids[a], left[b] = parent, False
+        # Pairs of a merged group are pairs of what it became, and cost anew.
+        to, new = np.arange(len(ids)), np.zeros(len(ids), bool)
+        to[b], new[a] = a, True
+        u, v = to[u], to[v]
+        changed = new[u] | new[v]
+        p, q = np.minimum(u[changed], v[changed]), np.maximum(u[changed], v[changed])
+        p, q = np.divmod(np.unique(p[p != q] * len(ids) + q[p != q]), len(ids))
+        cost = _exact(total, n, p, total, n, q)
+        p, q, cost = p[cost <= most], q[cost <= most], cost[cost <= most]
+        u, v, d = np.r_[u[~changed], p], np.r_[v[~changed], q], np.r_[d[~changed], cost]
+        turn += 1
+    if not merged:
+        raise ValueError("distances overflow")
+    return [np.concatenate(c) for c in zip(*merged)], left, turn
+
+
+def _sums(column) -> np.ndarray:
+    """A matrix of the vectors that an Arrow column holds as bytes."""
+    return np.frombuffer(b"".join(column.to_pylist()), "f8").reshape(len(column), -1)
+
+
+def _columns(groups: pa.Table):
+    """Ids, sizes, sums and heights in the order of ids, to write to."""
+    ids = groups["id"].to_numpy()
+    order = np.argsort(ids)
+    place = np.empty(len(ids), "i8")
+    place[order] = np.arange(len(ids))
+    total, lo = None, 0
+    for chunk in groups["total"].chunks:
+        part = _sums(chunk)
+        total = np.empty((len(ids), part.shape[1])) if total is None else total
+        total[place[lo:lo + len(chunk)]] = part
+        lo += len(chunk)
+    return ids[order], groups["n"].to_numpy()[order], total, groups["height"].to_numpy()[order]
+
+
+def _merged_table(merged, ids, n, total) -> pa.Table:
+    """Merges, the last one of a group with what the group is now."""
+    a, b, parent, height = merged
+    order = np.argsort(ids)
+    at = order[np.minimum(np.searchsorted(ids, parent, sorter=order), len(ids) - 1)]
+    last = ids[at] == parent
+    at = at[last]
+    sums = np.full(len(parent), None, object)
+    for i, row in zip(np.flatnonzero(last), at):
+        sums[i] = total[row].tobytes()
+    sizes = np.full(len(parent), np.nan)
+    sizes[last] = n[at]
+    return pa.table({"a": a, "b": b, "parent": parent, "height": height, "n": sizes,
+                     "total": pa.array(sums, pa.binary())})
+
+
+def _started(batches):
+    """Groups of one distinct vector each."""
+    for batch in batches:
+        if batch.num_rows:
+            rows = pa.table(batch)
+            n = rows["n"].to_numpy().astype("f8")
+            total = matrix(rows["centre"]) * n[:, None]
+            yield from pa.table({"id": rows["id"], "n": n, "total": [t.tobytes() for t in total],
+                                 "height": np.zeros(len(n))}).to_batches()
+
+
+def _along(reach: float, turn: int, n_start: int):
+    """Merge along a list of pairs: kernel for the linked groups and the list."""
+    def kernel(groups: pa.Table, links: pa.Table) -> pa.Table:
+        ids, n, total, height = _columns(groups)
+        u, v = (np.searchsorted(ids, links[c].to_numpy()) for c in ("lo", "hi"))
+        merged, left, _ = _merge(ids, n, total, height, u, v, links["d"].to_numpy(), reach, turn,
+                                 n_start)
+        return _merged_table(merged, ids[left], n[left], total[left])
+    return kernel
+
+
+def _alone(last: int, seed: int, turn: int, n_start: int):
+    """Merge all groups of a table until ``last`` are left: kernel for one place."""
+    def kernel(groups: pa.Table) -> pa.Table:
+        ids, n, total, height = _columns(groups)
+        rng, next_, found = np.random.default_rng(seed), turn, []
+        while len(ids) > last:
+            at = rng.choice(len(ids), min(ASKED, len(ids)), replace=False)
+            cost, who = _sampled((ids[at], n[at], total[at]), ids, n, total)
+            reach = _reach(cost, who, len(at), len(ids), total.shape[1])
+            u, v, d = _close(ids, n, total, ids, n, total, reach)
+            if len(d) > MOST_LINKS:
+                kept = _first(d, np.maximum(ids[u], ids[v]), np.minimum(ids[u], ids[v]), MOST_LINKS)
+                u, v, d = u[kept], v[kept], d[kept]
+                reach = np.nextafter(d.max(), -np.inf)
+            merged, left, next_ = _merge(ids, n, total, height, u, v, d, reach, next_, n_start)
+            ids, n, total, height = ids[left], n[left], total[left], height[left]
+            found.append(merged)
+        return _merged_table([np.concatenate(c) for c in zip(*found)], ids, n, total)
+    return kernel
+
+
+def _in_line(spots: np.ndarray) -> np.ndarray:
+    """Order that keeps near spots together: halves along the longest way, again and again."""
+    if len(spots) <= 2:
+        return np.arange(len(spots))
+    gaps = spots - spots.mean(axis=0)
+    end = gaps[(gaps * gaps).sum(axis=1).argmax()]
+    order = np.argsort(gaps @ end, kind="stable")
+    half = len(order) // 2
+    return np.r_[order[:half][_in_line(spots[order[:half]])],
+                 order[half:][_in_line(spots[order[half:]])]]
+
+
+def _packed(groups: DataFrame, spots: np.ndarray, count: int, size: int) -> DataFrame:
+    """Groups in rows of about ``size``, those around near spots together."""
+    shared = share(groups, spots[_in_line(spots)])
+
+    def mark(batches):
+        spots = shared.value
         for batch in batches:
-            if not len(batch):
+            if not batch.num_rows:
                 continue
-            step = max(1, _CELLS // len(ids))
-            for lo in range(0, len(batch), step):
-                part = batch.iloc[lo:lo + step]
-                n = part["n"].to_numpy("f8")[:, None]
-                gap = squares(stack(part["centre"]), spots)
-                cost = _cost(gap, n, sizes[None])
-                cost[part["rep"].to_numpy()[:, None] == ids[None]] = np.inf
-                limit = np.fmin(part["d"].to_numpy("f8"), cost.min(axis=1))
-                scale = (stack(part["centre"]) ** 2).sum(axis=1).max() + (spots ** 2).sum(1).max()
-                away = np.maximum(np.sqrt(gap) - radius[None] - math.sqrt(_SLACK * scale), 0)
-                open_ = (_cost(away ** 2, n, least[None])
-                         <= limit[:, None] * (1 + _SLACK) + _SLACK * scale) & (held[None] > 0)
-                row, cell = np.nonzero(open_)
-                yield part.drop(columns="d").assign(cells=np.split(
-                    cell.astype("i4"), np.searchsorted(row, np.arange(1, len(part)))))
-
-    routed = cut(bound.mapInPandas(
-        route, "rep long, n double, centre array<double>, cells array<int>"))
-    return _cheapest(meet(routed, cells.select("rep", "n", "centre", "cell"), size,
-                          spots.shape[1], _meet, _FOUND))
+            rows = pa.table(batch)
+            centre = _sums(rows["total"]) / rows["n"].to_numpy()[:, None]
+            step = max(1, _CELLS // len(spots))
+            cell = np.concatenate([squares(centre[lo:lo + step], spots).argmin(axis=1)
+                                   for lo in range(0, len(centre), step)])
+            yield from rows.append_column("cell", pa.array(cell.astype("i4"))).to_batches()
+
+    def pack(batches):
+        rows = [b for b in batches if b.num_rows]
+        if not rows:
+            return
+        rows = pa.Table.from_batches(rows)
+        ids, n, total = rows["id"].to_numpy(), rows["n"].to_numpy(), _sums(rows["total"])
+        parts = math.ceil(len(ids) / (1.25 * size))
+        for i, at in enumerate(np.array_split(np.arange(len(ids)), parts)):
+            (_, middle, radius, least), = _pieces(total[at] / n[at, None], n[at], len(at))
+            yield pa.RecordBatch.from_pylist([{
+                "part": TaskContext.get().partitionId(), "nr": i, "ids": ids[at].tobytes(),
+                "n": n[at].tobytes(), "total": total[at].tobytes(), "middle": middle.tolist(),
+                "radius": radius, "least": least}], about)
+
+    about = pa.schema([("part", pa.int32()), ("nr", pa.int32()), ("ids", pa.binary()),
+                       ("n", pa.binary()), ("total", pa.binary()),
+                       ("middle", pa.list_(pa.float64())), ("radius", pa.float64()),
+                       ("least", pa.float64())])
+    ship_package(groups.sparkSession)
+    marked = cut(groups.select("id", "n", "total").mapInArrow(
+        mark, "id long, n double, total binary, cell int"))
+    parts = math.ceil(count / size)
+    return cut(marked.repartitionByRange(parts, "cell", "id").sortWithinPartitions("cell", "id")
+               .mapInArrow(pack, "part int, nr int, ids binary, n binary, total binary, "
+                                 "middle array<double>, radius double, least double"))
+
+
+def _unpacked(block: dict, width: int):
+    return (np.frombuffer(block["ids"], "i8"), np.frombuffer(block["n"], "f8"),
+            np.frombuffer(block["total"], "f8").reshape(-1, width))
+
+
+def _links(blocks: DataFrame, asked, count: int, width: int):
+    """(pairs of groups that cost at most a reach, the reach)."""
+    spark = blocks.sparkSession
+    shared = share(blocks, asked)
+
+    def sample(batches):
+        cost, who = np.empty(0), np.empty(0, "i4")
+        for batch in batches:
+            for block in batch.to_pylist():
+                more = _sampled(shared.value, *_unpacked(block, width))
+                cost, who = np.r_[cost, more[0]], np.r_[who, more[1]]
+                if len(cost) > ASKED * NEAR:
+                    pick = np.argpartition(cost, ASKED * NEAR)[:ASKED * NEAR]
+                    cost, who = cost[pick], who[pick]
+        if len(cost):
+            yield pa.RecordBatch.from_pylist([{"cost": cost.tobytes(), "who": who.tobytes()}])
+
+    def kernel(mine: pa.Table, others: pa.Table) -> pa.Table:
+        (block,), (other,) = mine.to_pylist(), others.to_pylist()
+        a = _unpacked(block, width)
+        same = (block["part"], block["nr"]) == (other["part"], other["nr"])
+        b = a if same else _unpacked(other, width)
+        row, col, d = _close(*a, *b, reach)
+        p, q = a[0][row], b[0][col]
+        return pa.table({"hi": np.maximum(p, q), "lo": np.minimum(p, q), "d": d})
+
+    packed = blocks.select("ids", "n", "total")
+    with few_at_once(spark, 1):
+        found = packed.mapInArrow(sample, "cost binary, who binary").collect()  # bounded for a task
+    reach = _reach(np.concatenate([np.frombuffer(r["cost"], "f8") for r in found]),
+                   np.concatenate([np.frombuffer(r["who"], "i4") for r in found]),
+                   len(asked[0]), count, width)
+    # One row per block.
+    about = sorted(blocks.select("part", "nr", "middle", "radius", "least").collect())
+    middle, radius, least = (np.array([r[c] for r in about]) for c in ("middle", "radius", "least"))
+    meeting = []
+    for i, r in enumerate(about):
+        near = ~_apart(middle[i], radius[i], least[i], middle[i:], radius[i:], least[i:], reach)
+        meeting += [(0, i, j, r["part"], r["nr"], about[j]["part"], about[j]["nr"])
+                    for j in (np.flatnonzero(near) + i).tolist()]
+    pairs = spark.createDataFrame(
+        meeting, "cell int, lb int, rb int, part int, nr int, to_part int, to_nr int")
+    sides = blocks.select("part", "nr", "ids", "n", "total")
+    left = sides.join(F.broadcast(pairs.drop("to_part", "to_nr")), ["part", "nr"])
+    right = sides.join(F.broadcast(pairs.select(
+        "cell", "lb", "rb", F.col("to_part").alias("part"), F.col("to_nr").alias("nr"))),
+        ["part", "nr"])
+    with few_at_once(spark, 1):
+        links = cut(neighbors._pairs(left, right, kernel, _LINK))
+    if links.count() > MOST_LINKS:
+        links = cut(with_index(links, F.col("d"), F.col("hi"), F.col("lo"))
+                    .where(F.col("idx") < MOST_LINKS).drop("idx"))
+        # All pairs below the highest cost are listed, but perhaps not all of that cost.
+        reach = float(np.nextafter(links.agg(F.max("d")).first()[0], -np.inf))
+    return links, reach
+
+
+def _pass(groups: DataFrame, count: int, width: int, seed: int, turn: int,
+          n_start: int) -> DataFrame:
+    """Merges up to a reach, from all pairs of blocks."""
+    chosen = (groups.orderBy(F.xxhash64(F.lit(seed + turn), "id"), "id").limit(ASKED)
+              .select("id", "n", "total").collect())
+    asked = (np.array([r["id"] for r in chosen]), np.array([r["n"] for r in chosen], "f8"),
+             np.array([np.frombuffer(r["total"], "f8") for r in chosen]))
+    size = max(1, min(BLOCK_ROWS, neighbors.block_rows(count, width)[1]))
+    blocks = _packed(groups, asked[2] / asked[1][:, None], count, size)
+    links, reach = _links(blocks, asked, count, width)
+    ends = links.select(F.explode(F.array("hi", "lo")).alias("id")).distinct()
+    linked = groups.join(ends, "id", "left_semi").withColumn("place", F.lit(0))
+    return cut(linked.groupBy("place").cogroup(
+        links.withColumn("place", F.lit(0)).groupBy("place")).applyInArrow(
+            _along(reach, turn, n_start), _MERGED))
 
 
 def _finish(rows, n_start: int) -> list[tuple]:
@@ -158,8 +471,8 @@ def _finish(rows, n_start: int) -> list[tuple]:
     ids = np.array([r["id"] for r in rows] + [0] * have)
     n, high = np.ones(most), np.zeros(most)
     n[:have], high[:have] = [r["n"] for r in rows], [r["height"] for r in rows]
-    total = np.zeros((most, len(rows[0]["total"])))
-    total[:have] = [r["total"] for r in rows]
+    total = np.zeros((most, len(rows[0]["total"]) // 8))
+    total[:have] = [np.frombuffer(r["total"], "f8") for r in rows]
     centre, alive = total / n[:, None], np.arange(most) < have
     low, partner = np.full(most, np.inf), np.zeros(most, int)
 
@@ -212,48 +525,28 @@ def ward_tree(df: DataFrame, vec: str, seed: int = SEED, last: int = LAST_GROUPS
     counted = rows.where(F.coalesce(finite, F.lit(False))).groupBy("centre").agg(F.count("*").alias("n"))
     leaves = cut(with_index(counted, F.col("centre"), name="id").select("id", "n", "centre"))
     n_start = leaves.count()
-    groups = leaves.select("id", F.col("n").cast("double").alias("n"), "centre",
-                           F.transform("centre", lambda x: x * F.col("n")).alias("total"),
-                           F.lit(0.0).alias("height"), F.lit(True).alias("asks"))
-    known = None
-    count, turn, merges = n_start, 1, []
+    ship_package(df.sparkSession)
+    groups = leaves.mapInArrow(_started, "id long, n double, total binary, height double")
     spark = df.sparkSession
+    count, turn, merges = n_start, 1, []
+    width, widest = leaves.agg(F.min(F.size("centre")), F.max(F.size("centre"))).first()
+    if width != widest:
+        raise ValueError("vectors of different lengths")
+    few = min(BLOCK_ROWS, neighbors.block_rows(0, width or 0)[1] * neighbors.SPREAD)
     while count > last:
-        groups = cut(groups)
-        found = _nearest(groups, count, seed, turn)
-        known = cut(found if known is None else known.union(found))
-        # Both ends of a pair name it as their cheapest.
-        pairs = known.groupBy("lo", "hi").agg(F.max("d").alias("d"), F.count("*").alias("ends")) \
-            .where(F.col("ends") == 2).select("lo", "hi", "d")
-        sides = groups.select("id", "n", "total", "height")
-        merged = cut(
-            pairs.join(sides.toDF("lo", "n_a", "total_a", "height_a"), "lo")
-            .join(sides.toDF("hi", "n_b", "total_b", "height_b"), "hi")
-            .select("lo", "hi", (F.lit(turn * n_start) + F.col("lo") % n_start).alias("id"),
-                    (F.col("n_a") + F.col("n_b")).alias("n"),
-                    F.zip_with("total_a", "total_b", lambda a, b: a + b).alias("total"),
-                    F.greatest("d", "height_a", "height_b").alias("height")))
-        merges.append(merged.select(F.col("lo").alias("a"), F.col("hi").alias("b"),
-                                    F.col("id").alias("parent"), "height"))
-        gone = cut(merged.select(F.explode(F.array("lo", "hi")).alias("id")))
-        new = merged.select("id", "n", F.transform("total", lambda x: x / F.col("n"))
-                            .alias("centre"), "total", "height", F.lit(True).alias("asks"))
-        kept = groups.join(gone, "id", "left_anti")
-        # Who lost the nearest group asks again; the others still know theirs.
-        known = known.join(gone, "id", "left_anti")
-        lost = gone.select(F.col("id").alias("lost"))
-        partner = F.when(F.col("lo") == F.col("id"), F.col("hi")).otherwise(F.col("lo"))
-        known = cut(known.withColumn("to", partner).join(
-            lost, F.col("to") == F.col("lost"), "left_anti").drop("to"))
-        sure = known.select("id", F.lit(False).alias("asks"))
-        groups = kept.drop("asks").join(sure, "id", "left").select(
-            "id", "n", "centre", "total", "height",
-            F.coalesce("asks", F.lit(True)).alias("asks")).union(new)
-        done = merged.count()
-        if not done:
-            raise ValueError("distances overflow")
+        if count <= few:
+            found = cut(groups.withColumn("place", F.lit(0)).groupBy("place").applyInArrow(
+                _alone(last, seed, turn, n_start), _MERGED))
+        else:
+            groups = cut(groups)
+            found = _pass(groups, count, width, seed, turn, n_start)
+        merges.append(found.select("a", "b", "parent", "height"))
+        gone = found.select(F.explode(F.array("a", "b")).alias("id"))
+        groups = groups.join(gone, "id", "left_anti").union(
+            found.where(F.col("total").isNotNull()).select("parent", "n", "total", "height"))
+        done, highest = found.agg(F.count("*"), F.max("parent")).first()
         count -= done
-        turn += 1
+        turn = highest // n_start + 1
     rest = groups.select("id", "n", "total", "height").collect()  # at most ``last`` groups
     final = _finish(rest, n_start) if rest else []
     out = spark.createDataFrame(final, "a long, b long, parent long, height double")

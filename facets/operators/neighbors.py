@@ -27,7 +27,7 @@ BLOCK_ROWS = 2000
 MAX_PIVOTS = 1024
 # Held blocks grow to so many times BLOCK_ROWS or so many bytes, asking blocks to a part of that;
 # small tables are spread over so many blocks of either side.
-MOST_BLOCKS, ASKING_SHARE, _SPREAD = 32, 2, 8
+MOST_BLOCKS, ASKING_SHARE, SPREAD = 32, 2, 8
 _HELD_BYTES = 1 << 25
 # Distances held at once.
 _CELLS = 1 << 23
@@ -71,7 +71,7 @@ def block_rows(n: int, width: int) -> tuple[int, int]:
     a bound in bytes.
     """
     most = max(1, min(MOST_BLOCKS, _HELD_BYTES // (8 * max(1, width) * BLOCK_ROWS)))
-    grown = max(BLOCK_ROWS, n // _SPREAD)
+    grown = max(BLOCK_ROWS, n // SPREAD)
     return (min(max(1, most // ASKING_SHARE) * BLOCK_ROWS, grown), min(most * BLOCK_ROWS, grown))
 
 

@@ -100,7 +100,10 @@ def ward(df: DataFrame, vec: str, k: int, micro: int = 200, method: str = "ward"
     if method == "rows":
         roots = cut_tree(*ward_tree(df, vec, seed), k)
         key = F.transform(F.col(vec).cast("array<double>"), lambda x: x + F.lit(0.0))
-        raw = (df.withColumn("_key", key).join(roots.toDF("_key", "_root"), "_key").drop("_key"))
+        # Hashes are cheap to sort; the vectors themselves decide.
+        marked = df.withColumn("_key", key).withColumn("_hash", F.xxhash64("_key"))
+        roots = roots.toDF("_key", "_root").withColumn("_hash", F.xxhash64("_key"))
+        raw = cut(marked.join(roots, ["_hash", "_key"]).drop("_hash", "_key"))
         order = raw.groupBy("_root").agg(F.count("*").alias("n"), F.min(id_col).alias("first"))
         places = numbered(order, F.desc("n"), F.col("first"), name=name)
         return attach(raw, places.select("_root", F.col(name).cast("int").alias(name)),

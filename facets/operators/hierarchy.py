@@ -26,7 +26,6 @@ from pyspark.sql import functions as F
 from facets.constants import SEED
 from facets.operators import neighbors
 from facets.operators.centers import few_at_once, share, squares
-from facets.operators.graph import components
 from facets.operators.neighbors import matrix
 from facets.operators.rows import with_index
 from facets.session import cut, ship_package
@@ -556,11 +555,18 @@ def ward_tree(df: DataFrame, vec: str, seed: int = SEED, last: int = LAST_GROUPS
 
 
 def cut_tree(leaves: DataFrame, merges: DataFrame, k: int) -> DataFrame:
-    """(centre, root): the group of every leaf when the k - 1 highest merges are taken back."""
+    """(centre, root): the group of every leaf when the k - 1 highest merges are taken back.
+
+    Every group looks up the end of its parent's way until all ways end at a root.
+    """
     high = [r["parent"] for r in merges.orderBy(F.desc("height"), F.desc("parent"))
             .limit(k - 1).collect()]
     low = merges.where(~F.col("parent").isin(high)) if high else merges
-    links = low.select(F.explode(F.array("a", "b")).alias("src"), F.col("parent").alias("dst"))
-    nodes = leaves.select("id").union(merges.select("parent"))
-    return (leaves.join(components(cut(links), cut(nodes)), "id")
-            .select("centre", F.col("component").alias("root")))
+    ways = cut(low.select(F.explode(F.array("a", "b")).alias("id"), F.col("parent").alias("root"),
+                          F.lit(True).alias("moved")))
+    while not ways.where("moved").isEmpty():
+        ends = ways.select(F.col("id").alias("root"), F.col("root").alias("end"))
+        ways = cut(ways.join(ends, "root", "left").select(
+            "id", F.coalesce("end", "root").alias("root"), F.col("end").isNotNull().alias("moved")))
+    return leaves.join(ways.drop("moved"), "id", "left").select(
+        "centre", F.coalesce("root", "id").alias("root"))

@@ -38,8 +38,9 @@ LAST_GROUPS = 2_000
 ASKED, NEAR = 512, 16
 MOST_LINKS = 3 << 20
 _LINKED_BYTES = 5 << 25
-# Groups in a piece of a block, and rows or distances held at once.
+# Groups in a piece of a block, and its bytes where it travels as one row; distances held at once.
 _PIECE = 2048
+_PIECE_BYTES = 1 << 20
 _CELLS = 1 << 22
 _STEP = 1 << 14
 # Slack of the bounds, which the expanded square computes with a rounding error.
@@ -338,7 +339,10 @@ def _in_line(spots: np.ndarray) -> np.ndarray:
 
 
 def _packed(groups: DataFrame, spots: np.ndarray, count: int, size: int) -> DataFrame:
-    """Groups in rows of about ``size``, those around near spots together."""
+    """Groups in blocks of about ``size``, those around near spots together; a row holds a piece.
+
+    The JVM copies a row several times on its way, so that a block as one row would not fit it.
+    """
     shared = share(groups, spots[_in_line(spots)])
 
     def mark(batches):
@@ -362,13 +366,16 @@ def _packed(groups: DataFrame, spots: np.ndarray, count: int, size: int) -> Data
         parts = math.ceil(len(ids) / (1.25 * size))
         for i, at in enumerate(np.array_split(np.arange(len(ids)), parts)):
             (_, middle, radius, least), = _pieces(total[at] / n[at, None], n[at], len(at))
-            yield pa.RecordBatch.from_pylist([{
-                "part": TaskContext.get().partitionId(), "nr": i, "ids": ids[at].tobytes(),
-                "n": n[at].tobytes(), "total": total[at].tobytes(), "middle": middle.tolist(),
-                "radius": radius, "least": least}], about)
-
-    about = pa.schema([("part", pa.int32()), ("nr", pa.int32()), ("ids", pa.binary()),
-                       ("n", pa.binary()), ("total", pa.binary()),
+            for lo in range(0, len(at), rows_of_piece):
+                to = at[lo:lo + rows_of_piece]
+                yield pa.RecordBatch.from_pylist([{
+                    "part": TaskContext.get().partitionId(), "nr": i, "piece": lo,
+                    "ids": ids[to].tobytes(), "n": n[to].tobytes(), "total": total[to].tobytes(),
+                    "middle": middle.tolist(), "radius": radius, "least": least}], about)
+
+    rows_of_piece = max(1, min(_PIECE, _PIECE_BYTES // (8 * max(1, spots.shape[1]))))
+    about = pa.schema([("part", pa.int32()), ("nr", pa.int32()), ("piece", pa.int32()),
+                       ("ids", pa.binary()), ("n", pa.binary()), ("total", pa.binary()),
                        ("middle", pa.list_(pa.float64())), ("radius", pa.float64()),
                        ("least", pa.float64())])
     ship_package(groups.sparkSession)
@@ -376,13 +383,16 @@ def _packed(groups: DataFrame, spots: np.ndarray, count: int, size: int) -> Data
         mark, "id long, n double, total binary, cell int"))
     parts = math.ceil(count / size)
     return cut(marked.repartitionByRange(parts, "cell", "id").sortWithinPartitions("cell", "id")
-               .mapInArrow(pack, "part int, nr int, ids binary, n binary, total binary, "
+               .mapInArrow(pack, "part int, nr int, piece int, ids binary, n binary, total binary, "
                                  "middle array<double>, radius double, least double"))
 
 
-def _unpacked(block: dict, width: int):
-    return (np.frombuffer(block["ids"], "i8"), np.frombuffer(block["n"], "f8"),
-            np.frombuffer(block["total"], "f8").reshape(-1, width))
+def _unpacked(pieces: list[dict], width: int):
+    """Ids, sizes and sums of the groups of a block."""
+    pieces = sorted(pieces, key=lambda p: p["piece"])
+    ids, n, total = (np.frombuffer(b"".join(p[c] for p in pieces), t)
+                     for c, t in (("ids", "i8"), ("n", "f8"), ("total", "f8")))
+    return ids, n, total.reshape(-1, width)
 
 
 def _links(blocks: DataFrame, asked, count: int, width: int):
@@ -393,8 +403,8 @@ def _links(blocks: DataFrame, asked, count: int, width: int):
     def sample(batches):
         cost, who = np.empty(0), np.empty(0, "i4")
         for batch in batches:
-            for block in batch.to_pylist():
-                more = _sampled(shared.value, *_unpacked(block, width))
+            for piece in batch.to_pylist():
+                more = _sampled(shared.value, *_unpacked([piece], width))
                 cost, who = np.r_[cost, more[0]], np.r_[who, more[1]]
                 if len(cost) > ASKED * NEAR:
                     pick = np.argpartition(cost, ASKED * NEAR)[:ASKED * NEAR]
@@ -403,22 +413,23 @@ def _links(blocks: DataFrame, asked, count: int, width: int):
             yield pa.RecordBatch.from_pylist([{"cost": cost.tobytes(), "who": who.tobytes()}])
 
     def kernel(mine: pa.Table, others: pa.Table) -> pa.Table:
-        (block,), (other,) = mine.to_pylist(), others.to_pylist()
+        block, other = mine.to_pylist(), others.to_pylist()
         a = _unpacked(block, width)
-        same = (block["part"], block["nr"]) == (other["part"], other["nr"])
+        same = (block[0]["part"], block[0]["nr"]) == (other[0]["part"], other[0]["nr"])
         b = a if same else _unpacked(other, width)
         row, col, d = _close(*a, *b, reach)
         p, q = a[0][row], b[0][col]
         return pa.table({"hi": np.maximum(p, q), "lo": np.minimum(p, q), "d": d})
 
-    packed = blocks.select("ids", "n", "total")
-    with few_at_once(spark, 1):
+    packed = blocks.select("piece", "ids", "n", "total")
+    with few_at_once(spark):
         found = packed.mapInArrow(sample, "cost binary, who binary").collect()  # bounded for a task
     reach = _reach(np.concatenate([np.frombuffer(r["cost"], "f8") for r in found]),
                    np.concatenate([np.frombuffer(r["who"], "i4") for r in found]),
                    len(asked[0]), count, width)
     # One row per block.
-    about = sorted(blocks.select("part", "nr", "middle", "radius", "least").collect())
+    about = sorted(blocks.where(F.col("piece") == 0)
+                   .select("part", "nr", "middle", "radius", "least").collect())
     middle, radius, least = (np.array([r[c] for r in about]) for c in ("middle", "radius", "least"))
     meeting = []
     for i, r in enumerate(about):
@@ -427,12 +438,12 @@ def _links(blocks: DataFrame, asked, count: int, width: int):
                     for j in (np.flatnonzero(near) + i).tolist()]
     pairs = spark.createDataFrame(
         meeting, "cell int, lb int, rb int, part int, nr int, to_part int, to_nr int")
-    sides = blocks.select("part", "nr", "ids", "n", "total")
+    sides = blocks.select("part", "nr", "piece", "ids", "n", "total")
     left = sides.join(F.broadcast(pairs.drop("to_part", "to_nr")), ["part", "nr"])
     right = sides.join(F.broadcast(pairs.select(
         "cell", "lb", "rb", F.col("to_part").alias("part"), F.col("to_nr").alias("nr"))),
         ["part", "nr"])
-    with few_at_once(spark, 1):
+    with few_at_once(spark):
         links = cut(neighbors._pairs(left, right, kernel, _LINK))
     if links.count() > MOST_LINKS:
         links = cut(with_index(links, F.col("d"), F.col("hi"), F.col("lo"))
